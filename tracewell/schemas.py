@@ -1,9 +1,7 @@
-"""Schemas and fixed values of the event, match, episode and alert tables."""
+"""Schemas (as DDL text) and fixed values of the event, match, episode and alert tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # ---- fixed values -------------------------------------------------------------------------
 SCHEMA_VERSION = "1.0"
 
@@ -51,54 +49,52 @@ BASELINE_FIELDS = [
 ]
 # -------------------------------------------------------------------------------------------
 
-RECORD = T._parse_datatype_string("topic string, key string, value string, offset long, timestamp timestamp")
+RECORD = "topic string, key string, value string, offset long, timestamp timestamp"
 
-TELEMETRY = T._parse_datatype_string(
+TELEMETRY = (
     "machine_id string, machine_type string, event_time string, event_type string, "
     "sensors map<string,double>, meta struct<sim_seed:int,injected_fault:string>"
 )
-HEARTBEATS = T._parse_datatype_string(
+HEARTBEATS = (
     "machine_id string, event_time string, event_type string, sequence long"
 )
-ORDER_EVENTS = T._parse_datatype_string(
+ORDER_EVENTS = (
     "event_id string, event_type string, order_id string, event_time string, payload string"
 )
-BASELINES = T._parse_datatype_string(
+BASELINES = (
     "machine_id string, " + ", ".join(f"{name} double" for name in BASELINE_FIELDS)
 )
 
 # One source event of any detector, as read back from a match.
-SOURCE_EVENT = T._parse_datatype_string(
+SOURCE_EVENT = (
     "machine_id string, machine_type string, event_time string, event_type string, "
     "sensors map<string,double>, sequence long, event_id string, order_id string, payload string"
 )
-MATCH = T.StructType(
-    [
-        T.StructField(name, T.StringType())
-        for name in (
-            "schema_version",
-            "pattern_name",
-            "machine_id",
-            "detected_at",
-            "severity",
-            "violation_type",
-        )
-    ]
-    + [T.StructField("source_events", T.ArrayType(SOURCE_EVENT))]
+MATCH_FIELDS = [
+    "schema_version",
+    "pattern_name",
+    "machine_id",
+    "detected_at",
+    "severity",
+    "violation_type",
+    "source_events",
+]
+MATCH = ", ".join(f"{name} string" for name in MATCH_FIELDS[:-1]) + (
+    f", source_events array<struct<{SOURCE_EVENT}>>"
 )
 
-EPISODE = T._parse_datatype_string(
+EPISODE = (
     "episode_id string, name string, body string, episode_type string, "
     "reference_time timestamp, group_id string"
 )
-INTERVENTION = T._parse_datatype_string(
+INTERVENTION = (
     "intervention_id string, machine_id string, intervention_type string, performed_at timestamp, "
     "performed_by string, notes string, target_pattern_name string"
 )
-OUTCOME = T._parse_datatype_string(
+OUTCOME = (
     "outcome_id string, intervention_id string, machine_id string, outcome_status string, "
     "days_until_recurrence int, evaluation_window_days int, observed_at timestamp"
 )
-FAULT_WINDOW = T._parse_datatype_string(
+FAULT_WINDOW = (
     "machine_id string, fault string, sim_start timestamp, sim_end timestamp"
 )
