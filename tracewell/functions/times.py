@@ -27,3 +27,11 @@ def millis_iso(millis: Column) -> Column:
 def micros(timestamp: Column) -> Column:
     """Epoch microseconds; also accepts timestamps without a zone (the session zone must be UTC)."""
     return F.unix_micros(timestamp.cast("timestamp"))
+
+
+def isoformat(timestamp: Column) -> Column:
+    """UTC text with an offset and, only where there is one, a six-digit fraction."""
+    plain = F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss")
+    fraction = F.date_format(timestamp, ".SSSSSS")
+    has_fraction = F.pmod(F.unix_micros(timestamp), F.lit(1_000_000)) != 0
+    return F.concat(plain, F.when(has_fraction, fraction).otherwise(""), F.lit("+00:00"))
