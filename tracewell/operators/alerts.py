@@ -77,7 +77,7 @@ def parse_responses(df: DataFrame, response: str) -> DataFrame:
         *df.columns,
         _strip(F.col("_r.reasoning")).alias("reasoning"),
         F.filter(stripped, lambda a: a != "").alias("confidence_anchors"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence_raw"),
+        F.when(confidence.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))).alias("confidence_raw"),
         _strip(F.col("_r.alert_text")).alias("alert_text"),
         reason.alias("reject_reason"),
     )

@@ -140,6 +140,8 @@ def _blocked(docs: DataFrame, queries: DataFrame, group: list[str], k: int, bloc
             other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))
         )
 
+    # Fresh column ids: both sides may come from one table.
+    queries = queries.select(*[F.col(c).alias(c) for c in [*group, "query_id", "embedding"]])
     counts = [blocks(docs, "_ds"), blocks(queries, "_qs")]
     if group:
         both = counts[0].join(counts[1], group)
