@@ -1,4 +1,5 @@
 import json
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ T0 = 1767225600000
 
 
 def iso(seconds):
-    ms = T0 + round(seconds * 1000)
-    return f"2026-01-01T{ms // 3600000 % 24:02d}:{ms // 60000 % 60:02d}:{ms // 1000 % 60:02d}.{ms % 1000:03d}Z"
+    moment = datetime(2026, 1, 1) + timedelta(milliseconds=round(seconds * 1000))
+    return moment.isoformat(timespec="milliseconds") + "Z"
 
 
 def records(spark, values):
