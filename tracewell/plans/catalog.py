@@ -31,11 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def timed(rows: DataFrame) -> DataFrame:
+    """Events with their time in microseconds and milliseconds."""
+    return rows.withColumns({"us": micros(F.col("ts")), "ms": F.unix_millis(F.col("ts").cast("timestamp"))})
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table with its time in microseconds and milliseconds."""
-    return table(spark, sf_dir, "events").withColumns(
-        {"us": micros(F.col("ts")), "ms": F.unix_millis(F.col("ts").cast("timestamp"))}
-    )
+    return timed(table(spark, sf_dir, "events"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table as a stream; a pattern, as the source takes no plain path of one file."""
+    schema = table(spark, sf_dir, "events").schema
+    return timed(spark.readStream.schema(schema).parquet(f"{sf_dir}/[e]vents.parquet"))
 
 
 def load_all() -> None:

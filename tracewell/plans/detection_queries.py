@@ -120,7 +120,7 @@ def sequence_candidates(spark, sf_dir):
 # ---- telemetry built from the events table ------------------------------------------------
 
 
-def telemetry_records(spark, sf_dir) -> DataFrame:
+def telemetry_records(rows: DataFrame) -> DataFrame:
     """Every event as a telemetry message of the machine ``Machine-<user>``.
 
     Errors heat up, clicks vibrate, purchases draw current; the other readings stay normal, and
@@ -139,7 +139,7 @@ def telemetry_records(spark, sf_dir) -> DataFrame:
         F.lit("telemetry").alias("event_type"),
         sensors.alias("sensors"),
     )
-    return events(spark, sf_dir).select(
+    return rows.select(
         F.lit("plant.sensors").alias("topic"),
         F.col("user_id").cast("string").alias("key"),
         F.to_json(message).alias("value"),
@@ -187,7 +187,7 @@ STRICT_SQL = matches_sql(FLAGGED_READINGS.replace("coalesce(current, -1)", "curr
 def strict_cascades(spark, sf_dir) -> DataFrame:
     """Cascades in which a missing current reading does not count as an anomaly."""
     return cascades(
-        telemetry_records(spark, sf_dir), machine_baselines(spark, sf_dir), THREE_DAYS_MS, strict_missing=True
+        telemetry_records(events(spark, sf_dir)), machine_baselines(spark, sf_dir), THREE_DAYS_MS, strict_missing=True
     )
 
 
@@ -207,7 +207,7 @@ MATCH_TIMES_SQL = f"""
 def cascade_matches(spark, sf_dir):
     """Telemetry JSON to cascade matches, with the rule that a missing reading is -1."""
     return _match_times(
-        cascades(telemetry_records(spark, sf_dir), machine_baselines(spark, sf_dir), THREE_DAYS_MS)
+        cascades(telemetry_records(events(spark, sf_dir)), machine_baselines(spark, sf_dir), THREE_DAYS_MS)
     )
 
 
@@ -226,7 +226,7 @@ def damaged_records(spark, sf_dir) -> DataFrame:
     untimed = F.regexp_replace("value", '"event_time":"[^"]*"', '"event_time":"soon"')
     amounts = table(spark, sf_dir, "events").select(F.col("event_id").alias("offset"), F.col("value").alias("amount"))
     return (
-        telemetry_records(spark, sf_dir)
+        telemetry_records(events(spark, sf_dir))
         .join(amounts, "offset")
         .withColumn("value", F.when(F.col("amount") < 5, cut).when(F.col("amount") > 200, untimed).otherwise(value))
     )
@@ -254,14 +254,14 @@ def telemetry_rejects(spark, sf_dir):
     return rows.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def heartbeat_records(spark, sf_dir) -> DataFrame:
+def heartbeat_records(rows: DataFrame) -> DataFrame:
     message = F.struct(
         F.when(F.col("event_type") != "view", F.concat(F.lit("Machine-"), F.col("user_id"))).alias("machine_id"),
         millis_iso(F.col("ms")).alias("event_time"),
         F.lit("heartbeat").alias("event_type"),
         F.when(F.col("event_type") != "signup", F.get_json_object("props", "$.k").cast("long")).alias("sequence"),
     )
-    return events(spark, sf_dir).select(F.to_json(message).alias("value"), F.col("event_id").alias("offset"))
+    return rows.select(F.to_json(message).alias("value"), F.col("event_id").alias("offset"))
 
 
 @query(
@@ -270,7 +270,7 @@ def heartbeat_records(spark, sf_dir) -> DataFrame:
     FROM events WHERE event_type <> 'view'"""
 )
 def heartbeat_parse(spark, sf_dir):
-    rows = accepted(parse_heartbeats(heartbeat_records(spark, sf_dir)))
+    rows = accepted(parse_heartbeats(heartbeat_records(events(spark, sf_dir))))
     return rows.select(F.col("offset").alias("event_id"), "machine_id", "event_ms", "sequence")
 
 
@@ -305,7 +305,7 @@ def gap_detect_event_time(spark, sf_dir):
 )
 def heartbeat_matches(spark, sf_dir):
     """Heartbeat JSON to MissingHeartbeat matches."""
-    found = missing_heartbeats(heartbeat_records(spark, sf_dir), 86_400)
+    found = missing_heartbeats(heartbeat_records(events(spark, sf_dir)), 86_400)
     last_seen = F.get_json_object(F.col("source_json")[0], "$.event_time")
     return found.select("machine_id", "detected_at", last_seen.alias("last_seen"))
 
@@ -422,16 +422,16 @@ def _shipping_violations(spark, sf_dir) -> DataFrame:
     return flow_violations(shipping(spark, sf_dir), ["order_key"], ["us", "seq"], "kind", 90 * DAY_US)
 
 
-def funnel(spark, sf_dir) -> DataFrame:
+def funnel(rows: DataFrame) -> DataFrame:
     """Sign-up, click and purchase of a user in the roles of order, shipment and invoice."""
     kind = F.col("event_type")
     role = F.when(kind == "signup", "order").when(kind == "click", "shipment").when(kind == "purchase", "invoice")
-    return events(spark, sf_dir).withColumn("kind", role).filter(F.col("kind").isNotNull())
+    return rows.withColumn("kind", role).filter(F.col("kind").isNotNull())
 
 
 def _funnel_violations(spark, sf_dir) -> DataFrame:
     return flow_violations(
-        funnel(spark, sf_dir), ["user_id"], ["us", "event_id"], "kind", 90 * DAY_US, carry=["event_id"]
+        funnel(events(spark, sf_dir)), ["user_id"], ["us", "event_id"], "kind", 90 * DAY_US, carry=["event_id"]
     )
 
 
@@ -490,7 +490,7 @@ def step_deadlines(spark, sf_dir):
     return missed_steps(rows, ["user_id"], ["us", "event_id"], "event_type", pairs, as_of=end)
 
 
-def order_records(spark, sf_dir) -> DataFrame:
+def order_records(rows: DataFrame) -> DataFrame:
     """Funnel events as order-flow JSON; large events carry a broken payload, small ones an object."""
     text = F.when(F.col("value") > 100, F.lit("{broken")).otherwise(F.col("props"))
     order_id = F.when(F.col("value") >= 1, F.concat(F.lit("order-"), F.col("user_id")))
@@ -502,7 +502,7 @@ def order_records(spark, sf_dir) -> DataFrame:
     ]
     plain = F.to_json(F.struct(*fields, text.alias("payload")))
     nested = F.to_json(F.struct(*fields, F.struct(F.lit(1).alias("x")).alias("payload")))
-    return funnel(spark, sf_dir).select(
+    return funnel(rows).select(
         F.when(F.col("value") < 5, nested).otherwise(plain).alias("value"), F.col("event_id").alias("offset")
     )
 
@@ -514,7 +514,7 @@ def order_records(spark, sf_dir) -> DataFrame:
     FROM ({FUNNEL_SQL.replace('SELECT user_id,', 'SELECT value, props, user_id,')})"""
 )
 def order_event_parse(spark, sf_dir):
-    rows = accepted(parse_order_events(order_records(spark, sf_dir)))
+    rows = accepted(parse_order_events(order_records(events(spark, sf_dir))))
     return rows.select("offset", "event_id", "event_type", "order_id", "event_ms", "payload")
 
 
@@ -544,7 +544,7 @@ ORDER_MATCHES_SQL = f"""
 )
 def order_matches(spark, sf_dir):
     """Order-flow JSON to matches of all three kinds; rows without an order id share one key."""
-    found = order_violations(order_records(spark, sf_dir), DAY_MS)
+    found = order_violations(order_records(events(spark, sf_dir)), DAY_MS)
     order_id = F.get_json_object(F.col("source_json")[0], "$.order_id")
     return found.select(
         "machine_id", "violation_type", "detected_at", order_id.alias("order_id"), F.size("source_json").alias("n_events")
@@ -556,8 +556,8 @@ def all_matches(spark, sf_dir) -> DataFrame:
     found = union_all(
         [
             strict_cascades(spark, sf_dir),
-            missing_heartbeats(heartbeat_records(spark, sf_dir), 86_400),
-            order_violations(order_records(spark, sf_dir), DAY_MS),
+            missing_heartbeats(heartbeat_records(events(spark, sf_dir)), 86_400),
+            order_violations(order_records(events(spark, sf_dir)), DAY_MS),
         ]
     )
     return accepted(parse_matches(M.match_messages(found, "plant")))

@@ -22,7 +22,7 @@ def _typed(matches: DataFrame) -> DataFrame:
 
 
 def cascade_table(spark, sf_dir) -> DataFrame:
-    records, baselines = D.telemetry_records(spark, sf_dir), D.machine_baselines(spark, sf_dir)
+    records, baselines = D.telemetry_records(events(spark, sf_dir)), D.machine_baselines(spark, sf_dir)
     return _typed(cascades(records, baselines, D.THREE_DAYS_MS))
 
 
@@ -76,7 +76,7 @@ def episode_text(spark, sf_dir):
         "(props ->> '$.k')::BIGINT AS k", "CASE WHEN event_type <> 'signup' THEN (props ->> '$.k')::BIGINT END AS k")})"""
 )
 def heartbeat_text(spark, sf_dir):
-    found = missing_heartbeats(D.heartbeat_records(spark, sf_dir), 86_400)
+    found = missing_heartbeats(D.heartbeat_records(events(spark, sf_dir)), 86_400)
     return accepted(E.narrate_matches(_typed(found))).select("machine_id", "detected_at", "body")
 
 
@@ -90,7 +90,7 @@ def heartbeat_text(spark, sf_dir):
     FROM ({D.ORDER_MATCHES_SQL}) WHERE violation_type IS NOT NULL"""
 )
 def order_flow_text(spark, sf_dir):
-    found = order_violations(D.order_records(spark, sf_dir), D.DAY_MS)
+    found = order_violations(D.order_records(events(spark, sf_dir)), D.DAY_MS)
     return accepted(E.narrate_matches(_typed(found))).select("detected_at", "violation_type", "body")
 
 

@@ -1 +1,81 @@
-"""Registered queries."""
+"""Registered queries: the streaming detectors over the events table as a stream.
+
+A stream only knows what its final watermark has passed: five seconds before the last event.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewell.plans import detection_queries as D
+from tracewell.plans.catalog import event_stream, query
+from tracewell.storage import fresh_path
+from tracewell.streaming.detectors import stream_cascades, stream_missing_heartbeats, stream_order_violations
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def drained(spark, stream: DataFrame) -> DataFrame:
+    """The rows a stream gives once it has read all that is there."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    out = fresh_path(spark, "stream")
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def first_time(index: int):
+    return F.get_json_object(F.col("source_json")[index], "$.event_time")
+
+
+@query(
+    f"""WITH RECURSIVE {D.CASCADES_SQL}
+    SELECT 'Machine-' || user_id AS machine_id, {D.iso_sql('a_time')} AS started_at, {D.iso_sql('c_time')} AS detected_at
+    FROM matched WHERE c_time <= (SELECT max(epoch_us(ts) // 1000) - 5000 FROM events)"""
+)
+def stream_cascade_matches(spark, sf_dir):
+    records = D.telemetry_records(event_stream(spark, sf_dir))
+    found = drained(spark, stream_cascades(records, D.machine_baselines(spark, sf_dir), D.THREE_DAYS_MS))
+    return found.select("machine_id", first_time(0).alias("started_at"), "detected_at")
+
+
+@query(
+    f"""SELECT 'Machine-' || user_id AS machine_id, {D.iso_sql('ms')} AS detected_at, {D.iso_sql('previous_ms')} AS last_seen
+    FROM ({D.gaps_sql('event_id', "WHERE event_type <> 'view'")})"""
+)
+def stream_heartbeat_matches(spark, sf_dir):
+    found = drained(spark, stream_missing_heartbeats(D.heartbeat_records(event_stream(spark, sf_dir)), 86_400))
+    return found.select("machine_id", "detected_at", first_time(0).alias("last_seen"))
+
+
+WATERMARK_SQL = (
+    "(SELECT max(epoch_us(ts) // 1000) - 5000 FROM events WHERE event_type IN ('signup', 'click', 'purchase'))"
+)
+
+
+@query(
+    f"""SELECT violation_type, {D.iso_sql('ms')} AS detected_at, order_id FROM ({D.ORDER_MATCHES_SQL
+        .replace("max(ms) OVER () AS as_of", f"{WATERMARK_SQL} + 1 AS as_of")
+        .replace("FROM f WINDOW", f"FROM f WHERE ms <= {WATERMARK_SQL} WINDOW")})
+    WHERE violation_type IS NOT NULL"""
+)
+def stream_order_matches(spark, sf_dir):
+    found = drained(spark, stream_order_violations(D.order_records(event_stream(spark, sf_dir)), D.DAY_MS))
+    order_id = F.get_json_object(F.col("source_json")[0], "$.order_id")
+    return found.select("violation_type", "detected_at", order_id.alias("order_id"))
