@@ -201,7 +201,9 @@ def test_bm25_equals_brute_force(spark, k):
     qdf = spark.createDataFrame(queries, "query_id string, text string, group_id string")
     got = R.bm25_topk(ddf, qdf, k, by_group=True).collect()
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in got) == bm25(docs, queries, k)
-    free = R.bm25_topk(ddf, qdf, k).collect()
+    shuffled = R.bm25_topk(ddf, qdf, k, by_group=True, broadcast_rows=0).collect()
+    assert sorted(map(str, shuffled)) == sorted(map(str, got))
+    free = R.bm25_topk(ddf, qdf, k, broadcast_rows=0).collect()
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in free) == bm25(docs, [(q, t, None) for q, t, _ in queries], k)
 
 

@@ -16,11 +16,13 @@ from pyspark.sql import types as T
 
 from tracewell.functions.text import terms
 from tracewell.schemas import EPISODE_TYPES, HYBRID_CANDIDATES
-from tracewell.storage import checkpointed
+from tracewell.storage import checkpointed, spread_by
 
 K1, B = 1.2, 0.75
 RRF_CONSTANT = 60
 SCORE_DIGITS = 6
+# Query terms that are broadcast: some 100 bytes each, so at most about 100 MB.
+BROADCAST_ROWS = 1_000_000
 # Rows per side of one block of the dense ranking: 4096 x 4096 scores are 128 MB.
 BLOCK_ROWS = 4096
 
@@ -32,85 +34,96 @@ def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 
 def bm25_topk(
-    docs: DataFrame, queries: DataFrame, k: int, by_group: bool = False, k1: float = K1, b: float = B
+    docs: DataFrame,
+    queries: DataFrame,
+    k: int,
+    by_group: bool = False,
+    k1: float = K1,
+    b: float = B,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Lexical ranking of ``docs(doc_id, text)`` for ``queries(query_id, text)``.
 
     With ``by_group`` both sides have ``group_id`` and a query only sees its group (a null group
     sees all). Scores are rounded before ranking, so equal texts tie.
 
-    Common terms would pair every query with nearly every document. They are left out of the
-    candidate search wherever that cannot change the result: the query's rarest terms give a lower
-    bound for its k-th best score, and a document that only has terms whose best possible weights
-    sum to less cannot reach it. Candidates are then scored over all their terms.
+    Postings are kept by document. A query table of at most ``broadcast_rows`` terms is sent to
+    them, so all terms of a document meet all queries in one task, are summed there, and only the
+    best ``k`` per query and partition are shuffled. A larger one is joined by shuffles, after
+    ``_pruned`` has left out the pairs that cannot reach the result.
     """
     groups = ["group_id"] if by_group else []
     tokens = docs.select("doc_id", *groups, terms(F.col("text")).alias("_t"))
-    size = tokens.agg(
-        F.struct(
-            F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("_t")).alias("mean_length")
-        ).alias("s")
-    ).scalar()
+    corpus = F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("_t")).alias("mean_length"))
+    size = tokens.agg(corpus.alias("s")).scalar()
     asked = queries.select(
-        "query_id", *groups, F.explode(F.array_distinct(terms(F.col("text")))).alias("term")
+        "query_id",
+        *(F.col(g).alias("_scope") for g in groups),
+        F.explode(F.array_distinct(terms(F.col("text")))).alias("term"),
     )
     vocabulary = asked.select("term").distinct()
-    # Counted per document before the shuffle; only terms that some query asks for are kept. The
-    # result is read several times below, so it is written once.
-    counted = (
+    # Only terms that some query asks for are kept, and they are counted per document before the
+    # shuffle. The result is read more than once below, so it is written once.
+    part = F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_length") / size["mean_length"]))
+    postings = checkpointed(
         tokens.select("doc_id", *groups, F.size("_t").alias("_length"), F.explode("_t").alias("term"))
         .join(vocabulary, "term", "left_semi")
         .groupBy("doc_id", *groups, "_length", "term")
         .agg(F.count(F.lit(1)).alias("_tf"))
-        .withColumn(
-            "_part",
-            F.col("_tf")
-            * (k1 + 1)
-            / (F.col("_tf") + k1 * (1 - b + b * F.col("_length") / size["mean_length"])),
-        )
+        .select("doc_id", *groups, "term", part.alias("_part"))
     )
-    postings = checkpointed(counted)
-    per_term = postings.groupBy("term").agg(F.count("_tf").alias("_df"), F.max("_part").alias("_most"))
+    per_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.max("_part").alias("_most"))
     idf = F.log(1 + (size["n"] - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     weights = checkpointed(asked.join(per_term, "term").withColumn("_idf", idf))
+    if weights.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return top_k(_summed(_met(spread_by(postings, "doc_id"), F.broadcast(weights), by_group)), k)
+    return top_k(_pruned(postings, weights, k, by_group), k)
+
+
+def _met(postings: DataFrame, weights: DataFrame, by_group: bool) -> DataFrame:
+    """Postings with the query terms they match; a scoped query only meets its own group."""
+    held = ["query_id", "doc_id", "_idf", "_part"]
+    if not by_group:
+        return postings.join(weights, "term").select(*held)
+    scoped = weights.filter(F.col("_scope").isNotNull()).withColumnRenamed("_scope", "group_id")
+    free = weights.filter(F.col("_scope").isNull()).drop("_scope")
+    everywhere = postings.join(free, "term").select(*held)
+    return postings.join(scoped, ["group_id", "term"]).select(*held).unionByName(everywhere)
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    total = F.round(F.sum(F.col("_idf") * F.col("_part")), SCORE_DIGITS)
+    return parts.groupBy("query_id", "doc_id").agg(total.alias("score"))
+
+
+def _pruned(postings: DataFrame, weights: DataFrame, k: int, by_group: bool) -> DataFrame:
+    """Scores of all pairs that can be among the best ``k`` of their query.
 
+    Common terms would pair every query with nearly every document. The query's rarest terms give
+    a lower bound for its k-th best score. Terms whose best possible weights, summed from the
+    smallest up, stay below that bound cannot bring a document into the result by themselves, so
+    candidates are looked for by the other terms only, and then scored over all terms.
+    """
     rarest = Window.partitionBy("query_id").orderBy("_df", "term")
-    seeds = weights.withColumn("_r", F.row_number().over(rarest)).filter(F.col("_r") <= 3)
+    reached = rarest.rowsBetween(Window.unboundedPreceding, -1)
+    few = F.coalesce(F.sum("_df").over(reached), F.lit(0)) < 20 * k
+    seeds = weights.withColumn("_few", few).filter("_few").drop("_few")
     bound = (
-        top_k(_scored(postings, seeds, by_group), k)
+        top_k(_summed(_met(postings, seeds, by_group)), k)
         .groupBy("query_id")
         .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("_bound"))
     )
-    least = (
-        Window.partitionBy("query_id").orderBy("_reach", "term").rowsBetween(Window.unboundedPreceding, 0)
-    )
+    least = Window.partitionBy("query_id").orderBy("_reach", "term").rowsBetween(Window.unboundedPreceding, 0)
     essential = (
         weights.withColumn("_reach", F.col("_idf") * F.col("_most"))
         .withColumn("_sum", F.sum("_reach").over(least))
         .join(bound, "query_id", "left")
         .filter(F.col("_bound").isNull() | (F.col("_sum") >= F.col("_bound") - 1e-5))
+        .select(*weights.columns)
     )
-    candidates = _paired(postings, essential, by_group).select("query_id", "doc_id").distinct()
-    all_parts = candidates.join(postings.select("doc_id", "term", "_tf", "_part"), "doc_id")
-    scores = _summed(all_parts.join(weights.select("query_id", "term", "_idf"), ["query_id", "term"]))
-    return top_k(scores, k)
-
-
-def _paired(postings: DataFrame, weights: DataFrame, by_group: bool) -> DataFrame:
-    if not by_group:
-        return postings.join(weights.select("query_id", "term", "_idf"), "term")
-    asked = weights.select("query_id", "term", "_idf", F.col("group_id").alias("_scope"))
-    in_scope = F.col("_scope").isNull() | (F.col("_scope") == F.col("group_id"))
-    return postings.join(asked, "term").filter(in_scope)
-
-
-def _summed(parts: DataFrame) -> DataFrame:
-    total = F.round(F.sum(F.col("_idf") * F.col("_part")), SCORE_DIGITS)
-    return parts.groupBy("query_id", "doc_id").agg(total.alias("score"))
-
-
-def _scored(postings: DataFrame, weights: DataFrame, by_group: bool) -> DataFrame:
-    return _summed(_paired(postings, weights, by_group))
+    candidates = _met(postings, essential, by_group).select("query_id", "doc_id").distinct()
+    wanted = candidates.join(weights.select("query_id", "term", "_idf"), "query_id")
+    return _summed(wanted.join(postings.select("doc_id", "term", "_part"), ["doc_id", "term"]))
 
 
 def cosine_topk(
@@ -248,7 +261,7 @@ def rerank(candidates: DataFrame, scorer: Scorer = term_overlap, k: int | None =
 
     ``scorer`` maps two text columns to a score column, for instance a pandas UDF around a model.
     """
-    scored = candidates.withColumn(
+    scored = spread_by(candidates, "query_id").withColumn(
         "reranker_score", F.round(scorer(F.col("query_text"), F.col("content")), SCORE_DIGITS)
     )
     best = Window.partitionBy("query_id", *per).orderBy(F.desc("reranker_score"), F.asc("retrieval_rank"))

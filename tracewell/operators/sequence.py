@@ -5,7 +5,7 @@ match. With ``skip past last`` a row that lies inside a match cannot start anoth
 
 The next row of each step is found in one descending window pass: the chain of a step is "the
 nearest later row of this step, together with what that row found for the following step". Only
-rows that flag some step enter the window. Every candidate is shorter than ``within``, so a hot
+rows that flag some step enter the window; they are few, read more than once, and so written once. Every candidate is shorter than ``within``, so a hot
 key is cut into time slices of at least that length, and a slice only needs the flagged rows of
 the following ``within`` on top of its own.
 """
@@ -42,7 +42,7 @@ def sequence_candidates(
     ``order`` is [position, tie-breaker]; ``within`` is in units of the position, exclusive.
     The structs hold the order columns and ``carry``, which must be sortable types.
     """
-    flagged = _flagged(df, key, order, steps, carry or [])
+    flagged = checkpointed(_flagged(df, key, order, steps, carry or []))
     hot = hot_keys(flagged, key, order[0], max_rows, min_width=within)
     if hot is None:
         return _complete(flagged, key, order, steps, within)
@@ -60,7 +60,7 @@ def match_sequence(
     max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """Non-overlapping matches per key: the earliest start wins, the next starts after its end."""
-    flagged = _flagged(df, key, order, steps, carry or [])
+    flagged = checkpointed(_flagged(df, key, order, steps, carry or []))
     names = [name for name, _ in steps]
     hot = hot_keys(flagged, key, order[0], max_rows, min_width=within)
     if hot is None:

@@ -31,13 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it has fewer input splits than cores.
+
+    One small file with a single row group would keep CPU-heavy work on one core. Tables of many
+    files are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def timed(rows: DataFrame) -> DataFrame:
     """Events with their time in microseconds and milliseconds."""
     return rows.withColumns({"us": micros(F.col("ts")), "ms": F.unix_millis(F.col("ts").cast("timestamp"))})
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timed(table(spark, sf_dir, "events"))
+    return timed(spread(table(spark, sf_dir, "events")))
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,7 +306,7 @@ def alert_report(spark, sf_dir):
 
 
 def conversation_history(spark, sf_dir) -> DataFrame:
-    """Each conversation as a match whose turns are its retrieved episodes."""
+    """Every five turns of a conversation as a match with these turns as its retrieved episodes."""
     kinds = F.create_map(*[F.lit(x) for x in ("user", "pattern_occurrence", "assistant", "intervention", "system", "outcome")])
     episode = F.struct(
         "turn",
@@ -320,10 +320,11 @@ def conversation_history(spark, sf_dir) -> DataFrame:
     )
     return (
         table(spark, sf_dir, "conversations")
-        .groupBy("conv_id")
+        .groupBy("conv_id", F.expr("turn div 5").alias("part"))
         .agg(F.sort_array(F.collect_list(episode)).alias("_e"))
         .select(
             "conv_id",
+            "part",
             F.concat(F.lit("Machine-"), F.col("conv_id")).alias("machine_id"),
             F.lit("the").alias("pattern_name"),
             F.lit("HIGH").alias("severity"),
@@ -335,34 +336,36 @@ def conversation_history(spark, sf_dir) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, raw AS confidence_raw, CASE WHEN anchors = 0 THEN least(raw, 0.3::DOUBLE) WHEN raw >= 0.7::DOUBLE AND anchors < 3 THEN 0.6::DOUBLE ELSE raw END AS confidence_final, anchors AS n_anchors
+    """SELECT conv_id, part, raw AS confidence_raw, CASE WHEN anchors = 0 THEN least(raw, 0.3::DOUBLE) WHEN raw >= 0.7::DOUBLE AND anchors < 3 THEN 0.6::DOUBLE ELSE raw END AS confidence_final, anchors AS n_anchors
     FROM (SELECT *, CASE WHEN similar_n >= 3 AND outcomes > 0 AND interventions > 0 THEN 0.9::DOUBLE
         WHEN similar_n >= 3 AND outcomes > 0 THEN 0.7::DOUBLE WHEN similar_n >= 1 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS raw
-      FROM (SELECT conv_id, count(*) FILTER (WHERE role = 'user' AND contains(text, 'the')) AS similar_n,
+      FROM (SELECT conv_id, turn // 5 AS part, count(*) FILTER (WHERE role = 'user' AND contains(text, 'the')) AS similar_n,
           count(*) FILTER (WHERE role = 'system') AS outcomes, count(*) FILTER (WHERE role = 'assistant') AS interventions,
           count(*) FILTER (WHERE contains(text, 'the')) AS anchors
-        FROM conversations GROUP BY conv_id))"""
+        FROM conversations GROUP BY ALL))"""
 )
 def evidence_rubric(spark, sf_dir):
-    """The offline scorer and the gate over every conversation."""
+    """The offline scorer and the gate over all turns, five at a time."""
     gated = A.gate_confidence(A.score_by_rubric(conversation_history(spark, sf_dir)))
     return gated.select(
-        "conv_id", "confidence_raw", "confidence_final", F.size("confidence_anchors").cast("long").alias("n_anchors")
+        "conv_id", "part", "confidence_raw", "confidence_final", F.size("confidence_anchors").cast("long").alias("n_anchors")
     )
 
 
 @query(
-    """SELECT conv_id, count(*) AS n_history, count(*) FILTER (WHERE role = 'assistant') AS n_interventions, max(text) FILTER (WHERE turn = 0) AS first_content
-    FROM conversations GROUP BY conv_id"""
+    """SELECT conv_id, turn // 5 AS part, count(*) AS n_history, count(*) FILTER (WHERE role = 'assistant') AS n_interventions,
+      arg_min(text, turn) AS first_content
+    FROM conversations GROUP BY ALL"""
 )
 def evidence_payload(spark, sf_dir):
     """The JSON document for an external scorer, read back."""
     document = A.evidence_payload(F.array().cast("array<string>"))
     shape = "pattern_match struct<machine_id:string>, retrieved_history array<struct<content:string,episode_type:string>>"
-    read = conversation_history(spark, sf_dir).select("conv_id", F.from_json(document, shape).alias("d"))
+    read = conversation_history(spark, sf_dir).select("conv_id", "part", F.from_json(document, shape).alias("d"))
     held = F.col("d.retrieved_history")
     return read.select(
         "conv_id",
+        "part",
         F.size(held).cast("long").alias("n_history"),
         F.size(F.filter(held, lambda e: e["episode_type"] == "intervention")).cast("long").alias("n_interventions"),
         held[0]["content"].alias("first_content"),

@@ -9,7 +9,7 @@ from tracewell.operators import entities as G
 from tracewell.operators import episodes as E
 from tracewell.operators import retrieval as R
 from tracewell.plans import memory
-from tracewell.plans.catalog import query, table
+from tracewell.plans.catalog import query, spread, table
 from tracewell.plans.memory_queries import cascade_table
 from tracewell.sources.ingest import accepted
 from tracewell.storage import checkpointed
@@ -32,7 +32,7 @@ BM25_SQL = rf"""
 
 
 def documents(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def benchmark_queries(spark, sf_dir) -> DataFrame:

@@ -25,10 +25,19 @@ _ORDER_TEXT = "event_id string, event_type string, order_id string, event_time s
 def _parsed(records: DataFrame, schema: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     kept = [c for c in ("offset", "timestamp") if c in records.columns]
-    body = F.from_json("value", schema, options).alias("_p")
+    body = once(F.from_json("value", schema, options)).alias("_p")
     return records.select(F.col("value").alias("raw_json"), *kept, body)
 
 
+def once(value: Column) -> Column:
+    """``value``, evaluated once per row.
+
+    A filter on a computed column is otherwise pushed below it with a copy of the whole
+    computation, so every rule on a parsed field would parse the JSON again.
+    """
+    return F.explode(F.array(value))
+
+
 def _reason(*rules: tuple[Column, str]) -> Column:
     """The first rule that applies, or null."""
     return F.coalesce(*[F.when(F.coalesce(cond, F.lit(True)), F.lit(text)) for cond, text in rules])
@@ -44,9 +53,9 @@ def parse_telemetry(records: DataFrame) -> DataFrame:
     def sensor(name: str) -> Column:
         return F.coalesce(F.col("_p.sensors")[name].try_cast("double"), F.lit(MISSING_READING)).alias(name)
 
-    rows = _parsed(records, _TELEMETRY_TEXT)
     time = F.coalesce(F.col("_p.event_time"), F.lit(""))
-    millis = iso_millis(time)
+    rows = _parsed(records, _TELEMETRY_TEXT).withColumn("_ms", once(iso_millis(time)))
+    millis = F.col("_ms")
     return rows.select(
         F.coalesce("_p.machine_id", F.lit("")).alias("machine_id"),
         F.col("_p.machine_type").alias("machine_type"),
@@ -68,10 +77,10 @@ def parse_telemetry(records: DataFrame) -> DataFrame:
 
 def parse_heartbeats(records: DataFrame) -> DataFrame:
     """Typed heartbeats; a missing sequence is -1, a missing machine or time rejects the record."""
-    rows = _parsed(records, _HEARTBEAT_TEXT)
     time = F.coalesce(F.col("_p.event_time"), F.lit(""))
     machine = F.coalesce(F.col("_p.machine_id"), F.lit(""))
-    millis = iso_millis(time)
+    rows = _parsed(records, _HEARTBEAT_TEXT).withColumn("_ms", once(iso_millis(time)))
+    millis = F.col("_ms")
     return rows.select(
         machine.alias("machine_id"),
         time.alias("event_time"),
@@ -92,9 +101,9 @@ def parse_order_events(records: DataFrame) -> DataFrame:
     Missing ids read as empty text (such rows share the key ``""``). The payload is JSON inside a
     string; a payload given as an object or array reads as empty.
     """
-    rows = _parsed(records, _ORDER_TEXT)
     time = F.coalesce(F.col("_p.event_time"), F.lit(""))
-    millis = F.unix_millis(iso_timestamp(time))
+    rows = _parsed(records, _ORDER_TEXT).withColumn("_ms", once(F.unix_millis(iso_timestamp(time))))
+    millis = F.col("_ms")
     is_container = F.substring(F.ltrim(F.get_json_object("raw_json", "$.payload")), 1, 1).isin("{", "[")
     was_text = F.col("raw_json").rlike(r'"payload"\s*:\s*"')
     payload = F.when(is_container & ~was_text, "").otherwise(F.coalesce(F.col("_p.payload"), F.lit("")))

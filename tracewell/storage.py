@@ -35,3 +35,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def spread_by(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` hash-partitioned by ``columns`` into the configured number of partitions.
+
+    For work that costs far more than its bytes suggest: with the number given, adaptive execution
+    does not merge partitions that look small.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)

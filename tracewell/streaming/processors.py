@@ -36,11 +36,11 @@ class EventTimeProcessor(StatefulProcessor):
         self.progress = handle.getValueState("progress", "body string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            if len(frame):
-                self.buffer.appendList([tuple(r) for r in frame[INPUT].itertuples(index=False)])
-        self._arm()
-        yield _frame(self.key_names, key, [])
+        arrived = [tuple(r) for frame in rows for r in frame[INPUT].itertuples(index=False)]
+        if arrived:
+            self.buffer.appendList(arrived)
+            self._wake_at(min(r[0] for r in arrived))
+        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
@@ -58,19 +58,24 @@ class EventTimeProcessor(StatefulProcessor):
             self.buffer.put(rest)
         else:
             self.buffer.clear()
-        self._arm()
-        yield _frame(self.key_names, key, found)
-
-    def _arm(self) -> None:
-        """One timer, at the earliest buffered row or pending deadline."""
-        times = [r[0] for r in self.buffer.get()] if self.buffer.exists() else []
-        if self.progress.exists():
-            deadline = self.deadline(json.loads(self.progress.get()[0]))
-            times += [] if deadline is None else [deadline]
+        due = [r[0] for r in rest]
+        if self.deadline(state) is not None:
+            due.append(self.deadline(state))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if times:
-            self.handle.registerTimer(min(times))
+        if due:
+            self.handle.registerTimer(min(due))
+        if found:
+            yield _frame(self.key_names, key, found)
+
+    def _wake_at(self, time: int) -> None:
+        """Keep one timer per key, at the earliest time something is due."""
+        timers = list(self.handle.listTimers())
+        if timers and min(timers) <= time:
+            return
+        for timer in timers:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(time)
 
     def start(self) -> dict:
         raise NotImplementedError
@@ -201,9 +206,10 @@ class GapProcessor(StatefulProcessor):
             if previous is not None and int((row[0] - previous[0]) / 1000) > self.threshold_seconds:
                 found.append((row[3], None, [previous[4]]))
             previous = row
-        if previous is not None:
+        if arrived:
             self.last.update(previous)
-        yield _frame(self.key_names, key, found)
+        if found:
+            yield _frame(self.key_names, key, found)
 
     def close(self) -> None:
         pass
