@@ -56,6 +56,19 @@ def occurrences(matches: DataFrame, prefix: str = "occ") -> DataFrame:
     )
 
 
+def outcomes(graded: DataFrame) -> DataFrame:
+    """Outcome entities from graded interventions that carry ``machine_id``."""
+    return graded.select(
+        sentence("outcome-", F.col("intervention_id")).alias("outcome_id"),
+        "intervention_id",
+        "machine_id",
+        "outcome_status",
+        "days_until_recurrence",
+        "evaluation_window_days",
+        F.timestamp_millis("observed_ms").alias("observed_at"),
+    )
+
+
 def _entity(label: str, name: Column) -> Column:
     return F.struct(F.lit(label).alias("label"), name.alias("name"))
 

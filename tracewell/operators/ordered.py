@@ -92,9 +92,10 @@ def neighbours(
     tie-breakers.
     """
     hot = hot_keys(df, key, order[0], max_rows)
+    # Both paths partition before the payload structs are built, so that these are not shuffled.
     if hot is None:
         frames = _frames(key, order, [])
-        return df.withColumns(
+        return df.repartition(*key).withColumns(
             {k.name: F.last(k.value(), True).over(frames[k.direction]) for k in looks}
         )
 
@@ -112,7 +113,6 @@ def neighbours(
         *[F.last(k.name, True).over(scans[k.direction]).alias(f"_in_{k.name}") for k in looks],
     )
     mixed = rows.withColumn(CARRY, F.lit(False)).unionByName(carried, allowMissingColumns=True)
-    # Partition before the payload structs are built, so that they are not shuffled as well.
     mixed = mixed.repartition(*key, SLICE)
     frames = _frames([*key, SLICE], order, [F.desc(CARRY)])
     found = mixed.withColumns(

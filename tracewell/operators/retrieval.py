@@ -279,7 +279,8 @@ def hybrid_candidates(
     """The best ``limit`` facts per query over the signals the inputs allow.
 
     Always lexical; dense if both sides have ``embedding``; shared entities if both entity tables
-    are given. ``retrieval_rank`` counts from 0. A query with ``group_id`` sees its group only.
+    are given. ``retrieval_rank`` counts from 0. A query with ``group_id`` sees its group only. If
+    queries have ``as_of``, candidates that became valid later are left out after the cut.
     """
     docs = facts.select(
         F.col("fact_id").alias("doc_id"),
@@ -294,12 +295,14 @@ def hybrid_candidates(
         scoped_asks, scoped_docs = _scoped_entities(queries, facts, query_entities, fact_entities)
         rankings.append(shared_entity_topk(scoped_asks, scoped_docs, limit))
     fused = fuse_rankings(rankings, limit)
-    return (
+    asked = queries.select("query_id", F.col("text").alias("query_text"), *(["as_of"] if "as_of" in queries.columns else []))
+    found = (
         fused.select("query_id", F.col("doc_id").alias("fact_id"), (F.col("rank") - 1).alias("retrieval_rank"))
-        .join(queries.select("query_id", F.col("text").alias("query_text")), "query_id")
+        .join(asked, "query_id")
         .join(facts, "fact_id")
         .withColumnRenamed("fact", "content")
     )
+    return found.filter(F.col("valid_at") <= F.col("as_of")) if "as_of" in queries.columns else found
 
 
 def _scoped_entities(queries, facts, query_entities, fact_entities):

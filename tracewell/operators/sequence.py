@@ -79,8 +79,9 @@ def match_sequence(
 def _flagged(df, key, order, steps, carry) -> DataFrame:
     flags = [F.coalesce(cond, F.lit(False)).alias(f"_is_{name}") for name, cond in steps]
     columns = list(dict.fromkeys([*order, *carry]))
-    kept = df.select(*key, F.struct(*columns).alias("_row"), F.col(order[0]), F.col(order[1]), *flags)
-    return kept.filter(reduce(lambda a, b: a | b, [F.col(f"_is_{name}") for name, _ in steps]))
+    # The filter comes first and in the caller's own terms, so that it can reach the file scan.
+    wanted = df.filter(reduce(lambda a, b: a | b, [cond for _, cond in steps]))
+    return wanted.select(*key, F.struct(*columns).alias("_row"), F.col(order[0]), F.col(order[1]), *flags)
 
 
 def _overlapping(flagged, hot, key, pos, within) -> DataFrame:
@@ -102,7 +103,7 @@ def _complete(flagged, group, order, steps, within) -> DataFrame:
         .orderBy(*[F.desc(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    rows = flagged
+    rows = flagged.repartition(*group)
     for i in range(len(names) - 1, 0, -1):
         chain = [F.col("_row").alias(names[i])]
         if i < len(names) - 1:

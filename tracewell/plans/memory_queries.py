@@ -14,6 +14,9 @@ from tracewell.plans import detection_queries as D
 from tracewell.plans.catalog import events, query, table
 from tracewell.plans.detection import cascades, missing_heartbeats, order_violations
 from tracewell.sources.ingest import accepted, parse_matches
+from tracewell.sources.sinks import alert_messages, append_messages, append_training_records
+from tracewell.sources.topics import file_records, pattern_topics
+from tracewell.storage import fresh_path
 
 
 def _typed(matches: DataFrame) -> DataFrame:
@@ -198,6 +201,27 @@ def graph_census(spark, sf_dir):
     return labels.unionByName(facts).unionByName(total)
 
 
+@query(
+    f"""SELECT pattern_name, pattern_family, severity_default, count(*) AS n FROM (
+      SELECT 'MissingHeartbeat' AS pattern_name, 'connectivity_failure' AS pattern_family, 'CRITICAL' AS severity_default
+      UNION ALL SELECT 'EDISequenceViolation', 'edi_compliance', 'HIGH') GROUP BY ALL"""
+)
+def pattern_entities(spark, sf_dir):
+    """The patterns seen in heartbeat and order-flow matches, each once."""
+    found = missing_heartbeats(D.heartbeat_records(events(spark, sf_dir)), 86_400).unionByName(
+        order_violations(D.order_records(events(spark, sf_dir)), D.DAY_MS)
+    )
+    return G.patterns(found).groupBy("pattern_name", "pattern_family", "severity_default").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {D.CASCADES_SQL}
+    SELECT DISTINCT 'Machine-' || user_id AS machine_id, 'rolling_mill' AS machine_type, 'rolling_mill' AS process_position FROM matched"""
+)
+def machine_entities(spark, sf_dir):
+    return G.machines(cascade_table(spark, sf_dir))
+
+
 def sales_mentions(spark, sf_dir) -> DataFrame:
     """Orders as episodes that mention their customer, parts and suppliers."""
     orders = table(spark, sf_dir, "orders")
@@ -489,3 +513,46 @@ def alert_dedupe(spark, sf_dir):
     """Every match delivered twice, counted once."""
     once = cascade_table(spark, sf_dir)
     return M.distinct_matches(once.unionByName(once)).groupBy("machine_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- topics and files ---------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT 'plant.patterns.machine-' || user_id AS topic, count(*) AS n
+    FROM ({D.gaps_sql('event_id', "WHERE event_type <> 'view'")}) GROUP BY user_id
+    UNION ALL SELECT 'plant.patterns.edi', count(*) FROM ({D.ORDER_MATCHES_SQL}) WHERE violation_type IS NOT NULL"""
+)
+def match_topics(spark, sf_dir):
+    """Match messages written by topic and read back through the pattern of all match topics."""
+    path = fresh_path(spark, "topics")
+    found = missing_heartbeats(D.heartbeat_records(events(spark, sf_dir)), 86_400).unionByName(
+        order_violations(D.order_records(events(spark, sf_dir)), D.DAY_MS)
+    )
+    append_messages(M.match_messages(found, "plant"), path)
+    records = file_records(spark, path, pattern_topics("plant"))
+    return accepted(parse_matches(records)).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {D.CASCADES_SQL}
+    SELECT 'plant.alerts.machine-' || user_id AS topic, 'Machine-' || user_id AS key, count(*) AS n FROM matched GROUP BY user_id"""
+)
+def alert_topics(spark, sf_dir):
+    """Alerts addressed to the topic of their machine, written and read back."""
+    path = fresh_path(spark, "alerts")
+    append_messages(alert_messages(A.alert_records(_first_sightings(spark, sf_dir)), "plant"), path)
+    return file_records(spark, path).groupBy("topic", "key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE {D.CASCADES_SQL}
+    SELECT strftime(make_timestamp(c_time * 1000), '%Y-%m-%d') AS alert_date, count(*) AS n FROM matched GROUP BY 1"""
+)
+def training_files(spark, sf_dir):
+    """Training records written as one folder of JSON lines per day and read back."""
+    path = fresh_path(spark, "training")
+    rows = _first_sightings(spark, sf_dir)
+    append_training_records(A.training_records(rows, F.col("source_events"), "offline-rubric", F.col("detected_ts")), path)
+    read = spark.read.schema("record_id string, alert_date date").json(path)
+    return read.groupBy(F.col("alert_date").cast("string").alias("alert_date")).agg(F.count("record_id").alias("n"))

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tracewell.operators import entities as G
 from tracewell.operators import episodes as E
 from tracewell.operators import retrieval as R
+from tracewell.plans import detection_queries as D
 from tracewell.plans import memory
 from tracewell.plans.catalog import query, spread, table
-from tracewell.plans.memory_queries import cascade_table
+from tracewell.plans.memory_queries import CASCADE_ROWS_SQL, cascade_table
 from tracewell.sources.ingest import accepted
 from tracewell.storage import checkpointed
 
@@ -200,13 +201,65 @@ def typed_two_tier(spark, sf_dir):
     return found.select("query_id", "doc_id", "retrieval_rank", "episode_type", "reranker_score", "tier", "rank")
 
 
-@query()
+# Both rankings, fused; then the reranked four of the only type there is.
+DETAIL_SQL = """'peak sensor readings of temperature ' || printf('%.1f', temperature) || ' °C, vibration RMS '
+      || printf('%.2f', vibration) || ' mm/s, and current draw ' || printf('%.1f', current) || ' A'"""
+FACT_ID_SQL = "substr(sha256(match_id || '|{name}'), 1, 16)"
+HISTORY_SQL = rf"""
+    WITH RECURSIVE {D.CASCADES_SQL}, {CASCADE_ROWS_SQL},
+    m AS (SELECT *, substr(sha256('ThermalVibrationCascade|' || machine_id || '|' || c_time || '||'), 1, 16) AS match_id FROM told),
+    facts AS (
+      SELECT {FACT_ID_SQL.format(name='DETECTED_ON')} AS doc_id, machine_id,
+        'The ThermalVibrationCascade pattern was detected on ' || machine_id || ' with ' || {DETAIL_SQL} AS text FROM m WHERE NOT lacking
+      UNION ALL SELECT {FACT_ID_SQL.format(name='EXPERIENCED_PATTERN')}, machine_id,
+        machine_id || ' experienced a ThermalVibrationCascade pattern at ' || {D.iso_sql('c_time')} || ', with ' || {DETAIL_SQL} || '.'
+        FROM m WHERE NOT lacking),
+    questions AS (SELECT match_id, machine_id, 'ThermalVibrationCascade on ' || machine_id || ' with peak temperature '
+      || printf('%.1f', temperature) || ' C' AS text FROM m),
+    tf AS (SELECT doc_id, machine_id, term, count(*) AS tf
+      FROM (SELECT doc_id, machine_id, unnest({TERMS}) AS term FROM facts) WHERE term <> '' GROUP BY ALL),
+    lengths AS (SELECT doc_id, sum(tf)::DOUBLE AS length, count(*) AS n_terms FROM tf GROUP BY doc_id),
+    corpus AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean_length FROM lengths),
+    asked AS (SELECT DISTINCT match_id, machine_id, term
+      FROM (SELECT match_id, machine_id, unnest({TERMS}) AS term FROM questions) WHERE term <> ''),
+    idf AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, corpus GROUP BY term, n),
+    met AS (SELECT match_id, tf.doc_id, count(*) AS n_shared, round(sum(idf * (tf * 2.2::DOUBLE
+        / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean_length)))), 6) AS score
+      FROM asked JOIN tf ON tf.term = asked.term AND tf.machine_id = asked.machine_id JOIN idf ON idf.term = tf.term
+      JOIN lengths ON lengths.doc_id = tf.doc_id, corpus GROUP BY match_id, tf.doc_id),
+    ranked AS (
+      SELECT match_id, doc_id, row_number() OVER (PARTITION BY match_id ORDER BY score DESC, doc_id) AS rank FROM met
+      UNION ALL SELECT match_id, doc_id, row_number() OVER (PARTITION BY match_id ORDER BY doc_id)
+      FROM questions q JOIN facts f ON f.machine_id = q.machine_id),
+    fused AS (
+      SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY score DESC, doc_id) - 1 AS retrieval_rank FROM (
+        SELECT match_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM ranked WHERE rank <= 30 GROUP BY ALL)),
+    best AS (
+      SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY overlap DESC, retrieval_rank) AS rank FROM (
+        SELECT f.match_id, f.doc_id, retrieval_rank,
+          round(n_shared / sqrt((l.n_terms * (SELECT count(*) FROM asked a WHERE a.match_id = f.match_id))::DOUBLE), 6) AS overlap
+        FROM fused f JOIN met ON met.match_id = f.match_id AND met.doc_id = f.doc_id JOIN lengths l ON l.doc_id = f.doc_id
+        WHERE retrieval_rank < 30)),
+    held AS (SELECT match_id, string_agg(doc_id, ',' ORDER BY rank) AS retrieved, count(*) AS n FROM best WHERE rank <= 4 GROUP BY match_id),
+    raised AS (SELECT m.*, coalesce(retrieved, '') AS retrieved, coalesce(h.n, 0) AS n FROM m LEFT JOIN held h ON h.match_id = m.match_id)
+    SELECT 'alert-' || lower(machine_id) || '-' || substr(match_id, 1, 12) AS alert_id, machine_id, {D.iso_sql('c_time')} AS detected_at,
+      CASE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS confidence_raw, CASE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS confidence_final,
+      CASE WHEN n > 0 THEN '' ELSE 'no_anchors' END AS flags, retrieved,
+      'Agent alert on ' || machine_id || ' at ' || strftime(make_timestamp(c_time * 1000), '%Y-%m-%dT%H:%M:%S')
+        || CASE WHEN c_time % 1000 = 0 THEN '' ELSE strftime(make_timestamp(c_time * 1000), '.%f') END
+        || '+00:00: the ThermalVibrationCascade pattern was raised with confidence ' || CASE WHEN n > 0 THEN '0.50' ELSE '0.30' END
+        || '. ThermalVibrationCascade on ' || machine_id || '. ' || CASE WHEN n > 0 THEN n || ' of ' || n
+          || ' retrieved episodes describe the same pattern.' ELSE 'No prior occurrences exist on this machine. Validation flags: no_anchors.' END AS summary
+    FROM raised"""
+
+
+@query(HISTORY_SQL)
 def history_alerts(spark, sf_dir):
     """The whole chain: matches, facts, two-tier history, score, gate, alert."""
     matches = checkpointed(cascade_table(spark, sf_dir))
-    narrated = accepted(E.narrate_matches(matches))
-    episodes = checkpointed(E.match_episodes(narrated))
-    facts = checkpointed(G.match_facts(narrated.select(*matches.columns)))
+    narrated = checkpointed(accepted(E.narrate_matches(matches)))
+    episodes = E.match_episodes(narrated)
+    facts = checkpointed(G.match_facts(narrated))
     alerts = memory.raise_alerts(memory.retrieve(matches, facts, episodes))
     return alerts.select(
         "alert_id",
@@ -215,6 +268,6 @@ def history_alerts(spark, sf_dir):
         "confidence_raw",
         "confidence_final",
         F.array_join("validation_flags", ",").alias("flags"),
-        F.size("retrieved_episodes").alias("n_retrieved"),
+        F.array_join(F.transform("retrieved_episodes", lambda e: e["metadata"]["edge_uuid"]), ",").alias("retrieved"),
         "summary",
     )

@@ -24,7 +24,7 @@ _ORDER_TEXT = "event_id string, event_type string, order_id string, event_time s
 
 def _parsed(records: DataFrame, schema: str) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    kept = [c for c in ("offset", "timestamp") if c in records.columns]
+    kept = [c for c in ("topic", "offset", "timestamp") if c in records.columns]
     body = once(F.from_json("value", schema, options)).alias("_p")
     return records.select(F.col("value").alias("raw_json"), *kept, body)
 
@@ -124,7 +124,7 @@ def parse_order_events(records: DataFrame) -> DataFrame:
 
 
 def _extra(rows: DataFrame) -> list[str]:
-    return [c for c in ("offset", "timestamp", "raw_json") if c in rows.columns]
+    return [c for c in ("topic", "offset", "timestamp", "raw_json") if c in rows.columns]
 
 
 REQUIRED = ("machine_id", "pattern_name", "detected_at", "severity", "source_events")
