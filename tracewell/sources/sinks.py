@@ -19,9 +19,18 @@ def alert_messages(alerts: DataFrame, prefix: str) -> DataFrame:
     return topic_messages(alerts, topic, F.col("machine_id"))
 
 
+def gathered(df: DataFrame, column: str) -> DataFrame:
+    """Rows of one folder brought together before a partitioned write.
+
+    Without this every task writes a file into every folder. Adaptive execution splits a folder
+    that holds too much for one task.
+    """
+    return df.hint("rebalance", column)
+
+
 def append_messages(messages: DataFrame, path: str) -> None:
     """Messages as JSON lines, one folder per topic."""
-    messages.write.partitionBy("topic").mode("append").json(path)
+    gathered(messages, "topic").write.partitionBy("topic").mode("append").json(path)
 
 
 def send_messages(messages: DataFrame, options: dict[str, str]) -> None:
@@ -37,7 +46,7 @@ def stream_messages(messages: DataFrame, options: dict[str, str], checkpoint: st
 
 def append_episodes(episodes: DataFrame, path: str) -> None:
     """Append to the episode table; it is stored by group, so a search reads only its machine."""
-    episodes.write.partitionBy("group_id").mode("append").parquet(path)
+    gathered(episodes, "group_id").write.partitionBy("group_id").mode("append").parquet(path)
 
 
 def append_training_records(records: DataFrame, path: str) -> None:
@@ -47,7 +56,7 @@ def append_training_records(records: DataFrame, path: str) -> None:
     """
     day = F.to_date("alerted_at")
     (
-        records.withColumn("alert_date", day)
+        gathered(records.withColumn("alert_date", day), "alert_date")
         .write.partitionBy("alert_date")
         .mode("append")
         .option("ignoreNullFields", "false")

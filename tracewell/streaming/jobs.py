@@ -18,12 +18,12 @@ from tracewell.operators import episodes as E
 from tracewell.operators import retrieval as R
 from tracewell.plans import memory
 from tracewell.sources.ingest import accepted
-from tracewell.sources.sinks import alert_messages
+from tracewell.sources.sinks import alert_messages, gathered
 from tracewell.storage import checkpointed
 
 
 def _replace(df: DataFrame, path: str, batch: int, partition: str | None = None, form: str = "parquet") -> None:
-    writer = df.write.mode("overwrite").format(form)
+    writer = (gathered(df, partition) if partition else df).write.mode("overwrite").format(form)
     if form == "json":
         writer = writer.option("ignoreNullFields", "false")
     if partition:
