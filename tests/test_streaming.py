@@ -179,7 +179,9 @@ def test_topic_files(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "machine_id string, x int")
     topic = F.concat(F.lit("plant.patterns."), F.col("machine_id"))
     messages = topic_messages(df, topic, F.col("machine_id"))
-    append_messages(messages, str(tmp_path / "t"))
-    append_messages(messages.withColumn("topic", F.lit("plant.sensors")), str(tmp_path / "t"))
-    got = file_records(spark, str(tmp_path / "t"), pattern_topics("plant"))
-    assert sorted(json.loads(r.value)["x"] for r in got.collect()) == [1, 2]
+    for by_topic in (False, True):
+        path = str(tmp_path / f"t{by_topic}")
+        append_messages(messages, path, by_topic)
+        append_messages(messages.withColumn("topic", F.lit("plant.sensors")), path, by_topic)
+        got = file_records(spark, path, pattern_topics("plant"))
+        assert sorted(json.loads(r.value)["x"] for r in got.collect()) == [1, 2]

@@ -28,9 +28,12 @@ def gathered(df: DataFrame, column: str) -> DataFrame:
     return df.hint("rebalance", column)
 
 
-def append_messages(messages: DataFrame, path: str) -> None:
-    """Messages as JSON lines, one folder per topic."""
-    gathered(messages, "topic").write.partitionBy("topic").mode("append").json(path)
+def append_messages(messages: DataFrame, path: str, by_topic: bool = False) -> None:
+    """Messages as JSON lines, with the topic as a field or, for few topics, as a folder."""
+    if by_topic:
+        gathered(messages, "topic").write.partitionBy("topic").mode("append").json(path)
+    else:
+        messages.write.mode("append").json(path)
 
 
 def send_messages(messages: DataFrame, options: dict[str, str]) -> None:
