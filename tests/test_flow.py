@@ -27,6 +27,8 @@ def test_neighbours_equal_plain_scan(spark, options):
         for r in neighbours(df, ["k"], ["pos", "tie"], looks, **options).collect()
     }
     assert len(got) == 400
+    keyless = spark.createDataFrame([(None, 1, 1, "x"), ("a", 2, 2, "x")], df.schema)
+    assert neighbours(keyless, ["k"], ["pos", "tie"], looks, **options).count() == 1
     for k, pos, tie, _ in rows:
         before = sorted(r[1:] for r in rows if r[0] == k and r[1:3] < (pos, tie))
         after = sorted(r[1:] for r in rows if r[0] == k and r[1:3] > (pos, tie))

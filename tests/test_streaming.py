@@ -108,7 +108,7 @@ def test_stream_heartbeats_equal_batch_across_restart(spark, tmp_path):
     assert len(want) > 20 and rows(got) == want
 
 
-@pytest.mark.parametrize("retain_ms", [None])
+@pytest.mark.parametrize("retain_ms", [None, 10 * 86_400_000])
 def test_stream_order_flow_equals_batch(spark, tmp_path, retain_ms):
     rng = random.Random(6)
     values = []

@@ -89,8 +89,9 @@ def neighbours(
     """Add one struct column per look; null where there is no such neighbour.
 
     ``order`` is a long position (milliseconds, microseconds or an offset) followed by
-    tie-breakers.
+    tie-breakers. Rows without a key or position belong to no order and are left out.
     """
+    df = df.dropna(subset=[*key, order[0]])
     hot = hot_keys(df, key, order[0], max_rows)
     # Both paths partition before the payload structs are built, so that these are not shuffled.
     if hot is None:

@@ -40,7 +40,8 @@ def sequence_candidates(
     """For every first-step row, the nearest completion; one struct column per step.
 
     ``order`` is [position, tie-breaker]; ``within`` is in units of the position, exclusive.
-    The structs hold the order columns and ``carry``, which must be sortable types.
+    The structs hold the order columns and ``carry``, which must be sortable types. Rows without a
+    key or position are left out.
     """
     flagged = checkpointed(_flagged(df, key, order, steps, carry or []))
     hot = hot_keys(flagged, key, order[0], max_rows, min_width=within)
@@ -80,7 +81,7 @@ def _flagged(df, key, order, steps, carry) -> DataFrame:
     flags = [F.coalesce(cond, F.lit(False)).alias(f"_is_{name}") for name, cond in steps]
     columns = list(dict.fromkeys([*order, *carry]))
     # The filter comes first and in the caller's own terms, so that it can reach the file scan.
-    wanted = df.filter(reduce(lambda a, b: a | b, [cond for _, cond in steps]))
+    wanted = df.filter(reduce(lambda a, b: a | b, [cond for _, cond in steps])).dropna(subset=[*key, order[0]])
     return wanted.select(*key, F.struct(*columns).alias("_row"), F.col(order[0]), F.col(order[1]), *flags)
 
 
