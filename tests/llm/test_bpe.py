@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, pretokens
 
@@ -73,3 +74,5 @@ def test_rows(spark):
         assert hashlib.sha256(bytes(r.ids)).hexdigest() == hashlib.sha256(np.array(theirs.encode_ordinary(r.text or ""), "<u4").tobytes()).hexdigest()
         assert r.n_tokens == len(r.ids) // 4
     assert bpe.round_trip(frame.limit(0), PATH).count() == 0
+    again = bpe.encoded(frame.drop("ids"), PATH).withColumn("back", bpe.decoded(F.col("ids"), PATH)).collect()
+    assert all(bytes(r.back).decode() == (r.text or "") for r in again)

@@ -16,11 +16,12 @@ from functools import cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm import pretokens
-from tracewell.llm.common import documents, query, whole
+from tracewell.llm.common import documents, query, texts_mapped
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 CACHED = 400_000
@@ -143,38 +144,45 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encoded(text: Column, path: str) -> Column:
-    """ids (binary: little-endian unsigned 32-bit numbers) and begins (array: where pieces begin) of each text."""
+IDS, BEGINS = ("binary", pa.binary()), ("array<int>", pa.list_(pa.int32()))
 
-    @F.pandas_udf("ids binary, begins array<int>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        pairs = vocabulary(path).encode(texts.tolist())
-        return pd.DataFrame({"ids": [i for i, _ in pairs], "begins": [s.astype(np.int32) for _, s in pairs]})
 
-    return of(whole(text))
+def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` with ids (little-endian unsigned 32-bit numbers), begins (code points where pieces begin) and n_tokens."""
+
+    def make(texts: list[str]) -> list:
+        pairs = vocabulary(path).encode(texts)
+        return [[i for i, _ in pairs], [s for _, s in pairs], [len(i) // 4 for i, _ in pairs]]
+
+    return texts_mapped(docs, text, {"ids": IDS, "begins": BEGINS, "n_tokens": ("long", pa.int64())}, make)
 
 
 def decoded(ids: Column, path: str) -> Column:
-    """The bytes that the ids stand for."""
+    """The bytes that the ids stand for; null stays null."""
 
     @F.pandas_udf("binary")
     def of(batch: pd.Series) -> pd.Series:
         decode = vocabulary(path).decode
-        return pd.Series([decode(np.frombuffer(i, "<u4")) for i in batch], dtype=object)
+        return pd.Series([None if i is None else decode(np.frombuffer(i, "<u4")) for i in batch], dtype=object)
 
     return of(ids)
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with ids, begins, n_tokens and decoded (binary); columns of these names are replaced.
+    """As ``encoded``, with decoded (binary) made from the ids in the same pass.
 
     Null and empty texts have no ids and decode to no bytes. Every row is its own: repeated rows and null
-    keys need no care, and an empty table gives no rows.
+    keys need no care, and an empty table gives no rows. Existing columns of the four names are replaced.
     """
-    made = docs.withColumn("ids", encoded(F.col(text), path))
-    made = made.withColumn("begins", F.col("ids.begins")).withColumn("ids", F.col("ids.ids"))
-    made = made.withColumn("n_tokens", (F.length("ids") / 4).cast("long"))
-    return made.withColumn("decoded", decoded(F.col("ids"), path))
+
+    def make(texts: list[str]) -> list:
+        known = vocabulary(path)
+        pairs = known.encode(texts)
+        ids = [i for i, _ in pairs]
+        return [ids, [s for _, s in pairs], [len(i) // 4 for i in ids], [known.decode(np.frombuffer(i, "<u4")) for i in ids]]
+
+    added = {"ids": IDS, "begins": BEGINS, "n_tokens": ("long", pa.int64()), "decoded": ("binary", pa.binary())}
+    return texts_mapped(docs, text, added, make)
 
 
 @query()
