@@ -1,6 +1,6 @@
 """The queries of this folder and their SQL."""
 
-from tracewell.llm import bpe, decontaminate, exact_dedup, simhash, toxicity  # noqa: F401
+from tracewell.llm import bpe, decontaminate, exact_dedup, secrets, shards, simhash, toxicity  # noqa: F401
 from tracewell.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
