@@ -52,7 +52,7 @@ def digested(docs: DataFrame) -> DataFrame:
 
 def grouped(rows: DataFrame) -> DataFrame:
     """One row per digest: its number of rows and the one that stays."""
-    best = F.struct(-F.col("n_points"), F.col("doc_id").isNull(), "doc_id", "row").alias("best")
+    best = F.struct((-F.col("n_points")).alias("minus"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("best")
     return rows.select("digest", best).groupBy("digest").agg(F.count("*").alias("size"), F.min("best").alias("best"))
 
 
@@ -140,7 +140,7 @@ def kept_documents(docs: DataFrame, is_new: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of rows alike in doc_id and text any one stays."""
     rows, groups = decided(docs, is_new)
     repeated = groups.filter("size > 1").select(
-        F.col("digest").alias("own_digest"), F.col("best.doc_id").alias("own_id"), -F.col("best.n_points").alias("own_points")
+        F.col("digest").alias("own_digest"), F.col("best.doc_id").alias("own_id"), (-F.col("best.minus")).alias("own_points")
     )
     ties = rows.join(
         repeated,
