@@ -173,4 +173,24 @@ def test_match_ids(spark):
     values = [dict(base, source_events=[{"order_id": o}]) for o in ("o1", "o2", "o1")]
     got = M.with_match_id(accepted(parse_matches(records(spark, values))))
     assert M.distinct_matches(got).count() == 2
-    assert got.filter(F.length("match_id") == 16).count() == 3
+    assert got.filter(F.length("match_id") == 64).count() == 3
+    # Names with a separator in them, and violations without an order id in one millisecond.
+    odd = [dict(base, machine_id="a|b", pattern_name="P", source_events=[{}]), dict(base, machine_id="b", pattern_name="P|a", source_events=[{}]),
+           dict(base, source_events=[{"event_id": "e1"}]), dict(base, source_events=[{"event_id": "e2"}])]
+    assert M.distinct_matches(M.with_match_id(accepted(parse_matches(records(spark, odd))))).count() == 4
+
+
+def test_odd_source_events_are_no_reason_to_reject(spark):
+    base = {"machine_id": "m", "pattern_name": "p", "detected_at": iso(0), "severity": "HIGH"}
+    events_ = [{"sensors": {"state": "ok", "temperature_c": 7}, "sequence": "7", "meta": {"sim_seed": 1}, "extra": [1, None]}, {"sensors": "none"}, 5]
+    got = accepted(parse_matches(records(spark, [dict(base, source_events=events_)]))).collect()[0]
+    first = got.source_events[0]
+    assert (first.sensors, first.sequence) == ({"state": None, "temperature_c": 7.0}, 7)
+    assert [json.loads(e) for e in got.source_json] == events_
+
+
+def test_payload_by_the_type_of_its_own_field(spark):
+    rows = [{"payload": {"payload": "x"}}, {"payload": '{"payload": 1}'}, {"payload": "[1"}, {"payload": [1]}, {"payload": 5}]
+    rows = [dict(r, event_id="e", event_type="order", order_id="o", event_time=iso(i)) for i, r in enumerate(rows)]
+    got = [r.payload for r in parse_order_events(records(spark, rows)).orderBy("event_ms").collect()]
+    assert got == ["", '{"payload": 1}', "[1", "", "5"]

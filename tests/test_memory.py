@@ -64,11 +64,9 @@ def test_cascade_episodes(spark, history):
     assert len(got) == 6 and rejects.count() == 0
     first = got["ThermalVibrationCascade on Machine-03 @ 2026-01-12T08:15:00Z"]
     assert first.body == (
-        "Pattern occurrence occ-machine-03-20260112T081500Z: the ThermalVibrationCascade pattern "
-        "(family bearing_degradation) was detected on Machine-03, a rolling mill, at 2026-01-12T08:15:00Z "
-        "with CRITICAL severity. The cascade developed over 300 seconds, beginning 2026-01-12T08:10:00Z. "
-        "Peak sensor readings during the cascade were temperature 392.0 °C, vibration RMS 4.80 mm/s, "
-        "and current draw 471.0 A."
+        "ThermalVibrationCascade on Machine-03, occurrence occ-machine-03-20260112T081500Z, family bearing_degradation, "
+        "severity CRITICAL. The rolling mill took its first step at 2026-01-12T08:10:00Z and the last 300 s later, "
+        "noticed at 2026-01-12T08:15:00Z. Maxima: 392.0 °C, 4.80 mm/s, 471.0 A."
     )
     assert first.group_id == "Machine-03" and first.episode_type == "pattern_occurrence"
 
@@ -86,16 +84,14 @@ def test_other_narratives_and_rejects(spark):
     episodes, rejects = memory.ingest_matches(records(spark, [beat, flow, blind, long_name, odd]))
     bodies = {r.name.split(" on ")[0]: r.body for r in episodes.collect()}
     assert bodies["MissingHeartbeat"] == (
-        f"Pattern occurrence occ-machine-04-20260101T000105Z: the MissingHeartbeat pattern (family connectivity_failure) "
-        f"was detected on Machine-04 at {iso(65)} with CRITICAL severity. The last heartbeat was received at {iso(0)} "
-        "(sequence 7). Absence of heartbeats indicates a potential connectivity or power failure."
+        "MissingHeartbeat on Machine-04, occurrence occ-machine-04-20260101T000105Z, family connectivity_failure, severity CRITICAL. "
+        f"Silent since heartbeat 7 of {iso(0)}, noticed at {iso(65)}; check its network and power."
     )
     assert bodies["EDISequenceViolation"] == (
-        f"Pattern occurrence occ-edi-system-20260101T000009Z: the EDISequenceViolation pattern (family edi_compliance) "
-        f"was detected at {iso(9)} with HIGH severity. Violation type: invoice_without_shipment. Affected order: o1. "
-        "Involved EDI message types: order, invoice."
+        "EDISequenceViolation on EDI-System, occurrence occ-edi-system-20260101T000009Z, family edi_compliance, severity HIGH. "
+        f"Order o1 broke rule invoice_without_shipment, noticed at {iso(9)}. Messages: order, invoice."
     )
-    assert "(family unclassified)" in bodies["Odd"]
+    assert "family unclassified" in bodies["Odd"]
     reasons = sorted(r.reject_reason.split(",")[0] for r in rejects.collect())
     assert len(reasons) == 2 and reasons[0].startswith("episode of ") and reasons[1] == "source event lacks sensor data"
 
@@ -113,11 +109,11 @@ def test_interventions(spark):
     assert sorted(r.intervention_id for r in rejects.collect()) == ["i2", "i3"]
     bodies = {r.name: r.body for r in episodes.collect()}
     assert bodies["Intervention i1 on Machine-03"] == (
-        "Intervention i1: a bearing replacement intervention was performed on Machine-03 at an unknown time by an unknown technician."
+        "Machine-03 serviced: bearing replacement, record i1, time not recorded, by someone not recorded."
     )
     assert bodies["Intervention i4 on Machine-03"] == (
-        "Intervention i4: a inspection no action intervention was performed on Machine-03 at 2026-01-02T03:04:05.500000+00:00 "
-        "by Kim. It targeted the ThermalVibrationCascade pattern. Notes: all fine"
+        "Machine-03 serviced: inspection no action, against ThermalVibrationCascade, record i4, "
+        "time 2026-01-02T03:04:05.500000+00:00, by Kim. Remarks: all fine"
     )
 
 
@@ -286,7 +282,7 @@ def test_alert_chain(spark, history):
     assert {r.alert_id for r in again.collect()} == {r.alert_id for r in rows} and len({r.alert_id for r in rows}) == 6
     summary = [r.summary for r in rows if r.detected_at.startswith("2026-01-12")][0]
     assert summary.startswith(
-        "Agent alert on Machine-03 at 2026-01-12T08:15:00+00:00: the ThermalVibrationCascade pattern was raised with confidence 0.50. "
+        "Machine-03: ThermalVibrationCascade alert for 2026-01-12T08:15:00+00:00, confidence 0.50. "
     )
     records_ = A.training_records(alerts, F.col("source_events"), "offline-rubric", F.current_timestamp())
     row = records_.collect()[0]

@@ -38,3 +38,8 @@ def fixed(number: Column, digits: int) -> Column:
 def sentence(*parts: Column | str) -> Column:
     """Concatenation in which plain strings are literals."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def identity(*parts: Column) -> Column:
+    """A SHA-256 of the parts in order. They are hashed as a JSON list, so different lists never read the same."""
+    return F.sha2(F.to_json(F.array(*[p.cast("string") for p in parts])), 256)

@@ -54,9 +54,8 @@ def parse_responses(df: DataFrame, response: str) -> DataFrame:
     A surrounding code fence is dropped, anchors are trimmed and empty ones left out, confidence is
     clamped to [0, 1]. Responses without the needed keys get a ``reject_reason``.
     """
-    fence = r"(?s)^\s*```(?:json|JSON)?\s*\n?(.*?)\n?```\s*$"
     text = F.col(response)
-    body = F.when(text.rlike(fence), F.regexp_extract(text, fence, 1)).otherwise(text)
+    body = _unfenced(text)
     schema = "reasoning string, confidence_anchors array<string>, confidence string, alert_text string"
     parsed = df.withColumn("_r", F.from_json(body, schema)).withColumn("_body", body)
     confidence = F.col("_r.confidence").try_cast("double")
@@ -83,6 +82,13 @@ def parse_responses(df: DataFrame, response: str) -> DataFrame:
     )
 
 
+def _unfenced(text: Column) -> Column:
+    """Text without the code fence around it; a mark on one side only stays."""
+    bare = _strip(text)
+    fenced = bare.startswith("```") & bare.endswith("```") & (F.length(bare) >= 6)
+    return F.when(fenced, F.regexp_replace(F.regexp_replace(bare, "^`{3}[A-Za-z]*", ""), "`{3}$", "")).otherwise(text)
+
+
 def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -129,7 +135,7 @@ def score_by_rubric(df: DataFrame) -> DataFrame:
         lambda e: e["content"],
     )
     history = (
-        F.when(F.col("n_episodes") == 0, F.lit("No prior occurrences exist on this machine."))
+        F.when(F.col("n_episodes") == 0, F.lit("Nothing on record for this machine."))
         .otherwise(sentence(n.cast("string"), " of ", F.col("n_episodes").cast("string"), " retrieved episodes describe the same pattern."))
     )
     text = sentence(F.col("pattern_name"), " on ", F.col("machine_id"), ". ", history)
@@ -165,23 +171,22 @@ def gate_confidence(df: DataFrame, has_outcome: Column | None = None) -> DataFra
 
 def alert_id(prefix: str = "alert") -> Column:
     """The same for every delivery of a match, so that repeats can be told."""
-    return sentence(f"{prefix}-", F.lower("machine_id"), "-", F.substring("match_id", 1, 12))
+    return sentence(f"{prefix}-", F.lower("machine_id"), "-", F.col("match_id"))
 
 
 def alert_summary() -> Column:
     """Flags come before the cut to the word ceiling and may fall to it."""
     flags = F.when(
         F.size("validation_flags") > 0,
-        sentence(" Validation flags: ", F.array_join("validation_flags", ", "), "."),
+        sentence(" Gate: ", F.array_join("validation_flags", ", "), "."),
     ).otherwise("")
     text = sentence(
-        "Agent alert on ",
         F.col("machine_id"),
-        " at ",
-        isoformat(F.col("detected_ts")),
-        ": the ",
+        ": ",
         F.col("pattern_name"),
-        " pattern was raised with confidence ",
+        " alert for ",
+        isoformat(F.col("detected_ts")),
+        ", confidence ",
         fixed(F.col("confidence_final"), 2),
         ". ",
         F.coalesce("alert_text", F.lit("")),
@@ -226,7 +231,7 @@ def training_records(gated: DataFrame, source_events: Column, model: str, alerte
         ),
     )
     return gated.select(
-        sentence(f"{prefix}-", F.lower("machine_id"), "-", F.substring("match_id", 1, 12)).alias("record_id"),
+        sentence(f"{prefix}-", F.lower("machine_id"), "-", F.col("match_id")).alias("record_id"),
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         "machine_id",
         "pattern_name",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import schemas as S
-from tracewell.functions.text import fixed, sentence
+from tracewell.functions.text import fixed, identity, sentence
 from tracewell.operators import episodes as E
 
 # Position of each known machine type on the line (fixed values).
@@ -95,11 +95,10 @@ def intervention_mentions(interventions: DataFrame) -> DataFrame:
     return _mentions(interventions, "intervention", F.col("intervention_id"), mentioned)
 
 
-def _mentions(df: DataFrame, kind: str, identity: Column, mentioned: Column) -> DataFrame:
-    parts = F.concat_ws("|", F.lit(kind), F.col("machine_id"), identity)
-    return df.select(
-        F.substring(F.sha2(parts, 256), 1, 16).alias("episode_id"), F.explode(mentioned).alias("_e")
-    ).select("episode_id", "_e.*")
+def _mentions(df: DataFrame, kind: str, source: Column, mentioned: Column) -> DataFrame:
+    return df.select(E.episode_id(kind, source).alias("episode_id"), F.explode(mentioned).alias("_e")).select(
+        "episode_id", "_e.*"
+    )
 
 
 def match_facts(matches: DataFrame) -> DataFrame:
@@ -109,24 +108,18 @@ def match_facts(matches: DataFrame) -> DataFrame:
     """
     events = F.col("source_events")
     readings = sentence(
-        "peak sensor readings of temperature ",
+        "peak temperature ",
         fixed(E.peak(events, "temperature_c"), 1),
-        " °C, vibration RMS ",
+        " °C, peak vibration ",
         fixed(E.peak(events, "vibration_rms_mm_s"), 2),
-        " mm/s, and current draw ",
+        " mm/s, peak current ",
         fixed(E.peak(events, "current_a"), 1),
         " A",
     )
-    detail = F.coalesce(readings, sentence(F.coalesce("severity", F.lit("UNKNOWN")), " severity"))
-    detected = sentence(
-        "The ", F.col("pattern_name"), " pattern was detected on ", F.col("machine_id"), " with ", detail
-    )
-    experienced = sentence(
-        F.col("machine_id"), " experienced a ", F.col("pattern_name"), " pattern at ", F.col("detected_at"), ", with ", detail, "."
-    )
-    episode = F.substring(
-        F.sha2(F.concat_ws("|", F.lit("pattern_occurrence"), F.col("machine_id"), F.col("match_id")), 256), 1, 16
-    )
+    detail = F.coalesce(readings, sentence("severity ", F.coalesce("severity", F.lit("UNKNOWN"))))
+    detected = sentence(F.col("machine_id"), " showed ", F.col("pattern_name"), ", ", detail)
+    experienced = sentence(F.col("pattern_name"), " recorded for ", F.col("machine_id"), " at ", F.col("detected_at"), ", ", detail, ".")
+    episode = E.episode_id("pattern_occurrence", F.col("match_id"))
     pair = F.array(
         F.struct(F.lit("DETECTED_ON").alias("name"), F.col("pattern_name").alias("source"), F.col("machine_id").alias("target"), detected.alias("fact")),
         F.struct(F.lit("EXPERIENCED_PATTERN").alias("name"), F.col("machine_id").alias("source"), F.col("pattern_name").alias("target"), experienced.alias("fact")),
@@ -138,7 +131,7 @@ def match_facts(matches: DataFrame) -> DataFrame:
         F.array(episode).alias("episodes"),
         F.explode(pair).alias("_f"),
     ).select(
-        F.substring(F.sha2(F.concat_ws("|", "match_id", "_f.name"), 256), 1, 16).alias("fact_id"),
+        identity(F.col("match_id"), F.col("_f.name")).alias("fact_id"),
         "group_id",
         "_f.*",
         "valid_at",
@@ -146,23 +139,64 @@ def match_facts(matches: DataFrame) -> DataFrame:
     )
 
 
+def _fact(name: str, key: Column, source: Column, target: Column, text: Column, time: Column, episode: Column) -> list[Column]:
+    return [
+        identity(key, F.lit(name)).alias("fact_id"),
+        F.col("machine_id").alias("group_id"),
+        F.lit(name).alias("name"),
+        source.alias("source"),
+        target.alias("target"),
+        text.alias("fact"),
+        time.alias("valid_at"),
+        F.array(episode).alias("episodes"),
+    ]
+
+
 def alert_facts(alerts: DataFrame) -> DataFrame:
     """One fact per alert episode, told by its summary."""
-    episode = F.substring(
-        F.sha2(F.concat_ws("|", F.lit("agent_alert"), F.col("machine_id"), F.col("alert_id")), 256), 1, 16
-    )
+    key = F.col("alert_id")
+    episode = E.episode_id("agent_alert", key)
     return alerts.select(
-        F.substring(F.sha2(F.concat_ws("|", "alert_id", F.lit("DETECTED_WITH")), 256), 1, 16).alias("fact_id"),
-        F.col("machine_id").alias("group_id"),
-        F.lit("DETECTED_WITH").alias("name"),
-        F.col("pattern_name").alias("source"),
-        F.col("machine_id").alias("target"),
-        F.col("summary").alias("fact"),
-        F.col("detected_ts").alias("valid_at"),
-        F.array(episode).alias("episodes"),
+        *_fact("DETECTED_WITH", key, F.col("pattern_name"), F.col("machine_id"), F.col("summary"), F.col("detected_ts"), episode)
     )
 
 
+def intervention_facts(narrated: DataFrame) -> DataFrame:
+    """Facts of accepted, narrated interventions: PERFORMED_ON the machine, TARGETED the pattern if one is named."""
+    key = F.coalesce("intervention_id", F.col("body"))
+    time, episode = F.coalesce("performed_at", F.current_timestamp()), E.episode_id("intervention", key)
+    performed = narrated.select(*_fact("PERFORMED_ON", key, key, F.col("machine_id"), F.col("body"), time, episode))
+    against = sentence(
+        F.col("target_pattern_name"), " on ", F.col("machine_id"), " was answered with ",
+        F.replace("intervention_type", F.lit("_"), F.lit(" ")), ", record ", key, ".",
+    )
+    aimed = narrated.filter(F.coalesce("target_pattern_name", F.lit("")) != "")
+    return performed.unionByName(aimed.select(*_fact("TARGETED", key, key, F.col("target_pattern_name"), against, time, episode)))
+
+
+def outcome_facts(outcomes: DataFrame) -> DataFrame:
+    """One fact per outcome entity: the intervention RESULTED_IN it."""
+    key = F.col("outcome_id")
+    time, episode = F.coalesce("observed_at", F.current_timestamp()), E.episode_id("outcome", key)
+    return outcomes.select(*_fact("RESULTED_IN", key, F.col("intervention_id"), key, E.outcome_text(), time, episode))
+
+
+def intervention_entities(interventions: DataFrame) -> DataFrame:
+    """One row per intervention id."""
+    fields = ["machine_id", "intervention_type", "performed_at", "performed_by", "notes", "target_pattern_name"]
+    known = interventions.filter(F.col("intervention_id").isNotNull())
+    # One whole row of a repeated id, the least.
+    least = known.groupBy("intervention_id").agg(F.min(F.struct(*fields)).alias("_r"))
+    return least.select("intervention_id", "_r.*")
+
+
+def alert_entities(alerts: DataFrame) -> DataFrame:
+    """One row per alert id, of gated matches that carry ``alert_id``."""
+    fields = ["machine_id", "pattern_name", "detected_ts", "severity", "confidence_raw", "confidence_final"]
+    least = alerts.groupBy("alert_id").agg(F.min(F.struct(*fields)).alias("_r"))
+    return least.select("alert_id", "_r.*")
+
+
 def fact_entities(facts: DataFrame) -> DataFrame:
     return facts.select("fact_id", F.explode(F.array("source", "target")).alias("entity")).distinct()
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell import schemas as S
-from tracewell.functions.text import sentence
+from tracewell.functions.text import identity, sentence
 
 
 def _match(pattern: str, machine: Column, detected_at: Column, events: Column, violation: Column | None = None):
@@ -81,9 +81,14 @@ def order_flow_matches(violations: DataFrame) -> DataFrame:
     )
 
 
+def raw_events() -> Column:
+    """The source events with every field they came with."""
+    return F.transform("source_json", lambda e: F.coalesce(F.try_parse_json(e), e.cast("variant")))
+
+
 def match_value() -> Column:
     """The match as one JSON document with its source events nested."""
-    events = F.transform("source_json", lambda e: F.coalesce(F.try_parse_json(e), e.cast("variant")))
+    events = raw_events()
     return F.to_json(
         F.struct(
             "schema_version",
@@ -110,21 +115,26 @@ def match_messages(matches: DataFrame, prefix: str) -> DataFrame:
 def match_key() -> list[Column]:
     """What makes two matches the same occurrence.
 
-    Machine and second would not do: two order-flow violations can share both.
+    Machine and time would not do: two order-flow violations can share both, and without an order id
+    only their events tell them apart.
     """
-    order_ids = F.array_distinct(F.transform("source_events", lambda e: F.coalesce(e["order_id"], F.lit(""))))
+
+    def listed(field: str) -> Column:
+        return F.to_json(F.array_distinct(F.transform("source_events", lambda e: F.coalesce(e[field], F.lit("")))))
+
     return [
         F.col("pattern_name"),
         F.col("machine_id"),
         F.unix_millis(F.col("detected_ts")).cast("string"),
         F.coalesce("violation_type", F.lit("")),
-        F.array_join(order_ids, ","),
+        listed("order_id"),
+        listed("event_id"),
     ]
 
 
 def with_match_id(matches: DataFrame) -> DataFrame:
     """Add ``match_id``, the same for every delivery of the same match."""
-    return matches.withColumn("match_id", F.substring(F.sha2(F.concat_ws("|", *match_key()), 256), 1, 16))
+    return matches.withColumn("match_id", identity(*match_key()))
 
 
 def distinct_matches(matches: DataFrame) -> DataFrame:

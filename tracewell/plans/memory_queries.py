@@ -52,12 +52,11 @@ CASCADE_ROWS_SQL = f"""
     f"""WITH RECURSIVE {D.CASCADES_SQL}, {CASCADE_ROWS_SQL}
     SELECT machine_id, {D.iso_sql('c_time')} AS detected_at,
       CASE WHEN lacking THEN 'source event lacks sensor data' END AS reject_reason,
-      CASE WHEN NOT lacking THEN 'Pattern occurrence ' || {occurrence_sql('machine_id', 'c_time')}
-        || ': the ThermalVibrationCascade pattern (family bearing_degradation) was detected on ' || machine_id
-        || ', a rolling mill, at ' || {D.iso_sql('c_time')} || ' with CRITICAL severity. The cascade developed over '
-        || printf('%.0f', (c_time - a_time) / 1000.0::DOUBLE) || ' seconds, beginning ' || {D.iso_sql('a_time')}
-        || '. Peak sensor readings during the cascade were temperature ' || printf('%.1f', temperature)
-        || ' °C, vibration RMS ' || printf('%.2f', vibration) || ' mm/s, and current draw ' || printf('%.1f', current) || ' A.'
+      CASE WHEN NOT lacking THEN 'ThermalVibrationCascade on ' || machine_id || ', occurrence ' || {occurrence_sql('machine_id', 'c_time')}
+        || ', family bearing_degradation, severity CRITICAL. The rolling mill took its first step at ' || {D.iso_sql('a_time')}
+        || ' and the last ' || printf('%.0f', (c_time - a_time) / 1000.0::DOUBLE) || ' s later, noticed at ' || {D.iso_sql('c_time')}
+        || '. Maxima: ' || printf('%.1f', temperature) || ' °C, ' || printf('%.2f', vibration) || ' mm/s, '
+        || printf('%.1f', current) || ' A.'
       END AS body
     FROM told"""
 )
@@ -70,11 +69,9 @@ def episode_text(spark, sf_dir):
 
 @query(
     f"""SELECT 'Machine-' || user_id AS machine_id, {D.iso_sql('ms')} AS detected_at,
-      'Pattern occurrence ' || {occurrence_sql("'Machine-' || user_id", 'ms')}
-        || ': the MissingHeartbeat pattern (family connectivity_failure) was detected on Machine-' || user_id || ' at '
-        || {D.iso_sql('ms')} || ' with CRITICAL severity. The last heartbeat was received at ' || {D.iso_sql('previous_ms')}
-        || ' (sequence ' || coalesce(previous_k::VARCHAR, '?')
-        || '). Absence of heartbeats indicates a potential connectivity or power failure.' AS body
+      'MissingHeartbeat on Machine-' || user_id || ', occurrence ' || {occurrence_sql("'Machine-' || user_id", 'ms')}
+        || ', family connectivity_failure, severity CRITICAL. Silent since heartbeat ' || coalesce(previous_k::VARCHAR, '?')
+        || ' of ' || {D.iso_sql('previous_ms')} || ', noticed at ' || {D.iso_sql('ms')} || '; check its network and power.' AS body
     FROM ({D.gaps_sql('event_id', "WHERE event_type <> 'view'").replace(
         "(props ->> '$.k')::BIGINT AS k", "CASE WHEN event_type <> 'signup' THEN (props ->> '$.k')::BIGINT END AS k")})"""
 )
@@ -85,10 +82,9 @@ def heartbeat_text(spark, sf_dir):
 
 @query(
     f"""SELECT {D.iso_sql('ms')} AS detected_at, violation_type,
-      'Pattern occurrence ' || {occurrence_sql("'EDI-System'", 'ms')}
-        || ': the EDISequenceViolation pattern (family edi_compliance) was detected at ' || {D.iso_sql('ms')}
-        || ' with HIGH severity. Violation type: ' || violation_type || '. Affected order: '
-        || CASE WHEN order_id = '' THEN 'unknown' ELSE order_id END || '. Involved EDI message types: '
+      'EDISequenceViolation on EDI-System, occurrence ' || {occurrence_sql("'EDI-System'", 'ms')}
+        || ', family edi_compliance, severity HIGH. Order ' || CASE WHEN order_id = '' THEN 'not named' ELSE order_id END
+        || ' broke rule ' || violation_type || ', noticed at ' || {D.iso_sql('ms')} || '. Messages: '
         || CASE WHEN violation_type = 'invoice_without_shipment' THEN 'order, invoice' ELSE kind END || '.' AS body
     FROM ({D.ORDER_MATCHES_SQL}) WHERE violation_type IS NOT NULL"""
 )
@@ -115,12 +111,12 @@ def interventions(spark, sf_dir) -> DataFrame:
 @query(
     """SELECT 'act-' || event_id AS intervention_id,
       CASE WHEN value <= 20 THEN 'unknown intervention type: polishing' END AS reject_reason,
-      CASE WHEN value > 20 THEN 'Intervention act-' || event_id || ': a '
-        || CASE WHEN value > 60 THEN 'bearing replacement' ELSE 'lubrication' END || ' intervention was performed on Machine-'
-        || user_id || ' at ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00 by '
-        || CASE WHEN value > 30 THEN 'crew ' || user_id ELSE 'an unknown technician' END || '.'
-        || CASE WHEN value > 100 THEN ' It targeted the ThermalVibrationCascade pattern.' ELSE '' END
-        || CASE WHEN value > 40 THEN ' Notes: ' || props ELSE '' END END AS body
+      CASE WHEN value > 20 THEN 'Machine-' || user_id || ' serviced: '
+        || CASE WHEN value > 60 THEN 'bearing replacement' ELSE 'lubrication' END
+        || CASE WHEN value > 100 THEN ', against ThermalVibrationCascade' ELSE '' END
+        || ', record act-' || event_id || ', time ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00, by '
+        || CASE WHEN value > 30 THEN 'crew ' || user_id ELSE 'someone not recorded' END || '.'
+        || CASE WHEN value > 40 THEN ' Remarks: ' || props ELSE '' END END AS body
     FROM events WHERE event_type = 'purchase'"""
 )
 def intervention_text(spark, sf_dir):
@@ -430,14 +426,13 @@ def response_parse(spark, sf_dir):
 @query(
     r"""SELECT doc_id, CASE WHEN len(w) <= 100 THEN full_text ELSE array_to_string(w[1:100], ' ') END AS summary
     FROM (SELECT doc_id, full_text, regexp_split_to_array(trim(full_text, E' \n\t\r'), '\s+') AS w
-      FROM (SELECT d.doc_id, 'Agent alert on ' || source || ' at ' || strftime(make_timestamp(d.doc_id * 1000000), '%Y-%m-%dT%H:%M:%S')
-          || '+00:00: the ' || lang || ' pattern was raised with confidence ' || CASE WHEN quality = 1 THEN '0.30' ELSE '0.20' END || '. ' || text
-          || ' Validation flags: no_anchors.' AS full_text
-        FROM documents d JOIN labels l ON l.doc_id = d.doc_id))"""
+      FROM (SELECT d.doc_id, source || ': ' || lang || ' alert for ' || strftime(make_timestamp(d.doc_id * 1000000), '%Y-%m-%dT%H:%M:%S')
+          || '+00:00, confidence ' || CASE WHEN quality = 1 THEN '0.30' ELSE '0.20' END || '. ' || text || ' Gate: no_anchors.' AS full_text
+        FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id))"""
 )
 def alert_summary(spark, sf_dir):
     """Alert texts of up to 20 000 words, with flags, cut to 100 words."""
-    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     rows = docs.select(
         "doc_id",
         F.col("source").alias("machine_id"),
@@ -451,7 +446,7 @@ def alert_summary(spark, sf_dir):
     return gated.select("doc_id", A.alert_summary().alias("summary"))
 
 
-MATCH_ID_SQL = "substr(sha256('ThermalVibrationCascade|Machine-' || user_id || '|' || c_time || '||'), 1, 12)"
+MATCH_ID_SQL = r"""sha256('["ThermalVibrationCascade","Machine-' || user_id || '","' || c_time || '","","[\"\"]","[\"\"]"]')"""
 
 
 @query(
@@ -463,7 +458,7 @@ MATCH_ID_SQL = "substr(sha256('ThermalVibrationCascade|Machine-' || user_id || '
 )
 def training_records(spark, sf_dir):
     """Records of cascades without any history: a first sighting, capped by the gate."""
-    record = A.training_records(_first_sightings(spark, sf_dir), F.col("source_events"), "offline-rubric")
+    record = A.training_records(_first_sightings(spark, sf_dir), M.raw_events(), "offline-rubric")
     return record.select(
         "record_id",
         "machine_id",
@@ -492,7 +487,7 @@ def _first_sightings(spark, sf_dir) -> DataFrame:
     SELECT 'alert-machine-' || user_id || '-' || {MATCH_ID_SQL} AS alert_id, 'Machine-' || user_id AS machine_id,
       strftime(make_timestamp(c_time * 1000), '%Y-%m-%dT%H:%M:%S') || CASE WHEN c_time % 1000 = 0 THEN '' ELSE strftime(make_timestamp(c_time * 1000), '.%f') END || '+00:00' AS detected_at,
       '2026-01-01T00:00:00+00:00' AS alerted_at, 'CRITICAL' AS severity, 0.3::DOUBLE AS confidence, 0 AS retrieved_episode_count,
-      'ThermalVibrationCascade on Machine-' || user_id || '. No prior occurrences exist on this machine.' AS alert_text
+      'ThermalVibrationCascade on Machine-' || user_id || '. Nothing on record for this machine.' AS alert_text
     FROM matched"""
 )
 def alert_records(spark, sf_dir):
@@ -553,6 +548,6 @@ def training_files(spark, sf_dir):
     """Training records written as one folder of JSON lines per day and read back."""
     path = fresh_path(spark, "training")
     rows = _first_sightings(spark, sf_dir)
-    append_training_records(A.training_records(rows, F.col("source_events"), "offline-rubric", F.col("detected_ts")), path)
+    append_training_records(A.training_records(rows, M.raw_events(), "offline-rubric", F.col("detected_ts")), path)
     read = spark.read.schema("record_id string, alert_date date").json(path)
     return read.groupBy(F.col("alert_date").cast("string").alias("alert_date")).agg(F.count("record_id").alias("n"))

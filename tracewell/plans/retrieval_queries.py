@@ -202,17 +202,17 @@ def typed_two_tier(spark, sf_dir):
 
 
 # Both rankings, fused; then the reranked four of the only type there is.
-DETAIL_SQL = """'peak sensor readings of temperature ' || printf('%.1f', temperature) || ' °C, vibration RMS '
-      || printf('%.2f', vibration) || ' mm/s, and current draw ' || printf('%.1f', current) || ' A'"""
-FACT_ID_SQL = "substr(sha256(match_id || '|{name}'), 1, 16)"
+DETAIL_SQL = """'peak temperature ' || printf('%.1f', temperature) || ' °C, peak vibration ' || printf('%.2f', vibration) || ' mm/s, peak current '
+      || printf('%.1f', current) || ' A'"""
+FACT_ID_SQL = """sha256('["' || match_id || '","{name}"]')"""
 HISTORY_SQL = rf"""
     WITH RECURSIVE {D.CASCADES_SQL}, {CASCADE_ROWS_SQL},
-    m AS (SELECT *, substr(sha256('ThermalVibrationCascade|' || machine_id || '|' || c_time || '||'), 1, 16) AS match_id FROM told),
+    m AS (SELECT *, sha256('["ThermalVibrationCascade","' || machine_id || '","' || c_time || '","","[\"\"]","[\"\"]"]') AS match_id FROM told),
     facts AS (
       SELECT {FACT_ID_SQL.format(name='DETECTED_ON')} AS doc_id, machine_id,
-        'The ThermalVibrationCascade pattern was detected on ' || machine_id || ' with ' || {DETAIL_SQL} AS text FROM m WHERE NOT lacking
+        machine_id || ' showed ThermalVibrationCascade, ' || {DETAIL_SQL} AS text FROM m WHERE NOT lacking
       UNION ALL SELECT {FACT_ID_SQL.format(name='EXPERIENCED_PATTERN')}, machine_id,
-        machine_id || ' experienced a ThermalVibrationCascade pattern at ' || {D.iso_sql('c_time')} || ', with ' || {DETAIL_SQL} || '.'
+        'ThermalVibrationCascade recorded for ' || machine_id || ' at ' || {D.iso_sql('c_time')} || ', ' || {DETAIL_SQL} || '.'
         FROM m WHERE NOT lacking),
     questions AS (SELECT match_id, machine_id, 'ThermalVibrationCascade on ' || machine_id || ' with peak temperature '
       || printf('%.1f', temperature) || ' C' AS text FROM m),
@@ -242,14 +242,14 @@ HISTORY_SQL = rf"""
         WHERE retrieval_rank < 30)),
     held AS (SELECT match_id, string_agg(doc_id, ',' ORDER BY rank) AS retrieved, count(*) AS n FROM best WHERE rank <= 4 GROUP BY match_id),
     raised AS (SELECT m.*, coalesce(retrieved, '') AS retrieved, coalesce(h.n, 0) AS n FROM m LEFT JOIN held h ON h.match_id = m.match_id)
-    SELECT 'alert-' || lower(machine_id) || '-' || substr(match_id, 1, 12) AS alert_id, machine_id, {D.iso_sql('c_time')} AS detected_at,
+    SELECT 'alert-' || lower(machine_id) || '-' || match_id AS alert_id, machine_id, {D.iso_sql('c_time')} AS detected_at,
       CASE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS confidence_raw, CASE WHEN n > 0 THEN 0.5::DOUBLE ELSE 0.3::DOUBLE END AS confidence_final,
       CASE WHEN n > 0 THEN '' ELSE 'no_anchors' END AS flags, retrieved,
-      'Agent alert on ' || machine_id || ' at ' || strftime(make_timestamp(c_time * 1000), '%Y-%m-%dT%H:%M:%S')
+      machine_id || ': ThermalVibrationCascade alert for ' || strftime(make_timestamp(c_time * 1000), '%Y-%m-%dT%H:%M:%S')
         || CASE WHEN c_time % 1000 = 0 THEN '' ELSE strftime(make_timestamp(c_time * 1000), '.%f') END
-        || '+00:00: the ThermalVibrationCascade pattern was raised with confidence ' || CASE WHEN n > 0 THEN '0.50' ELSE '0.30' END
+        || '+00:00, confidence ' || CASE WHEN n > 0 THEN '0.50' ELSE '0.30' END
         || '. ThermalVibrationCascade on ' || machine_id || '. ' || CASE WHEN n > 0 THEN n || ' of ' || n
-          || ' retrieved episodes describe the same pattern.' ELSE 'No prior occurrences exist on this machine. Validation flags: no_anchors.' END AS summary
+          || ' retrieved episodes describe the same pattern.' ELSE 'Nothing on record for this machine. Gate: no_anchors.' END AS summary
     FROM raised"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.times import iso_millis, iso_timestamp
-from tracewell.schemas import MATCH, MATCH_FIELDS, MISSING_READING
+from tracewell.schemas import MATCH_FIELDS, MISSING_READING
 
 NOT_JSON = "not a JSON object"
 BAD_TIME = "event_time missing or not ISO-8601"
@@ -19,6 +19,11 @@ _TELEMETRY_TEXT = (
     "sensors map<string,string>, meta struct<sim_seed:int,injected_fault:string>, _bad string"
 )
 _HEARTBEAT_TEXT = "machine_id string, event_time string, event_type string, sequence string, _bad string"
+_MATCH_TEXT = ", ".join(f"{name} string" for name in MATCH_FIELDS) + ", _bad string"
+_SOURCE_TEXT = (
+    "machine_id string, machine_type string, event_time string, event_type string, sensors map<string,string>, "
+    "sequence string, event_id string, order_id string, payload string"
+)
 _ORDER_TEXT = "event_id string, event_type string, order_id string, event_time string, payload string, _bad string"
 
 
@@ -104,9 +109,12 @@ def parse_order_events(records: DataFrame) -> DataFrame:
     time = F.coalesce(F.col("_p.event_time"), F.lit(""))
     rows = _parsed(records, _ORDER_TEXT).withColumn("_ms", once(F.unix_millis(iso_timestamp(time))))
     millis = F.col("_ms")
-    is_container = F.substring(F.ltrim(F.get_json_object("raw_json", "$.payload")), 1, 1).isin("{", "[")
-    was_text = F.col("raw_json").rlike(r'"payload"\s*:\s*"')
-    payload = F.when(is_container & ~was_text, "").otherwise(F.coalesce(F.col("_p.payload"), F.lit("")))
+    read = F.coalesce(F.col("_p.payload"), F.lit(""))
+    # Only a text that looks like a container needs the record's own type of the field.
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("raw_json"), "$.payload", "variant"))
+    looks_so = F.substring(read, 1, 1).isin("{", "[")
+    is_container = F.when(looks_so, F.coalesce(kind.rlike("^(OBJECT|ARRAY)"), F.lit(False))).otherwise(False)
+    payload = F.when(is_container, "").otherwise(read)
 
     def text(name: str) -> Column:
         return F.coalesce(F.col(f"_p.{name}"), F.lit("")).alias(name)
@@ -131,15 +139,39 @@ REQUIRED = ("machine_id", "pattern_name", "detected_at", "severity", "source_eve
 
 
 def parse_matches(records: DataFrame) -> DataFrame:
-    """Pattern matches from their JSON records, typed by ``MATCH`` and checked."""
-    rows = _parsed(records, MATCH + ", _bad string")
-    fields = [F.col(f"_p.{name}").alias(name) for name in MATCH_FIELDS]
-    typed = rows.select(*fields, *_extra(rows), _not_json().alias("_broken"))
+    """Pattern matches from their JSON records, checked.
+
+    ``source_json`` holds each source event as it came; ``source_events`` is a typed view of it, in which
+    a field of an unexpected kind is null and no reason to reject the match.
+    """
+    rows = _parsed(records, _MATCH_TEXT)
+    listed = F.col("_p.source_events")
+    texts = F.when(F.substring(listed, 1, 1) == "[", F.from_json(listed, "array<string>")).when(listed != "", F.array(listed))
+    rows = rows.withColumn("_texts", once(texts))
+    rows = rows.withColumn("_events", once(F.transform("_texts", lambda e: F.from_json(e, _SOURCE_TEXT))))
+    plain = [F.col(f"_p.{name}").alias(name) for name in MATCH_FIELDS if name != "source_events"]
+    typed = rows.select(
+        *plain,
+        F.transform("_events", _source_event).alias("source_events"),
+        F.col("_texts").alias("source_json"),
+        *_extra(rows),
+        _not_json().alias("_broken"),
+    )
     checked = check_matches(typed)
     reason = F.when(F.col("_broken"), NOT_JSON).otherwise(F.col("reject_reason"))
     return checked.withColumn("reject_reason", reason).drop("_broken")
 
 
+def _source_event(e: Column) -> Column:
+    text = ["machine_id", "machine_type", "event_time", "event_type"]
+    return F.struct(
+        *[e[n].alias(n) for n in text],
+        F.transform_values(e["sensors"], lambda _, v: v.try_cast("double")).alias("sensors"),
+        e["sequence"].try_cast("double").try_cast("long").alias("sequence"),
+        *[e[n].alias(n) for n in ("event_id", "order_id", "payload")],
+    )
+
+
 def missing_fields(df: DataFrame, required: tuple[str, ...] = REQUIRED) -> Column:
     """Names of the required fields that are null, empty text or an empty list."""
 

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tracewell.operators import alerts as A
 from tracewell.operators import entities as G
 from tracewell.operators import episodes as E
+from tracewell.operators import matches as M
 from tracewell.operators import retrieval as R
 from tracewell.plans import memory
 from tracewell.sources.ingest import accepted
@@ -46,6 +47,7 @@ def remember(records: DataFrame, path: str, checkpoint: str) -> DataStreamWriter
     """Match records to ``episodes``, ``facts`` and ``rejects`` below ``path``."""
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = checkpointed(batch)
         episodes, rejects = memory.ingest_matches(batch)
         _replace(episodes, f"{path}/episodes", number, "group_id")
         told = accepted(E.narrate_matches(memory.known_matches(batch)))
@@ -81,7 +83,7 @@ def alert(
         told = accepted(E.check_alerts(done))
         _replace(E.alert_episodes(told), f"{path}/episodes", number, "group_id")
         _replace(G.alert_facts(told), f"{path}/facts", number, "group_id")
-        training = A.training_records(done, F.col("source_events"), model, F.col("alerted_at"))
+        training = A.training_records(done, M.raw_events(), model, F.col("alerted_at"))
         dated = training.withColumn("alert_date", F.to_date("alerted_at"))
         _replace(dated, f"{path}/training", number, "alert_date", "json")
 
