@@ -310,3 +310,57 @@ def test_occurrence_id(spark):
     df = spark.createDataFrame([("Machine-03", "2026-01-12T08:15:00.123+02:00"), ("M", "2026-01-12T08:15Z")], "m string, t string")
     got = [r.o for r in df.select(E.occurrence_id(F.col("m"), F.col("t"), "x").alias("o")).collect()]
     assert got == ["x-machine-03-20260112T081500Z", "x-m-20260112T081500Z"]
+
+
+@pytest.mark.parametrize("rows", [10, 0])
+def test_later_facts_take_no_place(spark, monkeypatch, rows):
+    """Forty later facts that match better do not push the earlier one out of any ranking."""
+    monkeypatch.setattr(R, "BROADCAST_ROWS", rows)
+    facts = [("old", "one pump leak", "g", 1)] + [(f"new{i}", "pump leak pump leak", "g", 100 + i) for i in range(40)]
+    facts = spark.createDataFrame(facts, "fact_id string, fact string, group_id string, t long").select(
+        "fact_id", "fact", "group_id", F.timestamp_seconds("t").alias("valid_at"), F.lit("").alias("name"),
+        F.array("fact_id").alias("episodes"), F.when(F.col("fact_id") == "old", F.array(F.lit(1.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0))).alias("embedding"),
+    )
+    asked = spark.createDataFrame([("q1", "pump leak", "g", 50), ("q2", "pump leak", None, 50), ("q3", "pump leak", "g", None)],
+                                  "query_id string, text string, group_id string, t long")
+    asked = asked.select("query_id", "text", "group_id", F.timestamp_seconds("t").alias("as_of"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    mine = asked.select("query_id", F.lit("e").alias("entity"))
+    theirs = facts.select("fact_id", F.lit("e").alias("entity"))
+    got = R.hybrid_candidates(asked, facts, mine, theirs).collect()
+    assert {r.query_id: sum(s.query_id == r.query_id for s in got) for r in got} == {"q1": 1, "q2": 1, "q3": 30}
+    assert all(r.fact_id == "old" for r in got if r.query_id != "q3")
+
+
+def test_facts_of_interventions_and_outcomes(spark):
+    rows = [("i1", "m", "lubrication", None, "Kim", None, "P"), ("i2", "m", "lubrication", None, None, None, None), ("i1", "m", "lubrication", None, "Kim", None, "P")]
+    told = E.narrate_interventions(spark.createDataFrame(rows, INTERVENTION))
+    facts = G.intervention_facts(told).distinct()
+    assert sorted((r.name, r.source, r.target) for r in facts.collect()) == [
+        ("PERFORMED_ON", "i1", "m"), ("PERFORMED_ON", "i2", "m"), ("TARGETED", "i1", "P")]
+    episodes = {r.episode_id for r in E.intervention_episodes(told).collect()}
+    assert {r.episodes[0] for r in facts.collect()} == episodes
+    assert sorted(r.intervention_id for r in G.intervention_entities(told).collect()) == ["i1", "i2"]
+    graded = spark.createDataFrame([("i1", "m", "recurred", 4, 30, 1_000)],
+                                   "intervention_id string, machine_id string, outcome_status string, days_until_recurrence int, evaluation_window_days int, observed_ms long")
+    outcomes = G.outcomes(graded)
+    fact, episode = G.outcome_facts(outcomes).head(), E.outcome_episodes(outcomes).head()
+    assert (fact.name, fact.source, fact.target, fact.episodes) == ("RESULTED_IN", "i1", "outcome-i1", [episode.episode_id])
+    assert episode.body == "m after i1: recurred, seen again after 4 days, judged over 30 days."
+
+
+def test_the_chain_reaches_the_top_tier(spark, history):
+    """With interventions and outcomes in memory, tier 1 returns them and the gate lets 0.9 pass."""
+    matches, facts, episodes = stored(history)
+    actions = spark.createDataFrame([("i1", "Machine-03", "bearing_replacement", None, None, None, "ThermalVibrationCascade")], INTERVENTION)
+    told = E.narrate_interventions(actions.withColumn("performed_at", F.to_timestamp(F.lit("2026-05-10"))))
+    outcomes = G.outcomes(spark.createDataFrame(
+        [("ThermalVibrationCascade on Machine-03 with peak temperature", "Machine-03", "resolved", None, 30, 1_000)],
+        "intervention_id string, machine_id string, outcome_status string, days_until_recurrence int, evaluation_window_days int, observed_ms long"))
+    facts = facts.unionByName(G.intervention_facts(told).filter("name = 'TARGETED'")).unionByName(G.outcome_facts(outcomes))
+    episodes = episodes.unionByName(E.intervention_episodes(told)).unionByName(E.outcome_episodes(outcomes))
+    tiers = [(["intervention"], 1), (["outcome"], 1), (["pattern_occurrence"], 3)]
+    found = R.two_tier_history(memory.match_queries(matches), facts, episodes, tiers=tiers)
+    kinds = {r.episode_type for r in found.collect()}
+    assert kinds == {"pattern_occurrence", "intervention", "outcome"}
+    raised = memory.raise_alerts(R.attach_history(matches, found)).collect()
+    assert all(r.confidence_raw == 0.9 and r.confidence_final == 0.9 for r in raised)

@@ -27,6 +27,15 @@ BROADCAST_ROWS = 1_000_000
 BLOCK_ROWS = 4096
 
 
+def _dated(docs: DataFrame, queries: DataFrame) -> bool:
+    """Whether queries say until when they look; then only documents valid by then are ranked for them."""
+    return "valid_at" in docs.columns and "as_of" in queries.columns
+
+
+def _visible() -> Column:
+    return F.col("as_of").isNull() | F.coalesce(F.col("valid_at") <= F.col("as_of"), F.lit(False))
+
+
 def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     """Best ``k`` per query, ties by document. Spark cuts each partition to ``k`` per query first."""
     best = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("doc_id"))
@@ -52,13 +61,15 @@ def bm25_topk(
     best ``k`` per query and partition are shuffled. A larger one is joined by shuffles, after
     ``_pruned`` has left out the pairs that cannot reach the result.
     """
-    groups = ["group_id"] if by_group else []
+    dated = _dated(docs, queries)
+    groups = [*(["group_id"] if by_group else []), *(["valid_at"] if dated else [])]
     tokens = docs.select("doc_id", *groups, terms(F.col("text")).alias("_t"))
     corpus = F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("_t")).alias("mean_length"))
     size = tokens.agg(corpus.alias("s")).scalar()
     asked = queries.select(
         "query_id",
-        *(F.col(g).alias("_scope") for g in groups),
+        *([F.col("group_id").alias("_scope")] if by_group else []),
+        *(["as_of"] if dated else []),
         F.explode(F.array_distinct(terms(F.col("text")))).alias("term"),
     )
     vocabulary = asked.select("term").distinct()
@@ -83,6 +94,18 @@ def bm25_topk(
 def _met(postings: DataFrame, weights: DataFrame, by_group: bool) -> DataFrame:
     """Postings with the query terms they match; a scoped query only meets its own group."""
     held = ["query_id", "doc_id", "_idf", "_part"]
+    if "as_of" in weights.columns:
+        undated = _met(postings.drop("valid_at"), weights.filter(F.col("as_of").isNull()).drop("as_of"), by_group)
+        keys = ["group_id", "term"] if by_group else ["term"]
+        asked = weights.filter(F.col("as_of").isNotNull())
+        parts = [undated]
+        if by_group:
+            parts.append(postings.join(asked.filter(F.col("_scope").isNotNull()).withColumnRenamed("_scope", "group_id"), keys))
+            asked = asked.filter(F.col("_scope").isNull()).drop("_scope")
+        parts.append(postings.join(asked, "term"))
+        for part in parts[1:]:
+            undated = undated.unionByName(part.filter(_visible()).select(*held))
+        return undated
     if not by_group:
         return postings.join(weights, "term").select(*held)
     scoped = weights.filter(F.col("_scope").isNotNull()).withColumnRenamed("_scope", "group_id")
@@ -153,8 +176,9 @@ def _blocked(docs: DataFrame, queries: DataFrame, group: list[str], k: int, bloc
             other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))
         )
 
+    dated = _dated(docs, queries)
     # Fresh column ids: both sides may come from one table.
-    queries = queries.select(*[F.col(c).alias(c) for c in [*group, "query_id", "embedding"]])
+    queries = queries.select(*[F.col(c).alias(c) for c in [*group, "query_id", "embedding", *(["as_of"] if dated else [])]])
     counts = [blocks(docs, "_ds"), blocks(queries, "_qs")]
     if group:
         both = counts[0].join(counts[1], group)
@@ -164,8 +188,8 @@ def _blocked(docs: DataFrame, queries: DataFrame, group: list[str], k: int, bloc
         nd, nq = (F.greatest(c.scalar(), F.lit(1)) for c in counts)
         left, right = (df.withColumns({"_ds": nd, "_qs": nq}) for df in (docs, queries))
     key = [*group, "_d", "_q"]
-    left = spread(left, "doc_id", "_d", "_q").select(*key, "doc_id", "embedding")
-    right = spread(right, "query_id", "_q", "_d").select(*key, "query_id", "embedding")
+    left = spread(left, "doc_id", "_d", "_q").select(*key, "doc_id", "embedding", *(["valid_at"] if dated else []))
+    right = spread(right, "query_id", "_q", "_d").select(*key, "query_id", "embedding", *(["as_of"] if dated else []))
     fields = [queries.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best_in_block(k), schema)
@@ -177,16 +201,20 @@ def _best_in_block(k: int):
             return pd.DataFrame({"query_id": queries.query_id[:0], "doc_id": docs.doc_id[:0], "score": np.empty(0)})
         docs = docs.sort_values("doc_id", ignore_index=True)
         scores = np.round(_unit(queries.embedding) @ _unit(docs.embedding).T, SCORE_DIGITS)
+        if "as_of" in queries.columns:
+            as_of, valid = queries.as_of.to_numpy()[:, None], docs.valid_at.to_numpy()[None, :]
+            scores = np.where(np.isnat(as_of) | (valid <= as_of), scores, -np.inf)
         # Stable, so equal scores stay in document order.
         chosen = np.argsort(-scores, axis=1, kind="stable")[:, :k]
         width = chosen.shape[1]
-        return pd.DataFrame(
+        found = pd.DataFrame(
             {
                 "query_id": np.repeat(queries.query_id.to_numpy(), width),
                 "doc_id": docs.doc_id.to_numpy()[chosen.ravel()],
                 "score": np.take_along_axis(scores, chosen, axis=1).ravel() + 0.0,
             }
         )
+        return found[found.score > -np.inf]
 
     return best
 
@@ -203,6 +231,11 @@ def shared_entity_topk(query_entities: DataFrame, doc_entities: DataFrame, k: in
     Documents with the same set of asked-for entities score the same for every query, so only the
     first ``k`` of each such set can appear in a result; the others never meet a query.
     """
+    if _dated(doc_entities, query_entities):
+        # What a query may see differs, so a document of every set may count.
+        held = doc_entities.select("doc_id", "entity", "valid_at").distinct()
+        met = held.join(query_entities.select("query_id", "entity", "as_of").distinct(), "entity").filter(_visible())
+        return top_k(met.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), k)
     asked = query_entities.select("query_id", "entity").distinct()
     relevant = doc_entities.select("doc_id", "entity").join(asked.select("entity").distinct(), "entity", "left_semi")
     sets = relevant.groupBy("doc_id").agg(F.sort_array(F.collect_set("entity")).alias("_set"))
@@ -279,14 +312,15 @@ def hybrid_candidates(
     """The best ``limit`` facts per query over the signals the inputs allow.
 
     Always lexical; dense if both sides have ``embedding``; shared entities if both entity tables
-    are given. ``retrieval_rank`` counts from 0. A query with ``group_id`` sees its group only. If
-    queries have ``as_of``, candidates that became valid later are left out after the cut.
+    are given. ``retrieval_rank`` counts from 0. A query with ``group_id`` sees its group only, and
+    one with ``as_of`` only what was valid by then: later facts take no place in any ranking. (Their
+    words still count in the corpus statistics of the lexical one.)
     """
     docs = facts.select(
         F.col("fact_id").alias("doc_id"),
         F.col("fact").alias("text"),
         "group_id",
-        *(["embedding"] if "embedding" in facts.columns else []),
+        *[c for c in ("embedding", "valid_at") if c in facts.columns],
     )
     rankings = [bm25_topk(docs, queries, limit, by_group=True)]
     if "embedding" in facts.columns and "embedding" in queries.columns:
@@ -302,18 +336,19 @@ def hybrid_candidates(
         .join(facts, "fact_id")
         .withColumnRenamed("fact", "content")
     )
-    return found.filter(F.col("valid_at") <= F.col("as_of")) if "as_of" in queries.columns else found
+    return found
 
 
 def _scoped_entities(queries, facts, query_entities, fact_entities):
     """Entities tagged with their group, so that a scoped query only meets facts of its group."""
     everywhere = F.lit("*")
-    asks = query_entities.join(queries.select("query_id", "group_id"), "query_id")
-    asks = asks.select("query_id", F.struct(F.coalesce("group_id", everywhere).alias("g"), "entity").alias("entity"))
-    held = fact_entities.join(facts.select("fact_id", "group_id"), "fact_id")
+    until, since = (["as_of"], ["valid_at"]) if _dated(facts, queries) else ([], [])
+    asks = query_entities.join(queries.select("query_id", "group_id", *until), "query_id")
+    asks = asks.select("query_id", F.struct(F.coalesce("group_id", everywhere).alias("g"), "entity").alias("entity"), *until)
+    held = fact_entities.join(facts.select("fact_id", "group_id", *since), "fact_id")
     scopes = F.explode(F.array(F.col("group_id"), everywhere)).alias("g")
-    held = held.select(F.col("fact_id").alias("doc_id"), scopes, "entity")
-    return asks, held.select("doc_id", F.struct("g", "entity").alias("entity"))
+    held = held.select(F.col("fact_id").alias("doc_id"), scopes, "entity", *since)
+    return asks, held.select("doc_id", F.struct("g", "entity").alias("entity"), *since)
 
 
 def search_history(
@@ -331,7 +366,7 @@ def search_history(
     """
     if episode_types is not None:
         known_types(episode_types)
-    found = with_episode_type(hybrid_candidates(queries, facts, **signals), episodes)
+    found = with_episode_type(checkpointed(hybrid_candidates(queries, facts, **signals)), episodes)
     if episode_types is not None:
         found = found.filter(F.col("episode_type").isin(episode_types))
     return _results(rerank(found, scorer, k))
@@ -349,7 +384,7 @@ def two_tier_history(
     **signals,
 ) -> DataFrame:
     """One search per tier, tiers in order. The candidates are the same, so they are found once."""
-    found = with_episode_type(hybrid_candidates(queries, facts, **signals), episodes)
+    found = with_episode_type(checkpointed(hybrid_candidates(queries, facts, **signals)), episodes)
     return _results(in_tiers(found, tiers or TIERS, scorer), ["tier"])
 
 

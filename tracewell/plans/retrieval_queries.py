@@ -51,6 +51,18 @@ def bm25_topk(spark, sf_dir):
     return ranked.select("query_id", "doc_id", "score", "rank")
 
 
+@query(
+    f"""WITH {BM25_SQL} SELECT * FROM (
+      SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+      FROM (SELECT query_id, doc_id, score FROM lexical WHERE doc_id <= query_id * 5 + 100)) WHERE rank <= 10"""
+)
+def bm25_as_of(spark, sf_dir):
+    """The ten best of the documents that were there when the query was asked."""
+    docs = documents(spark, sf_dir).withColumn("valid_at", F.timestamp_seconds("doc_id"))
+    asked = benchmark_queries(spark, sf_dir).withColumn("as_of", F.timestamp_seconds(F.col("query_id") * 5 + 100))
+    return R.bm25_topk(docs, asked, 10).select("query_id", "doc_id", "score", "rank")
+
+
 def cosine_sql(asked: str) -> str:
     return f"""
     asked AS ({asked}),
@@ -153,7 +165,8 @@ def lexical_candidates(spark, sf_dir) -> DataFrame:
     """Thirty lexical candidates per benchmark text, with the type of their source."""
     asked = benchmark_queries(spark, sf_dir)
     found = R.bm25_topk(documents(spark, sf_dir), asked, 30).select("query_id", "doc_id", (F.col("rank") - 1).alias("retrieval_rank"))
-    facts = documents(spark, sf_dir).select(
+    found = checkpointed(found)
+    facts = found.select("doc_id").distinct().select(
         F.col("doc_id").cast("string").alias("fact_id"), F.array(F.lit("gone"), F.col("doc_id").cast("string")).alias("episodes")
     )
     typed = R.with_episode_type(facts, document_episodes(spark, sf_dir)).select(F.col("fact_id").cast("long").alias("doc_id"), "episode_type")

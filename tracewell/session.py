@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -26,6 +29,7 @@ def local_session(cores: int, name: str = "tracewell") -> SparkSession:
         configured(SparkSession.builder.master(f"local[{cores}]").appName(name))
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "tracewell-checkpoints"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
