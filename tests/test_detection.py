@@ -194,3 +194,20 @@ def test_payload_by_the_type_of_its_own_field(spark):
     rows = [dict(r, event_id="e", event_type="order", order_id="o", event_time=iso(i)) for i, r in enumerate(rows)]
     got = [r.payload for r in parse_order_events(records(spark, rows)).orderBy("event_ms").collect()]
     assert got == ["", '{"payload": 1}', "[1", "", "5"]
+
+
+def test_order_flow_by_arrival(spark):
+    """A shipment that arrives before its order is an orphan by arrival only; deadlines stay in event time."""
+    values = [
+        {"event_id": "s", "event_type": "shipment", "order_id": "o", "event_time": iso(20)},
+        {"event_id": "o", "event_type": "order", "order_id": "o", "event_time": iso(10)},
+        {"event_id": "p", "event_type": "order", "order_id": "q", "event_time": iso(10)},
+        {"event_id": "t", "event_type": "shipment", "order_id": "q", "event_time": iso(500)},
+    ]
+    source = records(spark, values)
+    got = {
+        how: sorted(r.violation_type for r in order_violations(source, 100_000, order_by=how).collect())
+        for how in ("event_time", "arrival")
+    }
+    assert got["event_time"] == ["order_unfulfilled"]
+    assert got["arrival"] == ["order_unfulfilled", "order_unfulfilled", "shipment_without_order"]

@@ -185,3 +185,23 @@ def test_topic_files(spark, tmp_path):
         append_messages(messages.withColumn("topic", F.lit("plant.sensors")), path, by_topic)
         got = file_records(spark, path, pattern_topics("plant"))
         assert sorted(json.loads(r.value)["x"] for r in got.collect()) == [1, 2]
+
+
+def test_redelivery_in_a_later_batch(spark, tmp_path):
+    """A match that comes again in another batch makes no second episode, fact, alert or record."""
+    values = [cascade(*p) for p in PEAKS[:3]]
+    source = write_files(tmp_path / "in", [[(0, values[0]), (1, values[1])], [(2, values[1]), (3, values[2])], [(4, values[0])]])
+    store, alerts = str(tmp_path / "store"), str(tmp_path / "alerts")
+    stream = lambda: file_record_stream(spark, source, files_per_batch=1)
+    jobs.remember(stream(), store, str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
+    episodes, facts = spark.read.parquet(f"{store}/episodes"), spark.read.parquet(f"{store}/facts")
+    assert episodes.count() == episodes.select("episode_id").distinct().count() == 3
+    assert facts.count() == 6
+    jobs.alert(stream(), lambda: facts, lambda: episodes, alerts, str(tmp_path / "c2"), "plant").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    assert spark.read.json(f"{alerts}/alerts").count() == 3
+    training = spark.read.json(f"{alerts}/training")
+    assert training.count() == 3
+    # The source events keep every field they came with.
+    assert "machine_type" in training.select("pattern_match.source_events").schema.simpleString()

@@ -31,15 +31,18 @@ def flow_violations(
     carry: list[str] | None = None,
     steps: tuple[str, str, str] = ("order", "shipment", "invoice"),
     max_rows: int = MAX_ROWS,
+    clock: str | None = None,
 ) -> DataFrame:
-    """One row per violation: key, ``violation_type``, ``detected`` (position) and ``evidence``.
+    """One row per violation: key, ``violation_type``, ``detected`` (time) and ``evidence``.
 
-    ``as_of`` defaults to the latest position in ``df``. An event exactly at the deadline is in
-    time; an unfulfilled order is dated by the order itself.
+    ``order`` says what comes before what, ``clock`` is the time that deadlines are measured in (by
+    default the first order column). ``as_of`` defaults to the latest time in ``df``. An event exactly
+    at the deadline is in time; an unfulfilled order is dated by the order itself.
     """
     opening, middle, closing = steps
-    events = _until(df.filter(F.col(kind).isin(*steps)), order[0], as_of)
-    columns = list(dict.fromkeys([*order, kind, *(carry or [])]))
+    clock = clock or order[0]
+    events = _until(df.filter(F.col(kind).isin(*steps)), clock, as_of)
+    columns = list(dict.fromkeys([*order, clock, kind, *(carry or [])]))
     is_delivery = F.col(kind).isin(opening, middle)
     rows = neighbours(
         events,
@@ -48,23 +51,23 @@ def flow_violations(
         [
             Look("_before", "prev", columns),
             Look("_delivery_before", "prev", [order[0]], is_delivery),
-            Look("_delivery_after", "next", [order[0]], is_delivery),
+            Look("_delivery_after", "next", [clock], is_delivery),
         ],
         max_rows,
     )
     here = F.struct(*columns)
-    end = _as_of(df, order[0], as_of)
-    answered = F.coalesce(F.col(f"_delivery_after.{order[0]}"), end)
+    end = _as_of(df, clock, as_of)
+    answered = F.coalesce(F.col(f"_delivery_after.{clock}"), end)
     orphan = (F.col(kind) == middle) & F.col("_delivery_before").isNull()
     skipped = (F.col(kind) == closing) & (F.col(f"_before.{kind}") == opening)
-    unfulfilled = (F.col(kind) == opening) & (answered > F.col(order[0]) + window)
+    unfulfilled = (F.col(kind) == opening) & (answered > F.col(clock) + window)
     # A row has one kind, so at most one rule applies to it.
     violation = F.when(orphan, ORPHAN).when(skipped, SKIPPED).when(unfulfilled, UNFULFILLED)
     evidence = F.when(skipped, F.array("_before", here)).otherwise(F.array(here))
     return (
         rows.withColumn("violation_type", violation)
         .filter(F.col("violation_type").isNotNull())
-        .select(*key, "violation_type", F.col(order[0]).alias("detected"), evidence.alias("evidence"))
+        .select(*key, "violation_type", F.col(clock).alias("detected"), evidence.alias("evidence"))
     )
 
 

@@ -16,6 +16,15 @@ from tracewell.sources.ingest import accepted, parse_heartbeats, parse_order_eve
 CASCADE_STEPS = ["temperature", "vibration", "current"]
 
 
+def flagged_readings(records: DataFrame, baselines: DataFrame, strict_missing: bool) -> DataFrame:
+    """Accepted telemetry with its anomaly flags; ``strict_missing`` leaves an absent reading unflagged."""
+    readings = accepted(parse_telemetry(records))
+    if strict_missing:
+        known = ["temperature_c", "vibration_rms_mm_s", "current_a"]
+        readings = readings.withColumns({c: F.col("sensors")[c] for c in known})
+    return flag_readings(readings, baselines, strict_missing)
+
+
 def cascades(
     records: DataFrame,
     baselines: DataFrame,
@@ -24,11 +33,7 @@ def cascades(
     **options,
 ) -> DataFrame:
     """Temperature, then vibration, then current anomaly on one machine within ten minutes."""
-    readings = accepted(parse_telemetry(records))
-    if strict_missing:
-        known = ["temperature_c", "vibration_rms_mm_s", "current_a"]
-        readings = readings.withColumns({c: F.col("sensors")[c] for c in known})
-    flagged = flag_readings(readings, baselines, strict_missing).withColumn("event_json", M.telemetry_json())
+    flagged = flagged_readings(records, baselines, strict_missing).withColumn("event_json", M.telemetry_json())
     sequences = match_sequence(
         flagged,
         ["machine_id"],
@@ -54,17 +59,27 @@ def missing_heartbeats(
 
 
 def order_violations(
-    records: DataFrame, window_ms: int = S.ORDER_WINDOW_MS, as_of: Column | int | None = None, **options
+    records: DataFrame,
+    window_ms: int = S.ORDER_WINDOW_MS,
+    as_of: Column | int | None = None,
+    order_by: str = "event_time",
+    **options,
 ) -> DataFrame:
+    """Broken order flows, the events of an order taken by event time or as they arrived.
+
+    Deadlines are measured in event time either way.
+    """
+    order = {"arrival": ["offset"], "event_time": ["event_ms", "offset"]}[order_by]
     events = accepted(parse_order_events(records)).withColumn("event_json", M.order_event_json())
     found = flow_violations(
         events,
         ["order_id"],
-        ["event_ms", "offset"],
+        order,
         "event_type",
         window_ms,
         as_of,
         carry=["event_time", "event_json"],
+        clock="event_ms",
         **options,
     )
     return M.order_flow_matches(found)

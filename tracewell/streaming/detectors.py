@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from tracewell import schemas as S
 from tracewell.operators import matches as M
-from tracewell.operators.baselines import flag_readings
-from tracewell.plans.detection import CASCADE_STEPS
-from tracewell.sources.ingest import accepted, parse_heartbeats, parse_order_events, parse_telemetry
+from tracewell.plans.detection import CASCADE_STEPS, flagged_readings
+from tracewell.sources.ingest import accepted, parse_heartbeats, parse_order_events
 from tracewell.streaming.processors import OUTPUT, GapProcessor, OrderFlowProcessor, SequenceProcessor
 
 OUT_OF_ORDER = f"{S.OUT_OF_ORDER_MS // 1000} seconds"
@@ -46,8 +45,9 @@ def stream_cascades(
     baselines: DataFrame,
     within_ms: int = S.CASCADE_WITHIN_MS,
     delay: str = OUT_OF_ORDER,
+    strict_missing: bool = False,
 ) -> DataFrame:
-    flagged = flag_readings(accepted(parse_telemetry(records)), baselines)
+    flagged = flagged_readings(records, baselines, strict_missing)
     kinds = F.concat_ws(",", *[F.when(F.col(f"is_{s}"), F.lit(s)) for s in CASCADE_STEPS])
     rows = _machine_rows(flagged, "machine_id", kinds, M.telemetry_json(), delay)
     processor = SequenceProcessor(["machine_id"], CASCADE_STEPS, within_ms)

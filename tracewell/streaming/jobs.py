@@ -1,7 +1,8 @@
 """Streaming queries that write memory, alerts and training records.
 
 Every batch is written below its own ``batch=<id>`` folder and replaces it when it is replayed after
-a failure, and ids are derived from the match; so a restart loses nothing and doubles nothing.
+a failure, and ids are derived from the match; so a restart loses nothing and doubles nothing. A match
+that is delivered again in a later batch is told and raised once.
 """
 
 from __future__ import annotations
@@ -32,6 +33,23 @@ def _replace(df: DataFrame, path: str, batch: int, partition: str | None = None,
     writer.save(f"{path}/batch={batch}")
 
 
+def _unseen(matches: DataFrame, path: str, batch: int) -> DataFrame:
+    """Matches that no earlier batch had; their ids are noted below ``path`` by day.
+
+    A repeated delivery has the day of the first, so only the days of this batch are read, and there is
+    no horizon after which a repeat would count as new. A replayed batch does not see its own notes.
+    """
+    spark = matches.sparkSession
+    matches = checkpointed(matches.withColumn("_day", F.to_date("detected_ts")))
+    first, last = matches.agg(F.min("_day"), F.max("_day")).head()
+    schema = "match_id string, day date, batch int"
+    _replace(matches.select("match_id", F.col("_day").alias("day")), f"{path}/seen", batch, "day")
+    seen = spark.read.schema(schema).parquet(f"{path}/seen").filter(F.col("batch") < batch)
+    if first is not None:
+        seen = seen.filter(F.col("day").between(first, last))
+    return matches.join(seen.select("match_id"), "match_id", "left_anti").drop("_day")
+
+
 def messages_to(messages: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """A stream of messages to JSON lines by topic."""
     return (
@@ -48,9 +66,9 @@ def remember(records: DataFrame, path: str, checkpoint: str) -> DataStreamWriter
 
     def write(batch: DataFrame, number: int) -> None:
         batch = checkpointed(batch)
-        episodes, rejects = memory.ingest_matches(batch)
-        _replace(episodes, f"{path}/episodes", number, "group_id")
-        told = accepted(E.narrate_matches(memory.known_matches(batch)))
+        _, rejects = memory.ingest_matches(batch)
+        told = checkpointed(accepted(E.narrate_matches(_unseen(memory.known_matches(batch), path, number))))
+        _replace(E.match_episodes(told), f"{path}/episodes", number, "group_id")
         _replace(G.match_facts(told), f"{path}/facts", number, "group_id")
         _replace(rejects, f"{path}/rejects", number)
 
@@ -75,7 +93,7 @@ def alert(
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        matches = checkpointed(memory.known_matches(batch))
+        matches = checkpointed(_unseen(memory.known_matches(batch), path, number))
         raised = memory.raise_alerts(memory.retrieve(matches, facts(), episodes(), scorer), score)
         done = checkpointed(raised.withColumn("alerted_at", F.current_timestamp()))
         alerts = A.alert_records(done, F.col("alerted_at"))
