@@ -10,9 +10,9 @@ from each whole text:
   BLOCK + REACH words (51) or more, they have a block in common; blocks are alike if their words are.
 
 Equal units are one node before anything is compared, paragraphs by 64 and blocks by 128 bits of a hash of
-their words. Inside a bucket of
-a band each unit is verified with the bucket's least one; those that fail are verified with every unit of
-the bucket. All others are then already connected, so no class is lost and no bucket makes all its pairs.
+their words. A bucket of a band does not make all its pairs: each member is verified with the bucket's leader,
+and the members that are then of another class than the leader with the whole bucket, block by block inside
+tasks. Pairs inside a class need no check, so no class is lost.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ LEAST_WORDS = 20
 BLOCK, REACH = 16, 35
 RECALL = 0.99
 HASHES = 48
+CROWD, CROWD_BYTES = 1024, 8 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _UNITS = "doc_id long, text_hash long, kind string, start int, stop int, n_words int, u1 long, u2 long, bands array<long>"
@@ -145,31 +147,80 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
-def paragraph_classes(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(node, least) over the u1 of distinct paragraphs that are similar to another one; ``docs`` as ``keyed``."""
-    member = distinct.select(F.posexplode("bands").alias("band", "key"), "u1").select("key", "u1")
-    buckets = member.groupBy("key").agg(F.min("u1").alias("least"), F.max("u1").alias("most"))
-    buckets = written(buckets.filter("least != most").select("key", "least"), "buckets")
-    member = written(member.join(buckets, "key"), "members")
-    star = written(member.filter("u1 != least").select(F.col("least").alias("a"), F.col("u1").alias("b")).distinct(), "star")
-
-    wanted = written(star.select(F.col("a").alias("u1")).union(star.select("b")).distinct(), "wanted")
+def _texts(docs: DataFrame, distinct: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, body) of the wanted u1, from the documents (as ``keyed``) that hold the first place of each."""
     place = distinct.join(wanted, "u1").select("u1", "owner.*")
     place = place.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("u1", "start", "stop")).alias("spans"))
     place = place.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "spans")
-    # The paragraphs' texts, of the documents that hold the first of each.
     met = docs.join(place, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
     met = met.select("text", F.explode("spans").alias("s"))
     texts = met.select(F.col("s.u1").alias("id"), F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("body"))
-    texts = written(texts.dropDuplicates(["id"]), "paragraphs")
-
-    near = written(similar_pairs(star, texts), "near")
-    far = star.join(near, ["a", "b"], "left_anti")
-    odd = member.join(far.select(F.col("a").alias("least"), F.col("b").alias("u1")), ["least", "u1"])
-    more = odd.select("key", F.col("u1").alias("a")).join(member.select("key", F.col("u1").alias("b")), "key")
-    more = more.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = similar_pairs(more.join(near, ["a", "b"], "left_anti"), texts)
-    return components(near.union(rest), "a", "b")
+    return written(texts.dropDuplicates(["id"]), "paragraphs")
+
+
+def _links_between(members: DataFrame) -> DataFrame:
+    """(a, b): similar members of different classes of a bucket; ``members`` has key, u1, class, odd and body.
+
+    Every odd member meets every member of its bucket. A bucket is cut into blocks of at most about ``CROWD``
+    members and ``CROWD_BYTES`` of text; a task compares two blocks and returns only links that connect
+    classes which its earlier links do not connect already, so no pairs are made as rows.
+    """
+    size = F.greatest(F.count("*") / CROWD, F.sum(F.octet_length("body")) / CROWD_BYTES)
+    blocks = members.groupBy("key").agg(F.ceil(size).cast("int").alias("n"))
+    blocks = members.join(written(blocks, "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("u1"), F.col("n")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    odd = blocks.filter("odd").select("key", F.col("block").alias("i"), F.col("other").alias("j"), "u1", "class", "body")
+    fresh = [F.col(c).alias(c) for c in ("key", "u1", "class", "body")]  # both sides come from one table
+    rest = blocks.select(F.col("other").alias("i"), F.col("block").alias("j"), *fresh)
+
+    def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        sets = [(u, c, frozenset(shingle_hashes(t, SHINGLE).tolist())) for u, c, t in zip(right["u1"], right["class"], right["body"])]
+        out = []
+        for u, c, t in zip(left["u1"], left["class"], left["body"]):
+            own = frozenset(shingle_hashes(t, SHINGLE).tolist())
+            for v, d, other in sets:
+                small, large = sorted((len(own), len(other)))
+                if small >= SIMILAR * large and root(c) != root(d):
+                    shared = len(own & other)
+                    if shared >= SIMILAR * (small + large - shared):
+                        parent[root(c)] = root(d)
+                        out.append((min(u, v), max(u, v)))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return odd.groupBy("key", "i", "j").cogroup(rest.groupBy("key", "i", "j")).applyInPandas(compared, "a long, b long").distinct()
+
+
+def paragraph_classes(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(node, least) over the u1 of distinct paragraphs that are similar to another one; ``docs`` as ``keyed``."""
+    member = distinct.select(F.posexplode("bands").alias("band", "key"), "u1").select("key", "u1")
+    buckets = member.groupBy("key").agg(F.min("u1").alias("least"), F.max("u1").alias("most"), F.count("*").alias("n"))
+    buckets = written(buckets.filter("least != most").select("key", "n"), "buckets")
+    member = written(member.join(buckets, "key"), "members")
+    popular = member.groupBy("u1").agg(F.sum("n").alias("met"))
+    member = member.drop("n").join(popular, "u1").select("key", "u1", "met")
+    texts = _texts(docs, distinct, member.select("u1").distinct())
+
+    # The leader of a bucket is the member that collides with most others in all bands.
+    leader = member.groupBy("key").agg(F.max(F.struct("met", "u1")).alias("l")).select("key", F.col("l.u1").alias("leader"))
+    star = written(member.select("key", "u1").join(written(leader, "leaders"), "key"), "star")
+    pairs = star.filter("u1 != leader").select(F.least("leader", "u1").alias("a"), F.greatest("leader", "u1").alias("b"))
+    near = written(similar_pairs(pairs.distinct(), texts), "near")
+    known = written(components(near, "a", "b").select(F.col("node").alias("u1"), F.col("least").alias("class")), "known")
+
+    now = star.join(known, "u1", "left").select("key", "u1", "leader", F.coalesce("class", "u1").alias("class"))
+    led = known.select(F.col("u1").alias("leader"), F.col("class").alias("led"))
+    now = now.join(led, "leader", "left").withColumn("odd", F.col("class") != F.coalesce("led", "leader"))
+    now = written(now.select("key", "u1", "class", "odd"), "now")
+    open_ = written(now.filter("odd").select("key").distinct(), "open")
+    apart = now.join(open_, "key").join(texts.select(F.col("id").alias("u1"), "body"), "u1")
+    return components(near.union(_links_between(apart)), "a", "b")
 
 
 _PLACE = ["doc_id", "text_hash", "start"]
