@@ -75,3 +75,22 @@ def test_one_document_of_each_group(spark):
     ids = sorted(str(r.doc_id) for r in kept.collect())
     assert {"0", "10", "20", "100", "101", "102", "None"} <= set(ids) and len(ids) <= 8
     assert simhash.representatives(frame.limit(0)).count() == 0
+
+
+def test_crowded_buckets_in_blocks(spark, monkeypatch):
+    """Small blocks connect the same paragraphs as one block does."""
+    rng = random.Random(12)
+    base = paragraph(rng, 90)
+    rows = [(i, " ".join(edited(rng, base, rng.choice((1, 2, 3)))), "x") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+
+    def classes():
+        got = {}
+        for r in passages.repeated(frame).filter("kind = 'paragraph'").collect():
+            got.setdefault(r.class_id, set()).add(r.doc_id)
+        return sorted(map(sorted, got.values()))
+
+    whole = classes()
+    monkeypatch.setattr(passages, "CROWD", 3)
+    assert classes() == whole
+    assert max(map(len, whole)) > 10
