@@ -125,6 +125,20 @@ def intervention_text(spark, sf_dir):
     return told.select("intervention_id", "reject_reason", body)
 
 
+@query(
+    """SELECT 'PERFORMED_ON' AS name, 'act-' || event_id AS source, 'Machine-' || user_id AS target, 'intervention' AS episode_type
+    FROM events WHERE event_type = 'purchase' AND value > 20
+    UNION ALL SELECT 'TARGETED', 'act-' || event_id, 'ThermalVibrationCascade', 'intervention'
+    FROM events WHERE event_type = 'purchase' AND value > 100"""
+)
+def intervention_facts(spark, sf_dir):
+    """Facts of allowed interventions, each with the type of the episode it came from."""
+    told = accepted(E.narrate_interventions(interventions(spark, sf_dir)))
+    kinds = E.intervention_episodes(told).select("episode_id", "episode_type")
+    facts = G.intervention_facts(told).withColumn("episode_id", F.get("episodes", F.lit(0)))
+    return facts.join(kinds, "episode_id").select("name", "source", "target", "episode_type")
+
+
 
 @query(
     rf"""SELECT conv_id, turn, n_words, CASE WHEN n_words > 100 THEN 'episode of ' || n_words || ' words, limit 100' END AS reject_reason
