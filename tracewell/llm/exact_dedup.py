@@ -155,11 +155,14 @@ def kept_documents(docs: DataFrame, is_new: Column | None = None) -> DataFrame:
         F.unhex(F.sha2(normalised(whole()), 256)).alias("digest"),
         F.length(whole()).alias("n_points"),
     )
-    found = packed.join(written(ties, "winners"), F.col("digest") == F.col("own_digest"), "left").filter(
+    winners = written(ties, "winners")
+    found = packed.join(winners, F.col("digest") == F.col("own_digest"), "left").filter(
         F.col("own_digest").isNull()
         | F.col("doc.doc_id").eqNullSafe(F.col("own_id")) & (F.col("n_points") == F.col("own_points"))
     )
     single = found.filter("coalesce(own_ties, 1) = 1").select(*plain)
+    if not winners.filter("own_ties > 1").head(1):
+        return single  # no winner is repeated, so the texts need not be grouped once more
     several = found.filter("own_ties > 1").groupBy("digest").agg(F.first("doc").alias("doc")).select(*plain)
     return single.unionByName(several)
 
