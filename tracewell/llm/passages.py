@@ -192,13 +192,17 @@ def _links_between(members: DataFrame) -> DataFrame:
                     if shared >= SIMILAR * (small + large - shared):
                         parent[root(c)] = root(d)
                         out.append((min(u, v), max(u, v)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        return pd.DataFrame(out, columns=["a", "b"], dtype=left["u1"].dtype)
 
-    return odd.groupBy("key", "i", "j").cogroup(rest.groupBy("key", "i", "j")).applyInPandas(compared, "a long, b long").distinct()
+    kind = dict(members.dtypes)["u1"]
+    return odd.groupBy("key", "i", "j").cogroup(rest.groupBy("key", "i", "j")).applyInPandas(compared, f"a {kind}, b {kind}").distinct()
 
 
-def paragraph_classes(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(node, least) over the u1 of distinct paragraphs that are similar to another one; ``docs`` as ``keyed``."""
+def similar_classes(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(node, least) over the u1 of distinct paragraphs (or whole texts) that are similar to another one.
+
+    ``docs`` as ``keyed``; ``distinct`` has u1, the band keys and the owner: doc_id, text_hash, start and stop of one place.
+    """
     member = distinct.select(F.posexplode("bands").alias("band", "key"), "u1").select("key", "u1")
     buckets = member.groupBy("key").agg(F.min("u1").alias("least"), F.max("u1").alias("most"), F.count("*").alias("n"))
     buckets = written(buckets.filter("least != most").select("key", "n"), "buckets")
@@ -267,7 +271,7 @@ def repeated(docs: DataFrame) -> DataFrame:
         F.first("bands").alias("bands"), F.min(F.struct(*_PLACE, "stop")).alias("owner"), F.max(place).alias("most")
     )
     distinct = written(distinct, "distinct")
-    classes = paragraph_classes(docs, distinct)
+    classes = similar_classes(docs, distinct)
     labelled = distinct.select("u1", F.struct(*[F.col(f"owner.{c}") for c in _PLACE]).alias("keep"), "most")
     labelled = labelled.join(classes.withColumnRenamed("node", "u1"), "u1", "left")
     labelled = written(labelled.withColumn("class_id", F.coalesce("least", "u1")), "labelled")
