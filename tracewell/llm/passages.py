@@ -5,9 +5,11 @@ from each whole text:
 
 * paragraphs, the lines of at least ``LEAST_WORDS`` words. MinHash bands, tuned for recall, make candidates,
   the exact Jaccard similarity of shingle sets verifies them (``SIMILAR`` or more), components are classes.
-* blocks of ``BLOCK`` words for passages that stand inside different paragraphs, where no paragraph is alike.
-  A block begins at the least shingle hash of each window of ``REACH`` places, so wherever two texts share
-  BLOCK + REACH words (51) or more, they have a block in common; blocks are alike if their words are.
+* passages that stand inside different paragraphs, where no paragraph is alike. Blocks of ``BLOCK`` words are the
+  seeds: one begins at the least shingle hash of each window of ``REACH`` places, so wherever two texts share
+  BLOCK + REACH words (51) or more, they have a block in common within REACH places of each place. Around the
+  seeds that occur twice all runs of BLOCK words are compared; runs that follow each other in a text and in the
+  first place of each are one span, so the spans cover every word of a shared passage.
 
 Equal units are one node before anything is compared, paragraphs by 64 and blocks by 128 bits of a hash of
 their words. A bucket of a band does not make all its pairs: each member is verified with the bucket's leader,
@@ -24,6 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import SLICE, documents, query, whole, written
@@ -39,7 +42,10 @@ HASHES = 48
 CROWD, CROWD_BYTES = 1024, 8 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_UNITS = "doc_id long, text_hash long, kind string, start int, stop int, n_words int, u1 long, u2 long, bands array<long>"
+_ROWS = 1 << 16  # of a batch of runs
+_UNITS = "doc_id long, text_hash long, kind string, word int, start int, stop int, n_words int, u1 long, u2 long, bands array<long>"
+_RUNS = "doc_id long, text_hash long, word int, start int, stop int, u1 long, u2 long"
+_RUN_NAMES = ["doc_id", "text_hash", "word", "start", "stop", "u1", "u2"]
 
 
 def tuned(similar: float = SIMILAR, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -115,17 +121,17 @@ def units(docs: DataFrame) -> DataFrame:
             spans += [("block", a, a + BLOCK) for a in block_starts(hashes, n)]
             for kind, a, b in spans:
                 u = xxhash.xxh3_128_intdigest(body[starts[a] : ends[b - 1]])
-                rows.append((doc_id, text_hash, kind, int(first[a]), int(last[b - 1]), int(b - a), (u >> 64) - (1 << 63), (u & (2**64 - 1)) - (1 << 63)))
+                rows.append((doc_id, text_hash, kind, int(a), int(first[a]), int(last[b - 1]), int(b - a), (u >> 64) - (1 << 63), (u & (2**64 - 1)) - (1 << 63)))
         bands: list = [None] * len(rows)
         if gathered:
             keys = signatures(np.concatenate(gathered), np.cumsum([0, *sizes[:-1]])).view(np.int64)
             at = [i for i, r in enumerate(rows) if r[2] == "paragraph"]
             for i, k in zip(at, keys):
                 bands[i] = k
-        columns = list(zip(*rows)) if rows else [[]] * 8
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        columns = list(zip(*rows)) if rows else [[]] * 9
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         arrays = [pa.array(c, t) for c, t in zip(columns, types)] + [pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "kind", "start", "stop", "n_words", "u1", "u2", "bands"])
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "kind", "word", "start", "stop", "n_words", "u1", "u2", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, room = [], SLICE
@@ -142,6 +148,80 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, _UNITS)
 
 
+def runs(docs: DataFrame) -> DataFrame:
+    """Every run of BLOCK words that begins less than REACH places from one of ``words``, from ``keyed`` documents with
+    that array; of rows alike in doc_id and text one per task."""
+
+    def of(text: str, seeds: np.ndarray) -> tuple[np.ndarray, ...]:
+        body, starts, ends = single_spaced(text)
+        n = len(starts) - BLOCK + 1
+        edge = np.zeros(n + 1, np.int64)
+        np.add.at(edge, np.maximum(seeds - REACH + 1, 0), 1)
+        np.add.at(edge, np.minimum(seeds + REACH, n), -1)
+        at = np.flatnonzero(np.cumsum(edge[:-1]))
+        first, last, _ = _word_points(text.encode())
+        hashed = xxhash.xxh3_128_digest
+        digest = b"".join([hashed(body[b:e]) for b, e in zip(starts[at].tolist(), ends[at + BLOCK - 1].tolist())])
+        u = np.frombuffer(digest, "<i8").reshape(-1, 2)
+        return at.astype(np.int32), first[at].astype(np.int32), last[at + BLOCK - 1].astype(np.int32), u[:, 0], u[:, 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc_id, text_hash = batch.column(0)[row], batch.column(2)[row]
+                if (own := (doc_id.as_py(), text_hash.as_py())) in seen:
+                    continue
+                seen.add(own)
+                made = of(batch.column(1)[row].as_py(), batch.column(3)[row].values.to_numpy())
+                for at in range(0, len(made[0]), _ROWS):
+                    part = [np.ascontiguousarray(c[at : at + _ROWS]) for c in made]
+                    ids = [pa.repeat(x, len(part[0])) for x in (doc_id, text_hash)]
+                    yield pa.RecordBatch.from_arrays(ids + [pa.array(c) for c in part], names=_RUN_NAMES)
+
+    return docs.select("doc_id", "text", "text_hash", "words").mapInArrow(run, _RUNS)
+
+
+def shared_passages(docs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The result columns of passages that occur in more than one place; ``docs`` as ``keyed``, ``blocks`` of ``units``.
+
+    Each run of BLOCK words belongs to its first place. Runs of a text whose first places lie in one text at the same
+    distance, and which overlap or touch, are one span, equal word for word to the kept one.
+    """
+    place = F.struct(*_PLACE)
+    twice = written(blocks.groupBy("u1").count().filter("count > 1").select("u1"), "twice")
+    blocks = written(blocks.join(twice, "u1").select("u1", "u2", "word", *_PLACE), "blocks")
+    seeds = blocks.groupBy("u1", "u2").agg(F.min(place).alias("least"), F.max(place).alias("most"))
+    seeds = written(seeds.filter("least != most").select("u1", "u2"), "seeds")
+    around = blocks.join(seeds, ["u1", "u2"]).groupBy("doc_id", "text_hash").agg(F.collect_set("word").alias("words"))
+    around = written(around.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "words"), "around")
+    met = docs.join(around, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    found = written(runs(met), "runs")
+
+    # A place with its word and stop; these follow from the place, so the least one is the first.
+    full = F.struct(*_PLACE, "word", "stop")
+    first = found.groupBy("u1", "u2").agg(F.min(full).alias("keep"), F.max(full).alias("most"))
+    first = written(first.filter("keep != most").drop("most"), "first")
+    met = found.join(first, ["u1", "u2"]).filter(full != F.col("keep"))
+    met = met.select("doc_id", "text_hash", "word", "start", "stop", "keep", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.text_hash").alias("keep_hash"))
+    met = met.withColumn("apart", F.col("word") - F.col("keep.word"))
+    one = ["doc_id", "text_hash", "keep_doc_id", "keep_hash", "apart"]
+    in_text = W.partitionBy(*one).orderBy("word")
+    begins = F.coalesce(F.col("word") - F.lag("word").over(in_text) > BLOCK, F.lit(True))
+    spans = met.withColumn("begins", begins.cast("int")).withColumn("span", F.sum("begins").over(in_text.rowsBetween(W.unboundedPreceding, 0)))
+    spans = spans.groupBy(*one, "span").agg(
+        F.min("start").alias("start"),
+        F.max("stop").alias("stop"),
+        (F.max("word") - F.min("word") + BLOCK).alias("n_words"),
+        F.min("keep.start").alias("keep_start"),
+        F.max("keep.stop").alias("keep_stop"),
+    )
+    spans = spans.withColumn("class_id", F.xxhash64("keep_doc_id", "keep_hash", "keep_start", "keep_stop"))
+    spans = written(spans.withColumn("kind", F.lit("block")), "spans")
+    kept = spans.select(F.col("keep_doc_id").alias("doc_id"), "kind", F.col("keep_start").alias("start"), F.col("keep_stop").alias("stop"), "n_words", "class_id", "keep_doc_id", "keep_start", F.lit(True).alias("kept"))
+    return spans.withColumn("kept", F.lit(False)).select(*_RESULT).union(kept.select(*_RESULT)).distinct()
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     text = whole()
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
@@ -248,7 +328,7 @@ def _against(members: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """Every unit that occurs in more than one place, with its class and the place that is kept.
+    """Every paragraph and passage that occurs in more than one place, with its class and the place that is kept.
 
     doc_id, kind, start and stop (code points), n_words, class_id (a hash), keep_doc_id, keep_start, kept. A
     class keeps its first place by doc_id (null first) and start. Places are told apart by doc_id, text and
@@ -259,13 +339,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     found = written(units(docs), "units")
     place = F.struct(*_PLACE)
 
-    blocks = found.filter("kind = 'block'").drop("bands")
-    twice = written(blocks.groupBy("u1").count().filter("count > 1").select("u1"), "twice")
-    blocks = written(blocks.join(twice, "u1"), "blocks")
-    first = blocks.groupBy("u1", "u2").agg(F.min(place).alias("keep"), F.max(place).alias("most"))
-    first = written(first.filter("keep != most").drop("most"), "first")
-    blocks = blocks.join(first, ["u1", "u2"]).withColumn("class_id", F.col("u1"))
-
+    passages = shared_passages(docs, found.filter("kind = 'block'"))
     paragraphs = found.filter("kind = 'paragraph'").drop("u2")
     distinct = paragraphs.groupBy("u1").agg(
         F.first("bands").alias("bands"), F.min(F.struct(*_PLACE, "stop")).alias("owner"), F.max(place).alias("most")
@@ -279,7 +353,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     kept = kept.filter("keep != most").select("class_id", "keep")
     of = written(labelled.select("u1", "class_id").join(kept, "class_id"), "classes")
     paragraphs = paragraphs.drop("bands").join(of, "u1")
-    return _against(paragraphs).unionByName(_against(blocks)).select(*_RESULT)
+    return _against(paragraphs).unionByName(passages).select(*_RESULT)
 
 
 @query()
