@@ -45,3 +45,24 @@ def test_appended_cut_and_long_copies(spark):
     got = kept(spark, rows)
     assert got == kept_by_force(rows)
     assert len(got) < len(rows) * 0.6
+
+
+def test_members_of_a_bucket_meet_each_other(spark):
+    """Texts of the same words in other order share buckets by a common part; pairs apart from the leader stay linked."""
+    rng = random.Random(8)
+    common = fresh(rng, 300)
+    rows = []
+    for group in range(4):
+        own = fresh(rng, 130)
+        for _ in range(3):
+            tail = list(own)
+            tail[rng.randrange(130)] = "edit"
+            rows.append((len(rows), " ".join(common + tail)))
+    for _ in range(4):
+        words = fresh(rng, 200)
+        rows.append((len(rows), " ".join(words[::-1])))  # the same words in other order, apart from the next two
+        turned = words[90:] + words[:90]
+        rows.append((len(rows), " ".join(turned)))
+        rows.append((len(rows), " ".join(turned[1::-1] + turned[2:])))
+    expected = kept_by_force(rows)
+    assert kept(spark, rows) == expected and len(expected) == 12
