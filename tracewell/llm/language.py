@@ -10,7 +10,7 @@ language's finished code length. So a byte costs one look-up for all languages,
 language has seen after that context look further.
 
 The counts are a classifier fitted to a bounded sample of labelled rows: ``SAMPLE`` expected rows per
-language, chosen by a hash of doc_id among those of at most ``LONGEST`` code points, whole texts. Counting
+language, chosen by a hash of doc_id among those of at most ``LONGEST`` code points (all, if it has none of these), whole texts. Counting
 runs on Spark; the tree, bounded by the sample, is broadcast. Scoring is one pass without a shuffle.
 """
 
@@ -161,8 +161,13 @@ def freeze(languages: list[str], keys: list[np.ndarray], counts: list[np.ndarray
 def sampled(docs: DataFrame, allowed: Column) -> DataFrame:
     """(lang, text) of about SAMPLE rows per language, whole texts."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.filter(allowed & (F.length("text") <= LONGEST)).select("doc_id", "lang", "text")
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    short = F.length("text") <= LONGEST
+    rows = rows.filter(allowed).select("doc_id", "lang", "text")
+    counts = rows.groupBy("lang").agg(F.count_if(short).alias("short"), F.count("*").alias("n")).collect()
+    # A language without a shorter text is learned from its longer ones.
+    only_long = [r.lang for r in counts if not r.short]
+    rows = rows.filter(short | F.col("lang").isin(only_long)) if only_long else rows.filter(short)
+    sizes = {r.lang: r.short or r.n for r in counts}
     if not sizes:
         return rows.select("lang", "text")
     cells = 1 << 20
