@@ -403,6 +403,15 @@ _KINDS = {"shared": np.uint8, "rest": np.uint8, "left": np.uint8, "low": np.uint
 _RESULT = "doc_id long, n_bytes long, removed array<struct<start:long,stop:long>>, kept binary"
 
 
+def _united(starts: np.ndarray, stops: np.ndarray, slab: Slab) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of a slab that neither overlap nor touch inside a document, in order."""
+    order = np.argsort(starts, kind="stable")
+    starts, stops = starts[order], np.maximum.accumulate(stops[order])
+    other = slab.document(starts[1:]) != slab.document(starts[:-1])
+    head = np.flatnonzero(np.append(True, (starts[1:] > stops[:-1]) | other)) if len(starts) else np.empty(0, np.int64)
+    return starts[head], stops[np.append(head[1:], len(starts)) - 1] if len(starts) else stops
+
+
 def cut_out(made: DataFrame, spans: DataFrame) -> DataFrame:
     """Every document with its removed spans united, in bytes of its text, and the bytes that stay."""
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
@@ -412,19 +421,13 @@ def cut_out(made: DataFrame, spans: DataFrame) -> DataFrame:
         rows = []
         for batch in slab_rows.combine_chunks().to_batches():
             for _, slab in _rows(batch, LENGTH):
-                edge = np.zeros(slab.size + 1, np.int64)
-                for starts, stops in zip(_cells(found, "starts"), _cells(found, "stops")):
-                    edge += np.bincount(_open(starts, np.int64), minlength=slab.size + 1)
-                    edge -= np.bincount(_open(stops, np.int64), minlength=slab.size + 1)
-                gone = np.cumsum(edge[:-1]) > 0
-                data, touched = slab.body[: slab.size].tobytes(), np.append(0, np.cumsum(gone))
-                for doc_id, start, stop in zip(slab.ids, slab.starts.tolist(), slab.stops.tolist()):
-                    removed, kept = [], data[start:stop]
-                    if touched[stop] > touched[start]:
-                        own = np.concatenate([[False], gone[start:stop], [False]])
-                        turns = np.flatnonzero(own[1:] != own[:-1]).tolist()
-                        removed = [{"start": a, "stop": b} for a, b in zip(turns[::2], turns[1::2])]
-                        kept = slab.body[start:stop][~own[1:-1]].tobytes()
+                starts, stops = _united(*(np.concatenate([np.empty(0, np.int64), *[_open(v, np.int64) for v in _cells(found, c)]]) for c in ("starts", "stops")), slab)
+                first = np.searchsorted(starts, slab.starts, "left")
+                data = slab.body[: slab.size].tobytes()
+                for doc_id, start, stop, at, end in zip(slab.ids, slab.starts.tolist(), slab.stops.tolist(), first, [*first[1:], len(starts)]):
+                    edges = [start, *np.column_stack([starts[at:end], stops[at:end]]).ravel().tolist(), stop]
+                    kept = b"".join([data[a:b] for a, b in zip(edges[::2], edges[1::2])])
+                    removed = [{"start": a - start, "stop": b - start} for a, b in zip(edges[1:-1:2], edges[2:-1:2])]
                     rows.append((doc_id, stop - start, removed, kept))
         columns = list(zip(*rows)) if rows else [[]] * 4
         return pa.table({name: pa.array(c, kind) for c, (name, kind) in zip(columns, kinds)})
