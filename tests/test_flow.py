@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.machines import gaps, order_flow
-from tracewell.operators.gaps import missing_slots, signal_gaps
+from tracewell.operators.gaps import missing_ranges, missing_slots, signal_gaps
 from tracewell.operators.intervals import DAY_MS, grade_interventions, label_intervals
 from tracewell.operators.ordered import Look, neighbours
 from tracewell.operators.orderflow import flow_violations, step_deadlines
@@ -156,13 +156,42 @@ def test_interval_labels(spark):
         [("m", i, t) for i, t in enumerate([99_999, 100_000, 199_900, 200_000, 300_000, 160_000])] + [("n", 9, 150_000)],
         "machine string, id long, ms long",
     )
-    got = {r.id: (r.label, r.elapsed_seconds) for r in label_intervals(events, windows, ["machine"], "id", "ms", 60_000).collect()}
+    got = {r.id: (r.label, r.elapsed_seconds) for r in label_intervals(events, windows, ["machine"], "id", "ms").collect()}
     assert got == {
         0: (None, None), 1: ("first", 0.0), 2: ("first", 99.9), 3: ("second", 50.0),
         4: (None, None), 5: ("first", 60.0), 9: (None, None),
     }
 
 
+@pytest.mark.parametrize("options", [{}, {"max_rows": 60}])
+def test_random_interval_labels(spark, options):
+    rng = random.Random(12)
+    windows = []
+    for i in range(150):
+        start = rng.randrange(3000)
+        windows.append((rng.choice("aab"), start, start + rng.choice((0, 1, 40, 900)), i * 7 % 150, f"w{i}" if i % 9 else None))
+    points = [(rng.choice("aabc"), i, rng.randrange(4000)) for i in range(500)] + [("a", 600, None), (None, 601, 5)]
+    got = label_intervals(
+        spark.createDataFrame(points, "machine string, id long, ms long"),
+        spark.createDataFrame(windows, "machine string, start_ms long, end_ms long, registered long, label string").repartition(3),
+        ["machine"], "id", "ms", **options,
+    )
+    want = {}
+    for machine, i, ms in points:
+        held = sorted((w[3], w[1], w[4]) for w in windows if w[0] == machine and ms is not None and w[1] <= ms < w[2])
+        want[i] = (held[0][2], (ms - held[0][1]) / 1000.0) if held else (None, None)
+    assert {r.id: (r.label, r.elapsed_seconds) for r in got.collect()} == want
+
+
+def test_a_clock_at_the_epoch(spark):
+    """A gap of half a century is one range, and its periods are made in pieces."""
+    df = spark.createDataFrame([("a", 0), ("a", 1_700_000_000_000), ("b", 5)], "m string, t long")
+    assert [tuple(r) for r in missing_ranges(df, ["m"], "t", 600_000).collect()] == [("a", 1, 2_833_332)]
+    made = missing_slots(df, ["m"], "t", 600_000)
+    assert made.count() == 2_833_332
+    assert made.agg(F.min("slot_start_ms"), F.max("slot_start_ms"), F.count_distinct("slot_start_ms")).head() == (600_000, 1_699_999_200_000, 2_833_332)
+
+
 @pytest.mark.parametrize("options", [{}, {"max_rows": 2}])
 def test_grading(spark, options):
     acts = spark.createDataFrame(

@@ -197,9 +197,7 @@ def test_bm25_equals_brute_force(spark, k):
     qdf = spark.createDataFrame(queries, "query_id string, text string, group_id string")
     got = R.bm25_topk(ddf, qdf, k, by_group=True).collect()
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in got) == bm25(docs, queries, k)
-    shuffled = R.bm25_topk(ddf, qdf, k, by_group=True, broadcast_rows=0).collect()
-    assert sorted(map(str, shuffled)) == sorted(map(str, got))
-    free = R.bm25_topk(ddf, qdf, k, broadcast_rows=0).collect()
+    free = R.bm25_topk(ddf, qdf, k).collect()
     assert sorted((r.query_id, r.doc_id, r["rank"]) for r in free) == bm25(docs, [(q, t, None) for q, t, _ in queries], k)
 
 
@@ -214,10 +212,12 @@ def test_cosine_blocks(spark):
         unit = lambda x: np.float32(x).astype(float) / np.linalg.norm(np.float32(x).astype(float))
         scored = sorted((-round(float(unit(v) @ unit(x)), 6), d) for d, x, dg in docs if g in (None, dg))
         want += [(q, d, i + 1) for i, (_, d) in enumerate(scored[:7])]
-    for block_rows in (4096, 16):
-        got = R.cosine_topk(ddf, qdf, 7, by_group=True, block_rows=block_rows).collect()
+    for options in ({}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "block_rows": 16}):
+        got = R.cosine_topk(ddf.repartition(3), qdf, 7, by_group=True, **options).collect()
         assert sorted((r.query_id, r.doc_id, r["rank"]) for r in got) == sorted(want)
-    assert R.cosine_topk(ddf, qdf, 7, block_rows=16).count() == 140
+    free = R.cosine_topk(ddf, qdf, 7)
+    assert free.count() == 140 and free.exceptAll(R.cosine_topk(ddf, qdf, 7, block_rows=16, broadcast_bytes=0)).count() == 0
+    assert "Exchange hashpartitioning(doc_id" not in free._jdf.queryExecution().executedPlan().toString()
 
 
 def test_shared_entities(spark):
@@ -312,10 +312,8 @@ def test_occurrence_id(spark):
     assert got == ["x-machine-03-20260112T081500Z", "x-m-20260112T081500Z"]
 
 
-@pytest.mark.parametrize("rows", [10, 0])
-def test_later_facts_take_no_place(spark, monkeypatch, rows):
+def test_later_facts_take_no_place(spark):
     """Forty later facts that match better do not push the earlier one out of any ranking."""
-    monkeypatch.setattr(R, "BROADCAST_ROWS", rows)
     facts = [("old", "one pump leak", "g", 1)] + [(f"new{i}", "pump leak pump leak", "g", 100 + i) for i in range(40)]
     facts = spark.createDataFrame(facts, "fact_id string, fact string, group_id string, t long").select(
         "fact_id", "fact", "group_id", F.timestamp_seconds("t").alias("valid_at"), F.lit("").alias("name"),

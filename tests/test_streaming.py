@@ -129,6 +129,39 @@ def test_stream_order_flow_equals_batch(spark, tmp_path, retain_ms):
     assert len(kinds) == 3 and rows(got) == want
 
 
+def test_stream_order_flow_by_arrival_equals_batch(spark, tmp_path):
+    """Files with hours of disorder: no row is dropped as late, whatever the watermark."""
+    rng = random.Random(16)
+    values = []
+    for i in range(400):
+        minutes = i * 20 - rng.randrange(200)
+        event = edi(rng.choice(["order", "shipment", "invoice"]), minutes, f"o{rng.randrange(30)}")
+        values.append((i, dict(event, event_id=f"e{i}", event_time=iso(minutes * 60 + i / 1000))))
+    files = [values[i : i + 80] for i in range(0, 400, 80)]
+    far = 100_000
+    drain = [(5000, edi("other", far, "drain"))], [(5001, edi("other", far, "drain"))]
+    source = write_files(tmp_path / "in", [*files, *drain])
+    # No deadline passes the watermark before the answer is in, as the window is longer than the disorder.
+    stream = stream_order_violations(file_record_stream(spark, source, files_per_batch=1), order_by="arrival", delay="4 hours")
+    got, _ = run(stream, tmp_path)
+    want = batch_rows(order_violations(file_records(spark, source), as_of=1767225600000 + far * 60_000, order_by="arrival"))
+    by_time = batch_rows(order_violations(file_records(spark, source), as_of=1767225600000 + far * 60_000))
+    assert len({r[2] for r in want}) == 3 and rows(got) == want != by_time
+
+
+def test_many_open_starts(spark, tmp_path):
+    """Starts by the hundred on one machine, ended now and then."""
+    rng = random.Random(3)
+    values = [(t, reading(t, "A" if rng.random() < 0.97 else rng.choice(["B", "C", "AB", "BC"]), "m0")) for t in range(0, 4000, 2)]
+    files = jittered(values, 4.5, 3, 2)
+    drain = [(10_000, reading(20_000, "", "drain"))], [(10_001, reading(20_001, "", "drain"))]
+    source = write_files(tmp_path / "in", [*files, *drain])
+    baselines = baselines_from(spark, {m: THRESHOLDS for m in ("m0", "drain")})
+    got, _ = run(stream_cascades(file_record_stream(spark, source, files_per_batch=1), baselines), tmp_path)
+    want = batch_rows(cascades(file_records(spark, source), baselines))
+    assert len(want) > 3 and rows(got) == want
+
+
 def test_distinct_stream(spark, tmp_path):
     values = [cascade(*p) for p in PEAKS]
     batches = [[(0, values[0]), (1, values[1])], [(2, values[1]), (3, values[2])]]

@@ -2,49 +2,98 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+from heapq import heappop, heappush
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracewell.operators.ordered import MAX_ROWS, Look, neighbours
 
 DAY_MS = 86_400_000
 
 
+def first_registered(windows: DataFrame, key: list[str]) -> DataFrame:
+    """Windows ``[start_ms, end_ms)`` of a key as disjoint segments, each of the window registered first.
+
+    A row per change: ``at_ms``, from when on the window with ``label`` and ``start_ms`` holds (nulls: none). The
+    sweep reads the windows of a key in order of their starts and holds those that are open.
+    """
+    rows = windows.filter(F.col("end_ms") > F.col("start_ms")).select(*key, "start_ms", "end_ms", "registered", "label")
+    schema = T.StructType([rows.schema[k] for k in key] + [T.StructField("at_ms", T.LongType()), rows.schema["start_ms"], rows.schema["label"]])
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+    arrow = to_arrow_schema(schema)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        own, open_, holding = None, [], None
+
+        def until(time: float) -> None:
+            """Take out what ends by then; where the holder changes, a segment begins."""
+            nonlocal holding
+            while open_ and open_[0][2] <= time:
+                at = heappop(open_)[2]
+                while open_ and open_[0][2] <= at:
+                    heappop(open_)
+                holding = open_[0] if open_ else None
+                out.append((*own, at, *((holding[1], holding[3]) if holding else (None, None))))
+
+        for batch in batches:
+            for *mine, start, end, registered, label in zip(*[c.to_pylist() for c in batch.columns]):
+                if mine != own:
+                    until(math.inf)
+                    own, open_, holding = mine, [], None
+                until(start)
+                heappush(open_, (registered, start, end, label))
+                if open_[0] is not holding:
+                    holding = open_[0]
+                    if out and out[-1][:-2] == (*own, start):
+                        out.pop()
+                    out.append((*own, start, holding[1], holding[3]))
+            if len(out) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[:-1]), arrow)], schema=arrow)
+                out = out[-1:]
+        until(math.inf)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "start_ms", "registered").mapInArrow(sweep, schema)
+
+
 def label_intervals(
     events: DataFrame,
     windows: DataFrame,
     key: list[str],
     event_id: str,
     time_ms: str,
-    bin_ms: int,
+    max_rows: int = MAX_ROWS,
 ) -> DataFrame:
     """The first registered window ``[start_ms, end_ms)`` that holds each event, if any.
 
     ``windows`` has the key, ``start_ms``, ``end_ms``, ``registered`` (order of registration,
-    unique per key) and ``label``. Both sides are cut into time bins, so the join is an equality
-    on key and bin (a hot bin is split by the skew join) and only overlapping pairs are formed;
-    they shrink to one row per event before the shuffle of the aggregate.
+    unique per key) and ``label``. Each event looks up the last change of ``first_registered`` before
+    it: one shuffle of the events, no pairs. Events without a key or time are labelled by none.
     """
-    binned = windows.withColumn(
-        "_bin",
-        F.explode(F.sequence(F.expr(f"start_ms div {bin_ms}"), F.expr(f"(end_ms - 1) div {bin_ms}"))),
-    ).filter(F.col("end_ms") > F.col("start_ms"))
-    points = events.select(*key, event_id, time_ms, F.expr(f"{time_ms} div {bin_ms}").alias("_bin"))
-    at = F.col(f"e.{time_ms}")
-    same = [F.col(f"e.{k}") == F.col(f"w.{k}") for k in [*key, "_bin"]]
-    inside = (at >= F.col("w.start_ms")) & (at < F.col("w.end_ms"))
-    pairs = points.alias("e").join(binned.alias("w"), [*same, inside], "left")
-    registration = F.when(F.col("w.registered").isNotNull(), F.struct("w.registered", "w.start_ms", "w.label"))
-    best = pairs.groupBy(*[F.col(f"e.{c}") for c in (*key, event_id, time_ms)]).agg(
-        F.min(registration).alias("_w")
-    )
+    changes = first_registered(windows, key).withColumns({"_event": F.lit(0), time_ms: F.col("at_ms")}).drop("at_ms")
+    points = events.select(*key, event_id, F.col(time_ms).cast("long").alias(time_ms), F.lit(1).alias("_event"))
+    rows = points.unionByName(changes, allowMissingColumns=True)
+    change = Look("_w", "prev", ["start_ms", "label"], F.col("_event") == 0)
+    found = neighbours(rows, key, [time_ms, "_event"], [change], max_rows).filter(F.col("_event") == 1)
+    lost = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in [*key, time_ms]])
+    none = points.filter(lost).withColumn("_w", F.lit(None).cast(found.schema["_w"].dataType))
+    columns = [*key, event_id, time_ms, "_w"]
     elapsed = F.greatest(F.lit(0.0), (F.col(time_ms) - F.col("_w.start_ms")) / 1000.0)
-    return best.select(
+    return found.select(*columns).unionByName(none.select(*columns)).select(
         *key,
         event_id,
         time_ms,
         F.col("_w.label").alias("label"),
-        F.when(F.col("_w").isNotNull(), elapsed).alias("elapsed_seconds"),
+        F.when(F.col("_w.start_ms").isNotNull(), elapsed).alias("elapsed_seconds"),
     )
 
 

@@ -2,8 +2,9 @@
 
 A plain window partitioned by key puts a whole key into one task. Here the keys that hold more
 than ``max_rows`` rows are found first with an exact count, and only their rows are cut into
-slices along the order column. Each slice is one window group; what a slice must know of the
-others is one row, taken from a small per-slice summary.
+slices along the order: a range sort deals them out by number of rows, so bursts and rows of one
+and the same time are cut through, too. Each slice is one window group; what a slice must know of
+the others is one row, taken from a small per-slice summary.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.storage import written
+
 MAX_ROWS = 1_000_000
 
 SLICE = "_slice"
 LO = "_slice_lo"
 WIDTH = "_slice_width"
 CARRY = "_carry_row"
+ANY = "_any"
 
 
 def hot_keys(
@@ -88,22 +92,40 @@ def neighbours(
 ) -> DataFrame:
     """Add one struct column per look; null where there is no such neighbour.
 
-    ``order`` is a long position (milliseconds, microseconds or an offset) followed by
+    ``order`` is a position (milliseconds, microseconds or an offset) followed by
     tie-breakers. Rows without a key or position belong to no order and are left out.
     """
     df = df.dropna(subset=[*key, order[0]])
-    hot = hot_keys(df, key, order[0], max_rows)
-    # Both paths partition before the payload structs are built, so that these are not shuffled.
-    if hot is None:
-        frames = _frames(key, order, [])
-        return df.repartition(*key).withColumns(
-            {k.name: F.last(k.value(), True).over(frames[k.direction]) for k in looks}
-        )
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    crowded = counts.agg(F.sum("_n")).head()[0]
+    if crowded is None:
+        return _plain(df, key, order, looks)
+    few = F.broadcast(counts.select(*key))  # at most all rows / max_rows
+    cold = _plain(df.join(few, key, "left_anti"), key, order, looks)
+    rows = by_rank(df.join(few, key, "left_semi"), key, order, -(-crowded // max_rows))
+    return cold.unionByName(_in_slices(rows, key, [*order, ANY], looks).select(*cold.columns))
 
-    rows = in_slices(df, hot, key, order[0])
-    ends = rows.filter(F.col(LO).isNotNull()).groupBy(*key, SLICE).agg(
-        *[_edge(k, order).alias(k.name) for k in looks]
-    )
+
+def _plain(df: DataFrame, key: list[str], order: list[str], looks: list[Look]) -> DataFrame:
+    # Partitioned before the payload structs are built, so that these are not shuffled.
+    frames = _frames(key, order, [])
+    found = df.repartition(*key).withColumns({k.name: F.last(k.value(), True).over(frames[k.direction]) for k in looks})
+    return found.select(*df.columns, *[k.name for k in looks])
+
+
+def by_rank(df: DataFrame, key: list[str], order: list[str], slices: int) -> DataFrame:
+    """Rows with their slice and a number that tells rows of one place apart, written once.
+
+    The slices are the ranges of a sort by key and order, of about equal numbers of rows (Spark samples
+    their bounds), whatever the distribution of the order columns.
+    """
+    numbered = df.withColumn(ANY, F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(slices + 1, *key, *order, ANY)
+    return written(ranged.withColumn(SLICE, F.spark_partition_id().cast("long")), "slices")
+
+
+def _in_slices(rows: DataFrame, key: list[str], order: list[str], looks: list[Look]) -> DataFrame:
+    ends = rows.groupBy(*key, SLICE).agg(*[_edge(k, order).alias(k.name) for k in looks])
     # One row per slice, at most (all rows / max_rows) of them in total.
     per_key = Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
     scans = {"prev": per_key.orderBy(F.asc(SLICE)), "next": per_key.orderBy(F.desc(SLICE))}
@@ -124,7 +146,7 @@ def neighbours(
             for k in looks
         }
     )
-    return found.filter(~F.col(CARRY)).select(*df.columns, *[k.name for k in looks])
+    return found.filter(~F.col(CARRY))
 
 
 def _edge(look: Look, order: list[str]) -> Column:

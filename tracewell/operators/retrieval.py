@@ -6,7 +6,7 @@ Rankings (lexical, dense, shared entities) each give the best ``k`` documents pe
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,149 +15,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.text import terms
+from tracewell.operators.lexical import SCORE_DIGITS, Index, bm25_topk, dated, search, top_k, visible
 from tracewell.schemas import EPISODE_TYPES, HYBRID_CANDIDATES
-from tracewell.storage import checkpointed, spread_by
+from tracewell.storage import written
 
-K1, B = 1.2, 0.75
 RRF_CONSTANT = 60
-SCORE_DIGITS = 6
-# Query terms that are broadcast: some 100 bytes each, so at most about 100 MB.
-BROADCAST_ROWS = 1_000_000
 # Rows per side of one block of the dense ranking: 4096 x 4096 scores are 128 MB.
 BLOCK_ROWS = 4096
+# What the vectors of a query table that goes to every task may take; rows that a task multiplies with it at once.
+BROADCAST_BYTES = 32 << 20
+SCAN_ROWS = 1024
 
 
-def _dated(docs: DataFrame, queries: DataFrame) -> bool:
-    """Whether queries say until when they look; then only documents valid by then are ranked for them."""
-    return "valid_at" in docs.columns and "as_of" in queries.columns
-
-
-def _visible() -> Column:
-    return F.col("as_of").isNull() | F.coalesce(F.col("valid_at") <= F.col("as_of"), F.lit(False))
-
-
-def top_k(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
-    """Best ``k`` per query, ties by document. Spark cuts each partition to ``k`` per query first."""
-    best = Window.partitionBy("query_id").orderBy(F.desc(score), F.asc("doc_id"))
-    return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-
-
-def bm25_topk(
+def cosine_topk(
     docs: DataFrame,
     queries: DataFrame,
     k: int,
     by_group: bool = False,
-    k1: float = K1,
-    b: float = B,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Lexical ranking of ``docs(doc_id, text)`` for ``queries(query_id, text)``.
-
-    With ``by_group`` both sides have ``group_id`` and a query only sees its group (a null group
-    sees all). Scores are rounded before ranking, so equal texts tie.
-
-    Postings are kept by document. A query table of at most ``broadcast_rows`` terms is sent to
-    them, so all terms of a document meet all queries in one task, are summed there, and only the
-    best ``k`` per query and partition are shuffled. A larger one is joined by shuffles, after
-    ``_pruned`` has left out the pairs that cannot reach the result.
-    """
-    dated = _dated(docs, queries)
-    groups = [*(["group_id"] if by_group else []), *(["valid_at"] if dated else [])]
-    tokens = docs.select("doc_id", *groups, terms(F.col("text")).alias("_t"))
-    corpus = F.struct(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("_t")).alias("mean_length"))
-    size = tokens.agg(corpus.alias("s")).scalar()
-    asked = queries.select(
-        "query_id",
-        *([F.col("group_id").alias("_scope")] if by_group else []),
-        *(["as_of"] if dated else []),
-        F.explode(F.array_distinct(terms(F.col("text")))).alias("term"),
-    )
-    vocabulary = asked.select("term").distinct()
-    # Only terms that some query asks for are kept, and they are counted per document before the
-    # shuffle. The result is read more than once below, so it is written once.
-    part = F.col("_tf") * (k1 + 1) / (F.col("_tf") + k1 * (1 - b + b * F.col("_length") / size["mean_length"]))
-    postings = checkpointed(
-        tokens.select("doc_id", *groups, F.size("_t").alias("_length"), F.explode("_t").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("doc_id", *groups, "_length", "term")
-        .agg(F.count(F.lit(1)).alias("_tf"))
-        .select("doc_id", *groups, "term", part.alias("_part"))
-    )
-    per_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.max("_part").alias("_most"))
-    idf = F.log(1 + (size["n"] - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weights = checkpointed(asked.join(per_term, "term").withColumn("_idf", idf))
-    if weights.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return top_k(_summed(_met(spread_by(postings, "doc_id"), F.broadcast(weights), by_group)), k)
-    return top_k(_pruned(postings, weights, k, by_group), k)
-
-
-def _met(postings: DataFrame, weights: DataFrame, by_group: bool) -> DataFrame:
-    """Postings with the query terms they match; a scoped query only meets its own group."""
-    held = ["query_id", "doc_id", "_idf", "_part"]
-    if "as_of" in weights.columns:
-        undated = _met(postings.drop("valid_at"), weights.filter(F.col("as_of").isNull()).drop("as_of"), by_group)
-        keys = ["group_id", "term"] if by_group else ["term"]
-        asked = weights.filter(F.col("as_of").isNotNull())
-        parts = [undated]
-        if by_group:
-            parts.append(postings.join(asked.filter(F.col("_scope").isNotNull()).withColumnRenamed("_scope", "group_id"), keys))
-            asked = asked.filter(F.col("_scope").isNull()).drop("_scope")
-        parts.append(postings.join(asked, "term"))
-        for part in parts[1:]:
-            undated = undated.unionByName(part.filter(_visible()).select(*held))
-        return undated
-    if not by_group:
-        return postings.join(weights, "term").select(*held)
-    scoped = weights.filter(F.col("_scope").isNotNull()).withColumnRenamed("_scope", "group_id")
-    free = weights.filter(F.col("_scope").isNull()).drop("_scope")
-    everywhere = postings.join(free, "term").select(*held)
-    return postings.join(scoped, ["group_id", "term"]).select(*held).unionByName(everywhere)
-
-
-def _summed(parts: DataFrame) -> DataFrame:
-    total = F.round(F.sum(F.col("_idf") * F.col("_part")), SCORE_DIGITS)
-    return parts.groupBy("query_id", "doc_id").agg(total.alias("score"))
-
-
-def _pruned(postings: DataFrame, weights: DataFrame, k: int, by_group: bool) -> DataFrame:
-    """Scores of all pairs that can be among the best ``k`` of their query.
-
-    Common terms would pair every query with nearly every document. The query's rarest terms give
-    a lower bound for its k-th best score. Terms whose best possible weights, summed from the
-    smallest up, stay below that bound cannot bring a document into the result by themselves, so
-    candidates are looked for by the other terms only, and then scored over all terms.
-    """
-    rarest = Window.partitionBy("query_id").orderBy("_df", "term")
-    reached = rarest.rowsBetween(Window.unboundedPreceding, -1)
-    few = F.coalesce(F.sum("_df").over(reached), F.lit(0)) < 20 * k
-    seeds = weights.withColumn("_few", few).filter("_few").drop("_few")
-    bound = (
-        top_k(_summed(_met(postings, seeds, by_group)), k)
-        .groupBy("query_id")
-        .agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("_bound"))
-    )
-    least = Window.partitionBy("query_id").orderBy("_reach", "term").rowsBetween(Window.unboundedPreceding, 0)
-    essential = (
-        weights.withColumn("_reach", F.col("_idf") * F.col("_most"))
-        .withColumn("_sum", F.sum("_reach").over(least))
-        .join(bound, "query_id", "left")
-        .filter(F.col("_bound").isNull() | (F.col("_sum") >= F.col("_bound") - 1e-5))
-        .select(*weights.columns)
-    )
-    candidates = _met(postings, essential, by_group).select("query_id", "doc_id").distinct()
-    wanted = candidates.join(weights.select("query_id", "term", "_idf"), "query_id")
-    return _summed(wanted.join(postings.select("doc_id", "term", "_part"), ["doc_id", "term"]))
-
-
-def cosine_topk(
-    docs: DataFrame, queries: DataFrame, k: int, by_group: bool = False, block_rows: int = BLOCK_ROWS
+    block_rows: int = BLOCK_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Dense ranking of ``docs(doc_id, embedding)`` for ``queries(query_id, embedding)``.
 
-    Both sides are cut into blocks of about ``block_rows`` per group (a hot group just has more
-    blocks). A task multiplies one document block by one query block and returns only the best
-    ``k`` per query, so no table of pairs ever exists and the result is exact.
+    Queries are counted first. Where their vectors take at most ``broadcast_bytes`` they go to every task; a task scans its
+    documents where they are and holds the best ``k`` per query, so no document is shuffled. A larger query table
+    is cut into blocks of about ``block_rows`` like the documents (a hot group just has more blocks), and a task
+    multiplies two blocks. No table of pairs ever exists, and both ways are exact.
     """
+    n, width = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).head()
+    if n * max(width, 1) * 8 <= broadcast_bytes:
+        return top_k(_scanned(docs, queries, k, by_group), k)
     if by_group:
         scoped = queries.filter(F.col("group_id").isNotNull())
         found = [_blocked(docs, scoped, ["group_id"], k, block_rows)]
@@ -166,6 +53,45 @@ def cosine_topk(
     return top_k(_blocked(docs, queries, [], k, block_rows), k)
 
 
+def _scanned(docs: DataFrame, queries: DataFrame, k: int, by_group: bool) -> DataFrame:
+    by_time = dated(docs, queries)
+    group = ["group_id"] if by_group else []
+    asked = queries.select("query_id", "embedding", *group, *(["as_of"] if by_time else [])).toPandas()  # counted
+    schema = T.StructType([queries.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    every = np.arange(len(asked))
+    unit = _unit(asked.embedding) if len(asked) else np.empty((0, 1))
+    scopes = asked.group_id if by_group else pd.Series([None] * len(asked))
+    free, scoped = every[scopes.isna()], {g: every[scopes == g] for g in scopes.dropna().unique()}
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score, best = np.full((len(asked), k), -np.inf), None
+        for frame in frames:
+            for at in range(0, len(frame), SCAN_ROWS):
+                block = frame.iloc[at : at + SCAN_ROWS].sort_values("doc_id", ignore_index=True)
+                matrix, ids = _unit(block.embedding), block.doc_id.to_numpy()
+                best = np.full((len(asked), k), ids[0]) if best is None else best
+                parts = block.groupby("group_id", dropna=False).indices if scoped else {None: np.arange(len(block))}
+                for name, rows in parts.items():
+                    own = np.concatenate([free, scoped.get(name, every[:0])])
+                    made = np.round(unit[own] @ matrix[rows].T, SCORE_DIGITS) + 0.0
+                    if by_time:
+                        as_of, valid = asked.as_of.to_numpy()[own][:, None], block.valid_at.to_numpy()[rows][None, :]
+                        made = np.where(np.isnat(as_of) | (valid <= as_of), made, -np.inf)
+                    chosen = np.argsort(-made, axis=1, kind="stable")[:, :k]  # equal scores stay in document order
+                    scores = np.hstack([score[own], np.take_along_axis(made, chosen, axis=1)])
+                    found = np.hstack([best[own], ids[rows][chosen]])
+                    rank = np.unique(found, return_inverse=True)[1].reshape(found.shape)
+                    order = np.lexsort((rank, -scores), axis=-1)[:, :k]
+                    score[own] = np.take_along_axis(scores, order, axis=1)
+                    best[own] = np.take_along_axis(found, order, axis=1)
+        if best is not None:
+            made = pd.DataFrame({"query_id": np.repeat(asked.query_id.to_numpy(), k), "doc_id": best.ravel(), "score": score.ravel()})
+            yield made[made.score > -np.inf]
+
+    columns = ["doc_id", "embedding", *group, *(["valid_at"] if by_time else [])]
+    return docs.select(*columns).mapInPandas(scan, schema)
+
+
 def _blocked(docs: DataFrame, queries: DataFrame, group: list[str], k: int, block_rows: int) -> DataFrame:
     def blocks(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
@@ -176,9 +102,9 @@ def _blocked(docs: DataFrame, queries: DataFrame, group: list[str], k: int, bloc
             other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))
         )
 
-    dated = _dated(docs, queries)
+    by_time = dated(docs, queries)
     # Fresh column ids: both sides may come from one table.
-    queries = queries.select(*[F.col(c).alias(c) for c in [*group, "query_id", "embedding", *(["as_of"] if dated else [])]])
+    queries = queries.select(*[F.col(c).alias(c) for c in [*group, "query_id", "embedding", *(["as_of"] if by_time else [])]])
     counts = [blocks(docs, "_ds"), blocks(queries, "_qs")]
     if group:
         both = counts[0].join(counts[1], group)
@@ -188,8 +114,8 @@ def _blocked(docs: DataFrame, queries: DataFrame, group: list[str], k: int, bloc
         nd, nq = (F.greatest(c.scalar(), F.lit(1)) for c in counts)
         left, right = (df.withColumns({"_ds": nd, "_qs": nq}) for df in (docs, queries))
     key = [*group, "_d", "_q"]
-    left = spread(left, "doc_id", "_d", "_q").select(*key, "doc_id", "embedding", *(["valid_at"] if dated else []))
-    right = spread(right, "query_id", "_q", "_d").select(*key, "query_id", "embedding", *(["as_of"] if dated else []))
+    left = spread(left, "doc_id", "_d", "_q").select(*key, "doc_id", "embedding", *(["valid_at"] if by_time else []))
+    right = spread(right, "query_id", "_q", "_d").select(*key, "query_id", "embedding", *(["as_of"] if by_time else []))
     fields = [queries.schema["query_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields)
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_best_in_block(k), schema)
@@ -231,10 +157,10 @@ def shared_entity_topk(query_entities: DataFrame, doc_entities: DataFrame, k: in
     Documents with the same set of asked-for entities score the same for every query, so only the
     first ``k`` of each such set can appear in a result; the others never meet a query.
     """
-    if _dated(doc_entities, query_entities):
+    if dated(doc_entities, query_entities):
         # What a query may see differs, so a document of every set may count.
         held = doc_entities.select("doc_id", "entity", "valid_at").distinct()
-        met = held.join(query_entities.select("query_id", "entity", "as_of").distinct(), "entity").filter(_visible())
+        met = held.join(query_entities.select("query_id", "entity", "as_of").distinct(), "entity").filter(visible())
         return top_k(met.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score")), k)
     asked = query_entities.select("query_id", "entity").distinct()
     relevant = doc_entities.select("doc_id", "entity").join(asked.select("entity").distinct(), "entity", "left_semi")
@@ -289,14 +215,16 @@ def term_overlap(query: Column, text: Column) -> Column:
 Scorer = Callable[[Column, Column], Column]
 
 
+TEXTS = ["query_text", "content"]
+
+
 def rerank(candidates: DataFrame, scorer: Scorer = term_overlap, k: int | None = None, per: tuple[str, ...] = ()) -> DataFrame:
     """Order candidates by ``scorer(query_text, content)``; ties keep the retrieval order.
 
-    ``scorer`` maps two text columns to a score column, for instance a pandas UDF around a model.
+    ``scorer`` maps two text columns to a score column, for instance a pandas UDF around a model. Scores are
+    made where the texts are; the texts stay there, and only ids, scores and the other columns are sorted.
     """
-    scored = spread_by(candidates, "query_id").withColumn(
-        "reranker_score", F.round(scorer(F.col("query_text"), F.col("content")), SCORE_DIGITS)
-    )
+    scored = candidates.withColumn("reranker_score", F.round(scorer(F.col("query_text"), F.col("content")), SCORE_DIGITS)).drop(*TEXTS)
     best = Window.partitionBy("query_id", *per).orderBy(F.desc("reranker_score"), F.asc("retrieval_rank"))
     ranked = scored.withColumn("rank", F.row_number().over(best))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
@@ -308,13 +236,15 @@ def hybrid_candidates(
     query_entities: DataFrame | None = None,
     fact_entities: DataFrame | None = None,
     limit: int = HYBRID_CANDIDATES,
+    index: Index | None = None,
 ) -> DataFrame:
     """The best ``limit`` facts per query over the signals the inputs allow.
 
     Always lexical; dense if both sides have ``embedding``; shared entities if both entity tables
     are given. ``retrieval_rank`` counts from 0. A query with ``group_id`` sees its group only, and
     one with ``as_of`` only what was valid by then: later facts take no place in any ranking. (Their
-    words still count in the corpus statistics of the lexical one.)
+    words still count in the corpus statistics of the lexical one.) With ``index`` the lexical ranking
+    reads it instead of the facts; it holds the same ones or at least those of the queries' groups.
     """
     docs = facts.select(
         F.col("fact_id").alias("doc_id"),
@@ -322,13 +252,14 @@ def hybrid_candidates(
         "group_id",
         *[c for c in ("embedding", "valid_at") if c in facts.columns],
     )
-    rankings = [bm25_topk(docs, queries, limit, by_group=True)]
+    lexical = search(index, queries, limit, True) if index is not None else bm25_topk(docs, queries, limit, by_group=True)
+    rankings = [lexical]
     if "embedding" in facts.columns and "embedding" in queries.columns:
         rankings.append(cosine_topk(docs, queries, limit, by_group=True))
     if query_entities is not None and fact_entities is not None:
         scoped_asks, scoped_docs = _scoped_entities(queries, facts, query_entities, fact_entities)
         rankings.append(shared_entity_topk(scoped_asks, scoped_docs, limit))
-    fused = fuse_rankings(rankings, limit)
+    fused = written(fuse_rankings(rankings, limit).select("query_id", "doc_id", "rank"), "fused")
     asked = queries.select("query_id", F.col("text").alias("query_text"), *(["as_of"] if "as_of" in queries.columns else []))
     found = (
         fused.select("query_id", F.col("doc_id").alias("fact_id"), (F.col("rank") - 1).alias("retrieval_rank"))
@@ -342,7 +273,7 @@ def hybrid_candidates(
 def _scoped_entities(queries, facts, query_entities, fact_entities):
     """Entities tagged with their group, so that a scoped query only meets facts of its group."""
     everywhere = F.lit("*")
-    until, since = (["as_of"], ["valid_at"]) if _dated(facts, queries) else ([], [])
+    until, since = (["as_of"], ["valid_at"]) if dated(facts, queries) else ([], [])
     asks = query_entities.join(queries.select("query_id", "group_id", *until), "query_id")
     asks = asks.select("query_id", F.struct(F.coalesce("group_id", everywhere).alias("g"), "entity").alias("entity"), *until)
     held = fact_entities.join(facts.select("fact_id", "group_id", *since), "fact_id")
@@ -366,10 +297,36 @@ def search_history(
     """
     if episode_types is not None:
         known_types(episode_types)
-    found = with_episode_type(checkpointed(hybrid_candidates(queries, facts, **signals)), episodes)
+    of, asked, signals = _once(queries, signals)
+    found = _typed(hybrid_candidates(asked, facts, **signals), facts, episodes)
     if episode_types is not None:
         found = found.filter(F.col("episode_type").isin(episode_types))
-    return _results(rerank(found, scorer, k))
+    return _results(rerank(found, scorer, k), facts, of)
+
+
+def _once(queries: DataFrame, signals: dict) -> tuple[DataFrame, DataFrame, dict]:
+    """(query_id, asked_id), the queries of the asked ids, and the signals: queries alike in all that they ask are asked once."""
+    what = [c for c in ("group_id", "text", "as_of", "embedding") if c in queries.columns]
+    named, entities = queries, signals.get("query_entities")
+    if entities is not None:
+        sets = entities.groupBy("query_id").agg(F.sort_array(F.collect_set("entity")).alias("_entities"))
+        named, what = queries.join(sets, "query_id", "left"), [*what, "_entities"]
+    # A hash of all the columns, as JSON that keeps nulls.
+    same = F.sha2(F.to_json(F.struct(*what), {"ignoreNullFields": "false"}), 256)
+    named = written(named.select("query_id", same.alias("_same")), "same")
+    first = named.groupBy("_same").agg(F.min("query_id").alias("asked_id"))
+    of = written(named.join(first, "_same").select("query_id", "asked_id"), "asked")
+    asked = of.filter(F.col("query_id") == F.col("asked_id")).select("query_id")
+    queries = queries.join(asked, "query_id", "left_semi")
+    if entities is not None:
+        signals = {**signals, "query_entities": entities.join(asked, "query_id", "left_semi")}
+    return of, queries, signals
+
+
+def _typed(candidates: DataFrame, facts: DataFrame, episodes: DataFrame) -> DataFrame:
+    """Candidates with the type of their fact; types are looked up for facts that are candidates only."""
+    wanted = facts.select("fact_id", "episodes").join(candidates.select("fact_id").distinct(), "fact_id", "left_semi")
+    return candidates.join(with_episode_type(wanted, episodes).select("fact_id", "episode_type"), "fact_id", "left")
 
 
 TIERS = [(["pattern_occurrence", "intervention", "outcome"], 4), (["agent_alert"], 1)]
@@ -384,8 +341,9 @@ def two_tier_history(
     **signals,
 ) -> DataFrame:
     """One search per tier, tiers in order. The candidates are the same, so they are found once."""
-    found = with_episode_type(checkpointed(hybrid_candidates(queries, facts, **signals)), episodes)
-    return _results(in_tiers(found, tiers or TIERS, scorer), ["tier"])
+    of, asked, signals = _once(queries, signals)
+    found = _typed(hybrid_candidates(asked, facts, **signals), facts, episodes)
+    return _results(in_tiers(found, tiers or TIERS, scorer), facts, of, ["tier"])
 
 
 def in_tiers(candidates: DataFrame, tiers: list[tuple[list[str], int]], scorer: Scorer = term_overlap) -> DataFrame:
@@ -397,8 +355,11 @@ def in_tiers(candidates: DataFrame, tiers: list[tuple[list[str], int]], scorer:
     return ranked.filter((F.col("rank") <= limit) & (F.col("rank") <= max(n for _, n in tiers)))
 
 
-def _results(ranked: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    return ranked.select(
+def _results(ranked: DataFrame, facts: DataFrame, of: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """The results of every query, from those of the asked ones; texts are read for these alone."""
+    texts = facts.select("fact_id", F.col("fact").alias("content"))
+    found = ranked.withColumnRenamed("query_id", "asked_id").join(texts, "fact_id").join(of, "asked_id")
+    return found.select(
         "query_id",
         *(extra or []),
         "rank",

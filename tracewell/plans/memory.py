@@ -11,6 +11,7 @@ from tracewell.operators import entities as G
 from tracewell.operators import episodes as E
 from tracewell.operators import matches as M
 from tracewell.operators import retrieval as R
+from tracewell.operators.lexical import Index
 from tracewell.sources.ingest import accepted, parse_matches, rejected
 
 
@@ -57,8 +58,14 @@ def match_query_entities(matches: DataFrame) -> DataFrame:
     )
 
 
-def retrieve(matches: DataFrame, facts: DataFrame, episodes: DataFrame, scorer: R.Scorer = R.term_overlap) -> DataFrame:
-    """Matches with their ``retrieved_episodes``, both tiers."""
+def retrieve(
+    matches: DataFrame,
+    facts: DataFrame,
+    episodes: DataFrame,
+    scorer: R.Scorer = R.term_overlap,
+    index: Index | None = None,
+) -> DataFrame:
+    """Matches with their ``retrieved_episodes``, both tiers; the lexical ranking reads ``index`` where there is one."""
     found = R.two_tier_history(
         match_queries(matches),
         facts,
@@ -66,6 +73,7 @@ def retrieve(matches: DataFrame, facts: DataFrame, episodes: DataFrame, scorer:
         scorer=scorer,
         query_entities=match_query_entities(matches),
         fact_entities=G.fact_entities(facts),
+        index=index,
     )
     return R.attach_history(matches, found)
 

@@ -8,9 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators import matches as M
 from tracewell.plans import detection_queries as D
-from tracewell.plans.catalog import event_stream, query
+from tracewell.plans.catalog import event_stream, events, query
+from tracewell.plans.detection import cascades
+from tracewell.plans.retrieval_queries import HISTORY_SQL
+from tracewell.sources.sinks import append_messages
+from tracewell.sources.topics import file_record_stream
 from tracewell.storage import fresh_path
+from tracewell.streaming import jobs
 from tracewell.streaming.detectors import stream_cascades, stream_missing_heartbeats, stream_order_violations
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -79,3 +85,55 @@ def stream_order_matches(spark, sf_dir):
     found = drained(spark, stream_order_violations(D.order_records(event_stream(spark, sf_dir)), D.DAY_MS))
     order_id = F.get_json_object(F.col("source_json")[0], "$.order_id")
     return found.select("violation_type", "detected_at", order_id.alias("order_id"))
+
+
+LAST_SQL = f"(SELECT max(epoch_us(ts) // 1000 - (event_id * 7919000) % {2 * D.DAY_MS}) FROM events WHERE event_type IN ('signup', 'click', 'purchase'))"
+
+
+@query(D.ORDER_ROWS_SQL.replace("max(ms) OVER () AS as_of", f"{LAST_SQL} - 5000 + 1 AS as_of"))
+def stream_order_matches_by_arrival(spark, sf_dir):
+    """Order flows as they arrive, in a stream: two days of disorder, five seconds of watermark delay, no row too late."""
+    records = D.order_records(D.jittered(event_stream(spark, sf_dir)))
+    return D.order_rows(drained(spark, stream_order_violations(records, D.DAY_MS, order_by="arrival")))
+
+
+@query(
+    f"""SELECT replace(alert_id, 'alert-', 'train-') AS record_id, machine_id, confidence_raw, confidence_final, flags, retrieved
+    FROM ({HISTORY_SQL})"""
+)
+def stored_history_alerts(spark, sf_dir):
+    """The chain of ``history_alerts`` through the jobs: matches from a topic remembered in a stored index by group, then
+    alerts that search it, read back from the training files."""
+    path = fresh_path(spark, "memory")
+    matches = cascades(D.telemetry_records(events(spark, sf_dir)), D.machine_baselines(spark, sf_dir), D.THREE_DAYS_MS)
+    append_messages(M.match_messages(matches, "plant"), f"{path}/topics")
+    store, alerts = f"{path}/store", f"{path}/alerts"
+
+    def done(job) -> None:
+        job.trigger(availableNow=True).start().awaitTermination()
+
+    done(jobs.remember(file_record_stream(spark, f"{path}/topics"), store, f"{path}/remembered"))
+    done(
+        jobs.alert(
+            file_record_stream(spark, f"{path}/topics"),
+            lambda: spark.read.parquet(f"{store}/facts"),
+            lambda: spark.read.parquet(f"{store}/episodes"),
+            alerts,
+            f"{path}/alerted",
+            "plant",
+            index=jobs.stored_index(spark, store),
+        )
+    )
+    schema = (
+        "record_id string, machine_id string, confidence_raw double, confidence_final double, validation_flags array<string>,"
+        "retrieved_episodes array<struct<metadata:struct<edge_uuid:string>>>"
+    )
+    read = spark.read.schema(schema).json(f"{alerts}/training")
+    return read.select(
+        "record_id",
+        "machine_id",
+        "confidence_raw",
+        "confidence_final",
+        F.array_join("validation_flags", ",").alias("flags"),
+        F.array_join(F.transform("retrieved_episodes", lambda e: e["metadata"]["edge_uuid"]), ",").alias("retrieved"),
+    )

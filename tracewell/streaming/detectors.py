@@ -9,12 +9,12 @@ from tracewell import schemas as S
 from tracewell.operators import matches as M
 from tracewell.plans.detection import CASCADE_STEPS, flagged_readings
 from tracewell.sources.ingest import accepted, parse_heartbeats, parse_order_events
-from tracewell.streaming.processors import OUTPUT, GapProcessor, OrderFlowProcessor, SequenceProcessor
+from tracewell.streaming.processors import OUTPUT, ArrivalFlowProcessor, GapProcessor, OrderFlowProcessor, SequenceProcessor
 
 OUT_OF_ORDER = f"{S.OUT_OF_ORDER_MS // 1000} seconds"
 
 
-def _machine_rows(rows: DataFrame, key: str, kind: Column, event_json: Column, delay: str | None) -> DataFrame:
+def _machine_rows(rows: DataFrame, key: str, kind: Column, event_json: Column, delay: str | None, late: bool = False) -> DataFrame:
     shaped = rows.select(
         key,
         F.timestamp_millis("event_ms").alias("ts"),
@@ -28,7 +28,9 @@ def _machine_rows(rows: DataFrame, key: str, kind: Column, event_json: Column, d
         return shaped
     # Rows of no interest still move the watermark: this test uses the time column and therefore
     # stays above the watermark node instead of being pushed below it.
-    return shaped.withWatermark("ts", delay).filter(F.when(F.col("kind") != "", F.col("ts")).isNotNull())
+    held = shaped.withWatermark("ts", delay).filter(F.when(F.col("kind") != "", F.col("ts")).isNotNull())
+    # Spark drops late rows by the time column; without it all of them reach the state machine.
+    return held.drop("ts") if late else held
 
 
 def _detect(rows: DataFrame, key: str, processor, time_mode: str) -> DataFrame:
@@ -66,11 +68,17 @@ def stream_order_violations(
     window_ms: int = S.ORDER_WINDOW_MS,
     delay: str = OUT_OF_ORDER,
     retain_ms: int | None = None,
+    order_by: str = "event_time",
 ) -> DataFrame:
-    """``retain_ms`` forgets an order that long after its last event; by default never."""
+    """Broken order flows, the events of an order taken by event time or as they arrived (by offset).
+
+    By arrival no row is too late; an order that nothing answers is unfulfilled once the watermark has passed
+    its deadline. ``retain_ms`` forgets an order that long after its last event; by default never.
+    """
+    kinds = {"event_time": OrderFlowProcessor, "arrival": ArrivalFlowProcessor}
     events = accepted(parse_order_events(records))
-    rows = _machine_rows(events, "order_id", F.col("event_type"), M.order_event_json(), delay)
-    processor = OrderFlowProcessor(["order_id"], window_ms, retain_ms)
+    rows = _machine_rows(events, "order_id", F.col("event_type"), M.order_event_json(), delay, order_by == "arrival")
+    processor = kinds[order_by](["order_id"], window_ms, retain_ms)
     found = _detect(rows, "order_id", processor, "EventTime")
     return _matches(found, S.ORDER_FLOW, F.lit(S.ORDER_FLOW_MACHINE))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -18,8 +18,10 @@ from tracewell.operators import entities as G
 from tracewell.operators import episodes as E
 from tracewell.operators import matches as M
 from tracewell.operators import retrieval as R
+from tracewell.operators.lexical import Index, LexicalStore, joined
 from tracewell.plans import memory
 from tracewell.sources.ingest import accepted
+from tracewell.sources.runs import RunTable
 from tracewell.sources.sinks import alert_messages, gathered
 from tracewell.storage import checkpointed
 
@@ -39,15 +41,15 @@ def _unseen(matches: DataFrame, path: str, batch: int) -> DataFrame:
     A repeated delivery has the day of the first, so only the days of this batch are read, and there is
     no horizon after which a repeat would count as new. A replayed batch does not see its own notes.
     """
-    spark = matches.sparkSession
-    matches = checkpointed(matches.withColumn("_day", F.to_date("detected_ts")))
-    first, last = matches.agg(F.min("_day"), F.max("_day")).head()
-    schema = "match_id string, day date, batch int"
-    _replace(matches.select("match_id", F.col("_day").alias("day")), f"{path}/seen", batch, "day")
-    seen = spark.read.schema(schema).parquet(f"{path}/seen").filter(F.col("batch") < batch)
-    if first is not None:
-        seen = seen.filter(F.col("day").between(first, last))
-    return matches.join(seen.select("match_id"), "match_id", "left_anti").drop("_day")
+    day = F.coalesce(F.to_date("detected_ts"), F.lit("1970-01-01").cast("date"))
+    matches = checkpointed(matches.withColumn("_day", day.cast("string")))
+    days = [r[0] for r in matches.select("_day").distinct().collect()]
+    if not days:
+        return matches.drop("_day")
+    seen = RunTable(matches.sparkSession, f"{path}/seen", "day", "match_id string", ("match_id",))
+    seen.merge(days, batch)
+    seen.append(matches.select("match_id", F.col("_day").alias("day")), batch)
+    return matches.join(seen.read(days, batch).select("match_id"), "match_id", "left_anti").drop("_day")
 
 
 def messages_to(messages: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -61,6 +63,23 @@ def messages_to(messages: DataFrame, path: str, checkpoint: str) -> DataStreamWr
     )
 
 
+def _remembered(episodes: DataFrame, facts: DataFrame, path: str, batch: int) -> None:
+    """Episodes and facts of a batch by group, and the facts in the stored index."""
+    _replace(episodes, f"{path}/episodes", batch, "group_id")
+    _replace(facts, f"{path}/facts", batch, "group_id")
+    LexicalStore(facts.sparkSession, f"{path}/index").append(indexed(facts), batch)
+
+
+def indexed(facts: DataFrame) -> DataFrame:
+    """Facts as documents of the lexical index."""
+    return facts.select(F.col("fact_id").alias("doc_id"), "group_id", "valid_at", F.col("fact").alias("text"))
+
+
+def stored_index(spark: SparkSession, *paths: str) -> Callable[[list[str]], Index]:
+    """The indexes that jobs keep below these paths, as one, over the groups that are asked for."""
+    return lambda groups: joined([LexicalStore(spark, f"{p}/index").read(groups) for p in paths])
+
+
 def remember(records: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Match records to ``episodes``, ``facts`` and ``rejects`` below ``path``."""
 
@@ -68,8 +87,7 @@ def remember(records: DataFrame, path: str, checkpoint: str) -> DataStreamWriter
         batch = checkpointed(batch)
         _, rejects = memory.ingest_matches(batch)
         told = checkpointed(accepted(E.narrate_matches(_unseen(memory.known_matches(batch), path, number))))
-        _replace(E.match_episodes(told), f"{path}/episodes", number, "group_id")
-        _replace(G.match_facts(told), f"{path}/facts", number, "group_id")
+        _remembered(E.match_episodes(told), G.match_facts(told), path, number)
         _replace(rejects, f"{path}/rejects", number)
 
     return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
@@ -85,22 +103,27 @@ def alert(
     score: Callable[[DataFrame], DataFrame] = A.score_by_rubric,
     scorer: R.Scorer = R.term_overlap,
     model: str = "offline-rubric",
+    index: Callable[[list[str]], Index] | None = None,
 ) -> DataStreamWriter:
     """Match records to ``alerts``, ``episodes`` and ``training`` below ``path``.
 
-    ``facts`` and ``episodes`` are read anew for every batch. Wall-clock columns are fixed by one
-    checkpoint per batch, so the three outputs agree.
+    ``facts``, ``episodes`` and ``index`` (see ``stored_index``) are asked anew for every batch, and only for the
+    machines of its matches: facts by a filter on ``group_id``, which prunes folders where they lie by it.
+    Without ``index`` the facts are indexed for each batch. Wall-clock columns are fixed by one checkpoint per
+    batch, so the three outputs agree.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         matches = checkpointed(_unseen(memory.known_matches(batch), path, number))
-        raised = memory.raise_alerts(memory.retrieve(matches, facts(), episodes(), scorer), score)
+        groups = [r[0] for r in matches.select("machine_id").distinct().collect()]
+        mine = facts().filter(F.col("group_id").isin(groups)) if index else facts()
+        found = memory.retrieve(matches, mine, episodes(), scorer, index(groups) if index else None)
+        raised = memory.raise_alerts(found, score)
         done = checkpointed(raised.withColumn("alerted_at", F.current_timestamp()))
         alerts = A.alert_records(done, F.col("alerted_at"))
         _replace(alert_messages(alerts, prefix), f"{path}/alerts", number, "topic", "json")
         told = accepted(E.check_alerts(done))
-        _replace(E.alert_episodes(told), f"{path}/episodes", number, "group_id")
-        _replace(G.alert_facts(told), f"{path}/facts", number, "group_id")
+        _remembered(E.alert_episodes(told), G.alert_facts(told), path, number)
         training = A.training_records(done, M.raw_events(), model, F.col("alerted_at"))
         dated = training.withColumn("alert_date", F.to_date("alerted_at"))
         _replace(dated, f"{path}/training", number, "alert_date", "json")

@@ -9,6 +9,8 @@ than that are dropped and counted by Spark.
 from __future__ import annotations
 
 import json
+import math
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +26,10 @@ def _frame(names: list[str], key, found: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame([(*key, *row) for row in found], columns=columns)
 
 
+def _rows(frames: Iterator[pd.DataFrame]) -> list[tuple]:
+    return [row for frame in frames for row in zip(*[frame[c].tolist() for c in INPUT])]
+
+
 class EventTimeProcessor(StatefulProcessor):
     """Base: buffers rows and hands them to ``advance`` in event-time order."""
 
@@ -36,7 +42,7 @@ class EventTimeProcessor(StatefulProcessor):
         self.progress = handle.getValueState("progress", "body string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = [tuple(r) for frame in rows for r in frame[INPUT].itertuples(index=False)]
+        arrived = _rows(rows)
         if arrived:
             self.buffer.appendList(arrived)
             self._wake_at(min(r[0] for r in arrived))
@@ -96,7 +102,10 @@ class EventTimeProcessor(StatefulProcessor):
 class SequenceProcessor(EventTimeProcessor):
     """Ordered steps within a time limit; a match clears every attempt that began before its end.
 
-    ``kind`` lists the steps a row satisfies, as comma-separated names.
+    ``kind`` lists the steps a row satisfies, as comma-separated names. State is the positions of the rows of
+    each step since the last match, in order, and the payload of each such row once, in a map. A row that satisfies
+    the last step looks for the earliest start still in time and, from there, for the next row of each step: a
+    binary search per step, however many attempts are open. Later starts cannot end earlier.
     """
 
     def __init__(self, key_names: list[str], steps: list[str], within_ms: int):
@@ -104,34 +113,67 @@ class SequenceProcessor(EventTimeProcessor):
         self.steps = steps
         self.within_ms = within_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.payload = handle.getMapState("payload", "ms long, seq long", "event_json string")
+        self.fresh: dict[tuple, str] = {}
+
     def start(self) -> dict:
-        return {"attempts": []}
+        return {"rows": [[] for _ in self.steps[1:]]}
 
     def advance(self, state, row):
-        ms, _, kind, event_time, event_json = row
-        satisfied = set(kind.split(","))
-        done = None
-        alive = [a for a in state["attempts"] if ms - a["ms"] < self.within_ms]
-        for attempt in alive:
-            if self.steps[len(attempt["events"])] in satisfied:
-                attempt["events"] = [*attempt["events"], event_json]
-                if done is None and len(attempt["events"]) == len(self.steps):
-                    done = (event_time, None, attempt["events"])
-        if done is not None:
-            state["attempts"] = []
-            return [done]
-        if self.steps[0] in satisfied:
-            alive.append({"ms": ms, "events": [event_json]})
-        state["attempts"] = alive
+        ms, seq, kind, event_time, event_json = row
+        satisfied, rows = set(kind.split(",")), state["rows"]
+        if self.steps[-1] in satisfied:
+            chain = self._chain(rows, ms)
+            if chain is not None:
+                found = [*[self._event(at) for at in chain], event_json]
+                self._forget(rows, [len(r) for r in rows])
+                return [(event_time, None, found)]
+        began = bool(rows[0])
+        for i, step in enumerate(self.steps[:-1]):
+            if step in satisfied and (began or i == 0):
+                rows[i].append([ms, seq])
+                self.fresh[ms, seq] = event_json
         return []
 
+    def _chain(self, rows: list[list], ms: int) -> list | None:
+        """The first start after ``ms`` less the limit, and the first row of each next step after the one before."""
+        chain, after = [], [ms - self.within_ms, math.inf]
+        for own in rows:
+            at = bisect_right(own, after)
+            if at == len(own):
+                return None
+            after = own[at]
+            chain.append(after)
+        return chain
+
+    def _event(self, at: list) -> str:
+        fresh = self.fresh.get(tuple(at))
+        return fresh if fresh is not None else self.payload.getValue(tuple(at))[0]
+
+    def _forget(self, rows: list[list], counts: list[int]) -> None:
+        gone = {tuple(at) for own, n in zip(rows, counts) for at in own[:n]}
+        for own, n in zip(rows, counts):
+            del own[:n]
+        held = {tuple(at) for own in rows for at in own}
+        for at in gone - held:
+            if self.fresh.pop(at, None) is None:
+                self.payload.removeKey(at)
+
     def expire(self, state, watermark):
-        state["attempts"] = [a for a in state["attempts"] if watermark - a["ms"] < self.within_ms]
+        rows = state["rows"]
+        first = bisect_right(rows[0], [watermark - self.within_ms, math.inf])
+        begun = rows[0][first] if first < len(rows[0]) else [math.inf]
+        self._forget(rows, [first, *[bisect_right(own, begun) for own in rows[1:]]])
+        for at, event_json in self.fresh.items():
+            self.payload.updateValue(at, (event_json,))
+        self.fresh = {}
         return []
 
     def deadline(self, state):
-        # Wakes up to forget attempts that timed out, so that idle keys hold no state.
-        return min((a["ms"] + self.within_ms for a in state["attempts"]), default=None)
+        # Wakes up to forget starts that timed out, so that idle keys hold no state.
+        return state["rows"][0][0][0] + self.within_ms if state["rows"][0] else None
 
 
 class OrderFlowProcessor(EventTimeProcessor):
@@ -147,8 +189,9 @@ class OrderFlowProcessor(EventTimeProcessor):
 
     def advance(self, state, row):
         ms, _, kind, event_time, event_json = row
-        found = self._overdue(state, ms - 1)
-        state["last"] = ms
+        # Only a delivery answers a waiting order, in time or not; without one the deadline's timer does.
+        found = self._overdue(state, ms - 1) if kind in ("order", "shipment") else []
+        state["last"] = max(ms, state["last"] or ms)
         event = {"ms": ms, "time": event_time, "json": event_json}
         if kind == "order":
             state.update(seen=True, order=event, shipped=False, waiting=event)
@@ -188,6 +231,38 @@ class OrderFlowProcessor(EventTimeProcessor):
         return min(times, default=None)
 
 
+class ArrivalFlowProcessor(OrderFlowProcessor):
+    """The same rules with the events of an order taken as they arrive; only deadlines wait for event time.
+
+    Nothing is held back and nothing comes too late: a row older than the watermark counts like any other.
+    """
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        arrived = sorted(_rows(rows), key=lambda r: r[1])
+        state = self._state()
+        found = [m for row in arrived for m in self.advance(state, row)]
+        yield from self._close(key, state, found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = self._state()
+        yield from self._close(key, state, self.expire(state, timerValues.getCurrentWatermarkInMs()))
+
+    def _state(self) -> dict:
+        return json.loads(self.progress.get()[0]) if self.progress.exists() else self.start()
+
+    def _close(self, key, state: dict, found: list[tuple]) -> Iterator[pd.DataFrame]:
+        if state == self.start():
+            self.progress.clear()
+        else:
+            self.progress.update((json.dumps(state),))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if self.deadline(state) is not None:
+            self.handle.registerTimer(self.deadline(state))
+        if found:
+            yield _frame(self.key_names, key, found)
+
+
 class GapProcessor(StatefulProcessor):
     """Gaps between successive signals in arrival order; needs no watermark."""
 
@@ -200,7 +275,7 @@ class GapProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         previous = tuple(self.last.get()) if self.last.exists() else None
-        arrived = sorted((tuple(r) for f in rows for r in f[INPUT].itertuples(index=False)), key=lambda r: r[1])
+        arrived = sorted(_rows(rows), key=lambda r: r[1])
         found = []
         for row in arrived:
             if previous is not None and int((row[0] - previous[0]) / 1000) > self.threshold_seconds:
