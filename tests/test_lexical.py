@@ -4,6 +4,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,13 +58,13 @@ def rows(ranked):
     return sorted((r.query_id, r.doc_id, r["rank"]) for r in ranked.collect())
 
 
-@pytest.mark.parametrize("k", [1, 5, 40])
-def test_pruned_ranking_equals_all_pairs(spark, k):
+@pytest.mark.parametrize("k,sent", [(1, 500_000), (5, 500_000), (40, 500_000), (1, 0), (6, 0)])
+def test_pruned_ranking_equals_all_pairs(spark, k, sent):
     docs, queries = corpus(k)
     ddf, qdf = frames(spark, docs, queries)
-    assert rows(L.bm25_topk(ddf, qdf, k, by_group=True)) == by_force(docs, queries, k)
+    assert rows(L.bm25_topk(ddf, qdf, k, by_group=True, sent_terms=sent)) == by_force(docs, queries, k)
     plain = [(q, None, None, t) for q, _, _, t in queries]
-    assert rows(L.bm25_topk(ddf.drop("valid_at"), qdf.drop("as_of"), k)) == by_force(docs, plain, k)
+    assert rows(L.bm25_topk(ddf.drop("valid_at"), qdf.drop("as_of"), k, sent_terms=sent)) == by_force(docs, plain, k)
 
 
 def test_most_pairs_are_not_scored(spark):
@@ -74,14 +76,36 @@ def test_most_pairs_are_not_scored(spark):
         docs.append((f"d{i}", "x", 1, " ".join(words)))
     queries = [(f"q{i}", None, None, " ".join([f"r{rng.randrange(600)}" for _ in range(3)] + [f"c{j}" for j in range(6)])) for i in range(40)]
     ddf, qdf = frames(spark, docs, queries)
-    asked = qdf.drop("as_of")
-    index = L.built(ddf.drop("valid_at"), [], None)
-    held, most, weights = L.weighed(index, asked)
+    asked, docs_ = qdf.drop("as_of"), ddf.drop("valid_at")
+    want = by_force(docs, queries, 5)
+    assert rows(L.bm25_topk(docs_, asked, 5)) == want == rows(L.bm25_topk(docs_, asked, 5, sent_terms=0))
+
+    # Joined by terms.
+    index = L.built(docs_, [])
+    terms = L._asked(asked, False, False)
+    held = index.by_term(terms.select("term").distinct()).withColumn("_part", F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("length") / 34.0)))
+    most = held.groupBy("term", "block").agg(F.max("_part").alias("_most"))
+    idf = F.log(1 + (2000 - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = terms.join(index.frequencies, "term").withColumns({"_idf": idf, "_df": F.col("df")})
+    weights = weights.join(most.groupBy("term").agg(F.max("_most").alias("_most")), "term").cache()
     marked = L.essential(weights, L.bounds(held, weights, 5, False))
     met = L._met(held, marked.filter("_needed"), False).select("query_id", "doc_id").distinct().count()
     left = L.candidates(held, most, marked, False).count()
     assert met < 0.2 * 2000 * 40 and left <= met
-    assert rows(L.search(index, asked, 5)) == by_force(docs, queries, 5)
+
+    # In blocks: documents that share no rare term with a query stand in blocks that it does not look at.
+    frame = weights.select("query_id", "term", "_idf").toPandas()
+    blocks = L.Asked(frame)
+    numbers = {t: i for i, t in enumerate(blocks.names.to_pylist())}
+    held = []
+    for doc_id, _, _, text in sorted(docs, key=lambda d: sorted(w for w in d[3].split() if w[0] == "r")):
+        words = [w for w in text.split() if w in numbers]
+        own = sorted({numbers[w] for w in words})
+        held.append((doc_id, len(held), np.array(own), np.array([sum(numbers[w] == t for w in words) for t in own])))
+    table = pd.DataFrame(held, columns=["doc_id", "length", "at", "tf"])
+    best = L.Best(len(blocks.ids), 5)
+    scored = L.score_blocks(blocks, table.assign(length=table.index / 1e6), best, (1.2, 0.75, 34.0))
+    assert scored < 0.9 * 2000 * 40
 
 
 def test_store_by_batch(spark, tmp_path, monkeypatch):

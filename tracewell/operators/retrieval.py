@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.text import terms
-from tracewell.operators.lexical import SCORE_DIGITS, Index, bm25_topk, dated, search, top_k, visible
+from tracewell.operators.lexical import SCORE_DIGITS, Best, Index, bm25_topk, dated, search, top_k, visible
 from tracewell.schemas import EPISODE_TYPES, HYBRID_CANDIDATES
 from tracewell.storage import written
 
@@ -64,12 +64,11 @@ def _scanned(docs: DataFrame, queries: DataFrame, k: int, by_group: bool) -> Dat
     free, scoped = every[scopes.isna()], {g: every[scopes == g] for g in scopes.dropna().unique()}
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score, best = np.full((len(asked), k), -np.inf), None
+        best = Best(len(asked), k)
         for frame in frames:
             for at in range(0, len(frame), SCAN_ROWS):
                 block = frame.iloc[at : at + SCAN_ROWS].sort_values("doc_id", ignore_index=True)
                 matrix, ids = _unit(block.embedding), block.doc_id.to_numpy()
-                best = np.full((len(asked), k), ids[0]) if best is None else best
                 parts = block.groupby("group_id", dropna=False).indices if scoped else {None: np.arange(len(block))}
                 for name, rows in parts.items():
                     own = np.concatenate([free, scoped.get(name, every[:0])])
@@ -77,16 +76,8 @@ def _scanned(docs: DataFrame, queries: DataFrame, k: int, by_group: bool) -> Dat
                     if by_time:
                         as_of, valid = asked.as_of.to_numpy()[own][:, None], block.valid_at.to_numpy()[rows][None, :]
                         made = np.where(np.isnat(as_of) | (valid <= as_of), made, -np.inf)
-                    chosen = np.argsort(-made, axis=1, kind="stable")[:, :k]  # equal scores stay in document order
-                    scores = np.hstack([score[own], np.take_along_axis(made, chosen, axis=1)])
-                    found = np.hstack([best[own], ids[rows][chosen]])
-                    rank = np.unique(found, return_inverse=True)[1].reshape(found.shape)
-                    order = np.lexsort((rank, -scores), axis=-1)[:, :k]
-                    score[own] = np.take_along_axis(scores, order, axis=1)
-                    best[own] = np.take_along_axis(found, order, axis=1)
-        if best is not None:
-            made = pd.DataFrame({"query_id": np.repeat(asked.query_id.to_numpy(), k), "doc_id": best.ravel(), "score": score.ravel()})
-            yield made[made.score > -np.inf]
+                    best.add(own, made, ids[rows])
+        yield from best.rows(asked.query_id.to_numpy())
 
     columns = ["doc_id", "embedding", *group, *(["valid_at"] if by_time else [])]
     return docs.select(*columns).mapInPandas(scan, schema)

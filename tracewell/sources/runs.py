@@ -69,14 +69,19 @@ class RunTable:
         writer.option("compression", "zstd").partitionBy(*by).parquet(self.path)
 
     def merge(self, values: list, before: int) -> None:
-        """Make one run of the earlier ones wherever there are more than ``MOST``."""
-        for value in values:
-            runs = self.runs(value, before)
-            if len(runs) <= MOST:
-                continue
+        """Make one run of the earlier ones wherever there are more than ``MOST``; all values in one job."""
+        merged = {str(v): (runs[0][0], runs[-1][1]) for v in values if len(runs := self.runs(v, before)) > MOST}
+        if not merged:
+            return
+        for value in merged:
+            kept = self.runs(value, before)
             for run in self._every(value):
-                if run[1] < before and run not in runs:
+                if run[1] < before and run not in kept:
                     folder, files = self._files(self._folder(value, *run))
                     files.delete(folder, True)
-            rows = self.read([value], before)
-            self._write(rows.withColumns({"first": F.lit(runs[0][0]), "last": F.lit(runs[-1][1])}))
+        ends = [
+            F.coalesce(*[F.when(F.col(self.key) == v, F.lit(run[i])) for v, run in merged.items()]).alias(name)
+            for i, name in enumerate(("first", "last"))
+        ]
+        rows = self.read(list(merged), before)
+        self._write(rows.select("*", *ends))
