@@ -1,68 +1,39 @@
-"""Documents of similar text against brute-force Jaccard, by kind of edit, and crowds that share buckets."""
+"""One row of each SimHash component stays."""
 
 import random
 
-from tracewell.llm import passages, simhash
-from tracewell.llm.verify import jaccard
-
-
-def fresh(rng, n):
-    return [f"v{rng.randrange(100_000)}" for _ in range(n)]
+from tests.llm.test_simhash import brute_classes, brute_print
+from tracewell.llm import simhash
 
 
 def kept_by_force(rows):
-    """Ids that stay: the least of each component of pairs of similarity 0.8 or more."""
-    least = {i: i for i, _ in rows}
-    changed = True
-    pairs = [(i, j) for i, a in rows for j, b in rows if i < j and jaccard(a, b) >= 0.8]
-    while changed:
-        changed = False
-        for i, j in pairs:
-            low = min(least[i], least[j])
-            changed |= least[i] != low or least[j] != low
-            least[i] = least[j] = low
-    return {i for i in least if least[i] == i}
-
-
-def kept(spark, rows):
-    return {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    least = brute_classes({brute_print(t): 0 for _, t in rows})
+    best = {}
+    for doc_id, text in rows:
+        of, own = least[brute_print(text)], (doc_id is None, doc_id or 0)
+        best[of] = min(best.get(of, own), own)
+    return sorted(best.values())
 
 
-def test_appended_cut_and_long_copies(spark):
+def test_copies_edits_and_clashing_columns(spark):
     rng = random.Random(21)
     rows = []
-    for n in (60, 150, 400, 3000):
-        for share in (0.8, 0.85, 0.9, 0.95):
-            extra = int(n * (1 / (share + 0.005) - 1))
-            base = fresh(rng, n)
-            half = [w for w in base for _ in range(2)][:n]  # words repeat, as in longer texts
-            for text in (base, half):
-                at = len(rows)
-                rows.append((at, " ".join(text)))
-                rows.append((at + 1, " ".join(text + fresh(rng, extra))))
-                rows.append((at + 2, " ".join(fresh(rng, extra) + text)))
-                rows.append((at + 3, " ".join(text[: int(n * (share + 0.01))])))
-    got = kept(spark, rows)
-    assert got == kept_by_force(rows)
-    assert len(got) < len(rows) * 0.6
-
-
-def test_members_of_a_bucket_meet_each_other(spark):
-    """Texts of the same words in other order share buckets by a common part; pairs apart from the leader stay linked."""
-    rng = random.Random(8)
-    common = fresh(rng, 300)
-    rows = []
-    for group in range(4):
-        own = fresh(rng, 130)
-        for _ in range(3):
-            tail = list(own)
-            tail[rng.randrange(130)] = "edit"
-            rows.append((len(rows), " ".join(common + tail)))
-    for _ in range(4):
-        words = fresh(rng, 200)
-        rows.append((len(rows), " ".join(words[::-1])))  # the same words in other order, apart from the next two
-        turned = words[90:] + words[:90]
-        rows.append((len(rows), " ".join(turned)))
-        rows.append((len(rows), " ".join(turned[1::-1] + turned[2:])))
-    expected = kept_by_force(rows)
-    assert kept(spark, rows) == expected and len(expected) == 12
+    for _ in range(12):
+        words = [f"v{rng.randrange(500)}" for _ in range(rng.choice((3, 60, 900)))]
+        for _ in range(5):
+            edited = list(words)
+            for _ in range(rng.randrange(3)):
+                edited[rng.randrange(len(words))] = "edit"
+            rows.append((len(rows), rng.choice(" \n").join(edited)))
+    rows += [(500, None), (501, ""), (None, rows[0][1]), (None, "only here, twice"), (None, "only here, twice"), (7, rows[7][1]), (7, rows[7][1])]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame([(t, i, 1, "p", "d") for i, t in rows], "text string, doc_id long, row int, print string, doc string").repartition(4)
+    got = simhash.representatives(frame)
+    assert got.columns == frame.columns
+    have = sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect())
+    assert have == kept_by_force(rows) and len(have) < len(rows) - 10
+
+
+def test_no_rows(spark):
+    frame = spark.createDataFrame([], "doc_id long, text string, extra string")
+    assert simhash.representatives(frame).count() == 0

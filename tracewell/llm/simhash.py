@@ -16,21 +16,17 @@ whole fingerprints each, and look these up one by one: the same links, and no mo
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import documents, query, texts_mapped, whole, written
+from tracewell.llm.common import documents, query, written
 from tracewell.llm.components import components
-from tracewell.llm.passages import keyed, signatures, similar_classes, tuned
-from tracewell.llm.verify import SHINGLE, SIMILAR
-from tracewell.llm.words import shingle_hashes, single_spaced
+from tracewell.llm.words import shingle_hashes
 
 BITS = 2
 CROWD = 512
@@ -129,55 +125,19 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return rows.join(written(classes(rows), "classes"), "print")
 
 
-#: For documents of similar text: MinHash bands over five-word shingle sets, which find a pair of the least similarity
-#: with this probability, whatever the edit.
-DOC_RECALL, DOC_HASHES = 0.999, 64
-DOC_BANDS, DOC_ROWS = tuned(SIMILAR, DOC_RECALL, DOC_HASHES)
-_NODE = ["doc_id", "text_hash"]
+def representatives(docs: DataFrame, words: int = 3) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each component is kept, with their columns.
 
-
-def _banded(texts: list[str]) -> list:
-    """128 bits of the words of each text, its band keys and its length; null keys for texts without words."""
-    hashes = [shingle_hashes(t, SHINGLE) for t in texts]
-    some = [h for h in hashes if len(h)]
-    keys: Iterator = iter(())
-    if some:
-        starts = np.cumsum([0, *map(len, some[:-1])])
-        keys = iter(signatures(np.concatenate(some), starts, DOC_BANDS, DOC_ROWS).view(np.int64))
-    digests = [xxhash.xxh3_128_digest(single_spaced(t)[0]) if len(h) else None for t, h in zip(texts, hashes)]
-    return [digests, [next(keys) if len(h) else None for h in hashes], [len(t) for t in texts]]
-
-
-def _node(doc_id: str = "doc_id") -> Column:
-    """A document as node: its id first, so that the least node has the least id; null ids come first."""
-    return F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(whole()).alias("text_hash"))
-
-
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay when one document of each group of similar texts is kept, with their columns.
-
-    Similar are texts whose exact Jaccard similarity of five-word shingles is 0.8 or more. Candidates share one of
-    ``DOC_BANDS`` bands; inside a bucket no similar pair of different groups is left out, as for paragraphs of
-    ``passages``. Groups are components; the smallest doc_id stays. Texts without words are not similar to
-    anything. Rows alike in doc_id and text share their fate. No rows give no rows.
+    The smallest doc_id stays (null last), of rows alike in it any one. Rows without words have fingerprint zero
+    and form a class like others. No rows give no rows; columns keep their names, whatever they are.
     """
-    plain = keyed(docs)
-    added = {"u1": ("binary", pa.binary()), "bands": ("array<long>", pa.list_(pa.int64())), "stop": ("int", pa.int32())}
-    made = texts_mapped(plain, "text", added, _banded).filter("u1 IS NOT NULL")
-    made = written(made.select("u1", "bands", F.lit(0).alias("start"), "stop", *_NODE), "bands")
-    owner = F.struct("doc_id", "text_hash", "start", "stop")
-    distinct = written(made.groupBy("u1").agg(F.first("bands").alias("bands"), F.min(owner).alias("owner")), "distinct")
-    classes = similar_classes(plain, distinct).withColumnRenamed("node", "u1")
-
-    labelled = made.select("u1", F.struct(*_NODE).alias("node")).join(classes, "u1", "left")
-    labelled = written(labelled.select("node", F.coalesce("least", "u1").alias("class")), "labelled")
-    first = labelled.groupBy("class").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    first = written(first.filter("first != last").select("class", "first"), "first")
-    gone = labelled.join(first, "class").filter("node != first").select(F.col("node").alias("gone"))
-    gone = written(gone.distinct(), "gone")
-    packed = docs.select(F.struct("*").alias("doc"), "doc_id", "text").withColumn("node", _node())
-    # Null ids are equal inside structs.
-    kept = packed.join(gone, packed["node"] == gone["gone"], "left_anti")
+    packed = docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row"), fingerprints(F.col("text"), words).alias("print"))
+    packed = written(packed, "packed")
+    own = F.col("doc.doc_id")
+    rows = packed.select("row", "print", F.struct(own.isNull().alias("no_id"), own.alias("id"), "row").alias("doc_id"))
+    found = rows.join(written(classes(rows.drop("row")), "classes"), "print")
+    gone = found.filter(F.col("component_id.row") != F.col("row")).select("row")
+    kept = packed.join(written(gone, "gone"), "row", "left_anti")
     return kept.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns])
 
 
