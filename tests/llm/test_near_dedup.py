@@ -7,7 +7,7 @@ from tracewell.llm import simhash
 
 
 def kept_by_force(rows):
-    least = brute_classes({brute_print(t): 0 for _, t in rows})
+    least = brute_classes({p: p for p in (brute_print(t) for _, t in rows)})
     best = {}
     for doc_id, text in rows:
         of, own = least[brute_print(text)], (doc_id is None, doc_id or 0)
