@@ -78,3 +78,17 @@ def test_other_step_counts(spark, steps):
     conds = [(f"s{i}", F.col("flags") == str(i)) for i in range(steps)]
     for options in ({}, {"max_rows": 25}):
         assert run(spark, rows, within=900, steps=conds, **options) == brute(rows, 900, steps)
+
+
+def test_one_long_chain(spark):
+    """One key with 96 000 overlapping candidates: a scan of positions, no array of candidates."""
+    n = 96_000
+    rows = spark.range(n, numPartitions=4).select(
+        F.lit("k").alias("k"), F.col("id").alias("pos"), F.lit(0).alias("tie"), F.substring(F.lit("021"), (F.col("id") % 3 + 1).cast("int"), 1).alias("flags")
+    )
+    got = match_sequence(rows.withColumn("payload", F.lit("x" * 200)), ["k"], ["pos", "tie"], abc(), 10, carry=["payload"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "aggregate(" not in plan and "collect_list" not in plan
+    # a at 6 i, b at 6 i + 2, c at 6 i + 4; the start between lies inside the match.
+    assert got.agg(F.count("*"), F.sum("a.pos"), F.sum("c.pos"), F.min(F.length("b.payload"))).head() == (
+        n // 6, 6 * sum(range(n // 6)), 6 * sum(range(n // 6)) + 4 * (n // 6), 200)

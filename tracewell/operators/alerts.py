@@ -259,13 +259,25 @@ def fill_outcomes(records: DataFrame, links: DataFrame) -> DataFrame:
     return records.join(one, "record_id", "left").select(*columns)
 
 
-def alert_report(gated: DataFrame) -> DataFrame:
-    """One row: how many alerts, how many were capped, mean confidence before and after."""
+def alert_report(gated: DataFrame, episodes: DataFrame | None = None, records: DataFrame | None = None) -> DataFrame:
+    """One row on a run: alerts, their episodes and training records, how many were capped and which share, mean
+    confidence before and after, the fewest anchors and the share of alerts with three or more.
+
+    Episodes and records are counted where their tables are given.
+    """
     downgraded = F.col("confidence_final") < F.col("confidence_raw")
-    return gated.agg(
+    anchors = F.size("confidence_anchors")
+    share = lambda n: F.coalesce(n / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0))
+    report = gated.agg(
         F.count(F.lit(1)).alias("alerts"),
         F.count_if(downgraded).alias("downgraded"),
+        share(F.count_if(downgraded)).alias("downgraded_share"),
         F.avg("confidence_raw").alias("mean_raw"),
         F.avg("confidence_final").alias("mean_final"),
-        F.min(F.size("confidence_anchors")).alias("min_anchors"),
+        F.min(anchors).alias("min_anchors"),
+        share(F.count_if(anchors >= 3)).alias("grounded_share"),
     )
+    for name, rows in (("alert_episodes", episodes), ("training_records", records)):
+        if rows is not None:
+            report = report.crossJoin(rows.agg(F.count(F.lit(1)).alias(name)))  # one row each
+    return report

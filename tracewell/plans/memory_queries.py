@@ -140,6 +140,48 @@ def intervention_facts(spark, sf_dir):
 
 
 
+@query(
+    """SELECT sha256('["alert-' || doc_id || '","DETECTED_WITH"]') AS fact_id, source AS group_id, lang AS pattern, length(text) AS fact_length,
+      sha256('["agent_alert","' || source || '","alert-' || doc_id || '"]') AS episode_id, 'AgentAlert alert-' || doc_id || ' on ' || source AS episode_name
+    FROM documents WHERE len(regexp_split_to_array(trim(text, E' \\n\\t\\r'), '\\s+')) <= 100"""
+)
+def alert_facts(spark, sf_dir):
+    """Documents as alert summaries: the facts of those that can become an episode, each with its episode."""
+    alerts = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("alert-"), "doc_id").alias("alert_id"),
+        F.col("source").alias("machine_id"),
+        F.col("lang").alias("pattern_name"),
+        F.timestamp_seconds("doc_id").alias("detected_ts"),
+        F.timestamp_seconds("doc_id").alias("alerted_at"),
+        F.col("text").alias("summary"),
+    )
+    told = accepted(E.check_alerts(alerts))
+    facts = G.alert_facts(told).withColumn("episode_id", F.get("episodes", F.lit(0)))
+    names = E.alert_episodes(told).select("episode_id", F.col("name").alias("episode_name"))
+    return facts.join(names, "episode_id").select(
+        "fact_id", "group_id", F.col("source").alias("pattern"), F.length("fact").cast("long").alias("fact_length"), "episode_id", "episode_name"
+    )
+
+
+@query(
+    f"""WITH RECURSIVE {D.CASCADES_SQL}
+    SELECT 'Machine-' || m.user_id AS machine_id, {D.iso_sql('c_time')} AS detected_at, 'rolling_mill' AS machine_type, 'error' AS kind
+    FROM matched m"""
+)
+def match_payloads(spark, sf_dir):
+    """What a match keeps of its source events beyond the typed view, read back from its message."""
+    found = cascades(D.telemetry_records(events(spark, sf_dir)), D.machine_baselines(spark, sf_dir), D.THREE_DAYS_MS)
+    value = M.match_messages(found, "plant").select("key", F.from_json("value", "detected_at string, source_events array<string>").alias("v"))
+    first, last = (F.col("v.source_events")[i] for i in (0, 2))
+    hot = F.get_json_object(first, "$.sensors.temperature_c").cast("double") > 380
+    return value.select(
+        F.col("key").alias("machine_id"),
+        F.get_json_object(last, "$.event_time").alias("detected_at"),
+        F.get_json_object(first, "$.machine_type").alias("machine_type"),
+        F.when(hot, "error").alias("kind"),
+    )
+
+
 @query(
     rf"""SELECT conv_id, turn, n_words, CASE WHEN n_words > 100 THEN 'episode of ' || n_words || ' words, limit 100' END AS reject_reason
     FROM (SELECT conv_id, turn, (len(regexp_split_to_array(trim(text, E' \n\t\r'), '\s+'))
@@ -336,7 +378,7 @@ def confidence_gate(spark, sf_dir):
 )
 def alert_report(spark, sf_dir):
     report = A.alert_report(A.gate_confidence(scored_events(spark, sf_dir), F.col("has_outcome")))
-    return report.withColumns({c: F.round(c, 6) for c in ("mean_raw", "mean_final")})
+    return report.drop("downgraded_share", "grounded_share").withColumns({c: F.round(c, 6) for c in ("mean_raw", "mean_final")})
 
 
 def conversation_history(spark, sf_dir) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators import alerts as A
 from tracewell.operators import entities as G
 from tracewell.operators import episodes as E
+from tracewell.operators import matches as M
 from tracewell.operators import retrieval as R
 from tracewell.plans import detection_queries as D
 from tracewell.plans import memory
@@ -266,15 +268,22 @@ HISTORY_SQL = rf"""
     FROM raised"""
 
 
+def remembered(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Matches with the facts and episodes made of them."""
+    matches = checkpointed(cascade_table(spark, sf_dir))
+    narrated = checkpointed(accepted(E.narrate_matches(matches)))
+    return matches, checkpointed(G.match_facts(narrated)), E.match_episodes(narrated)
+
+
+def raised(spark, sf_dir) -> DataFrame:
+    matches, facts, episodes = remembered(spark, sf_dir)
+    return memory.raise_alerts(memory.retrieve(matches, facts, episodes))
+
+
 @query(HISTORY_SQL)
 def history_alerts(spark, sf_dir):
     """The whole chain: matches, facts, two-tier history, score, gate, alert."""
-    matches = checkpointed(cascade_table(spark, sf_dir))
-    narrated = checkpointed(accepted(E.narrate_matches(matches)))
-    episodes = E.match_episodes(narrated)
-    facts = checkpointed(G.match_facts(narrated))
-    alerts = memory.raise_alerts(memory.retrieve(matches, facts, episodes))
-    return alerts.select(
+    return raised(spark, sf_dir).select(
         "alert_id",
         "machine_id",
         "detected_at",
@@ -284,3 +293,45 @@ def history_alerts(spark, sf_dir):
         F.array_join(F.transform("retrieved_episodes", lambda e: e["metadata"]["edge_uuid"]), ",").alias("retrieved"),
         "summary",
     )
+
+
+@query(
+    HISTORY_SQL.rsplit("held AS (", 1)[0].rstrip().rstrip(",")
+    + " SELECT match_id AS query_id, rank, doc_id, overlap AS reranker_score, retrieval_rank FROM best WHERE rank <= 5"
+)
+def history_search(spark, sf_dir):
+    """One search over all types for every match: five results, reranked, after the candidate cut."""
+    matches, facts, episodes = remembered(spark, sf_dir)
+    entities = {"query_entities": memory.match_query_entities(matches), "fact_entities": G.fact_entities(facts)}
+    found = R.search_history(memory.match_queries(matches), facts, episodes, **entities)
+    return found.select("query_id", "rank", F.col("metadata.edge_uuid").alias("doc_id"), "reranker_score", "retrieval_rank")
+
+
+# Every alert counts once per kind of output; the number of results is the number of commas and one.
+RESULTS_SQL = "CASE WHEN retrieved = '' THEN 0 ELSE len(string_split(retrieved, ',')) END"
+
+
+@query(
+    f"""SELECT count(*) AS alerts, count(*) FILTER (WHERE confidence_final < confidence_raw) AS downgraded,
+      round(avg((confidence_final < confidence_raw)::INT), 6) AS downgraded_share, round(avg(confidence_raw), 6) AS mean_raw,
+      round(avg(confidence_final), 6) AS mean_final, min({RESULTS_SQL})::INTEGER AS min_anchors,
+      round(avg(({RESULTS_SQL} >= 3)::INT), 6) AS grounded_share, count(*) AS alert_episodes, count(*) AS training_records
+    FROM ({HISTORY_SQL})"""
+)
+def alert_run_report(spark, sf_dir):
+    """A run in one row: alerts, their episodes and records, caps, confidence and grounding."""
+    alerts = checkpointed(raised(spark, sf_dir).withColumn("alerted_at", F.col("detected_ts")))
+    episodes = E.alert_episodes(accepted(E.check_alerts(alerts)))
+    records = A.training_records(alerts, M.raw_events(), "offline-rubric")
+    report = A.alert_report(alerts, episodes, records)
+    return report.withColumns({c: F.round(c, 6) for c in ("downgraded_share", "mean_raw", "mean_final", "grounded_share")})
+
+
+@query(
+    f"""SELECT machine_id, {RESULTS_SQL} AS retrieved_episode_count, confidence_final AS confidence, confidence_raw, flags, count(*) AS n
+    FROM ({HISTORY_SQL}) GROUP BY ALL"""
+)
+def alert_records_with_history(spark, sf_dir):
+    """Alert records of matches whose machine has a history, per machine and outcome of the gate."""
+    records = A.alert_records(raised(spark, sf_dir)).withColumn("flags", F.array_join("validation_flags", ","))
+    return records.groupBy("machine_id", "retrieved_episode_count", "confidence", "confidence_raw", "flags").agg(F.count(F.lit(1)).alias("n"))

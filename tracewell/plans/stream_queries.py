@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.times import millis_iso
 from tracewell.operators import matches as M
 from tracewell.plans import detection_queries as D
 from tracewell.plans.catalog import event_stream, events, query
@@ -17,7 +18,12 @@ from tracewell.sources.sinks import append_messages
 from tracewell.sources.topics import file_record_stream
 from tracewell.storage import fresh_path
 from tracewell.streaming import jobs
-from tracewell.streaming.detectors import stream_cascades, stream_missing_heartbeats, stream_order_violations
+from tracewell.streaming.detectors import (
+    stream_cascades,
+    stream_missing_heartbeats,
+    stream_order_violations,
+    stream_step_deadlines,
+)
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -137,3 +143,41 @@ def stored_history_alerts(spark, sf_dir):
         F.array_join("validation_flags", ",").alias("flags"),
         F.array_join(F.transform("retrieved_episodes", lambda e: e["metadata"]["edge_uuid"]), ",").alias("retrieved"),
     )
+
+
+LATE_MS = 3 * D.DAY_MS
+LATE_CASCADES_SQL = D.matches_sql(D.jittered_sql(D.FLAGGED_READINGS, "epoch_us(ts) // 1000 AS ms", "epoch_us(ts) // 1000"), "ms", D.THREE_DAYS_MS)
+
+
+@query(
+    f"""WITH RECURSIVE {LATE_CASCADES_SQL}
+    SELECT 'Machine-' || user_id AS machine_id, {D.iso_sql('a_time')} AS started_at, {D.iso_sql('c_time')} AS detected_at
+    FROM matched WHERE c_time <= (SELECT max(epoch_us(ts) // 1000 - (event_id * 7919000) % {2 * D.DAY_MS}) - {LATE_MS} FROM events)"""
+)
+def stream_cascade_matches_jittered(spark, sf_dir):
+    """Cascades of rows that arrive in another order than they happened, put in order behind a watermark of three days."""
+    records = D.telemetry_records(D.jittered(event_stream(spark, sf_dir)))
+    found = drained(spark, stream_cascades(records, D.machine_baselines(spark, sf_dir), D.THREE_DAYS_MS, "3 days"))
+    return found.select("machine_id", first_time(0).alias("started_at"), "detected_at")
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, (SELECT max(epoch_us(ts) // 1000) - 5000 FROM events) AS mark FROM events),
+    pairs(step, missing_step) AS (VALUES ('signup', 'click'), ('click', 'purchase'))
+    SELECT 'user-' || user_id AS user, {D.iso_sql('ms')} AS event_time, step, missing_step FROM (
+      SELECT e.*, step, missing_step, lead(ms) OVER (PARTITION BY user_id, step ORDER BY ms, event_id) AS next_ms
+      FROM e JOIN pairs ON event_type IN (step, missing_step) WHERE ms <= mark)
+    WHERE event_type = step AND coalesce(next_ms, mark + 1) > ms + {2 * D.DAY_MS}"""
+)
+def stream_step_deadlines_missed(spark, sf_dir):
+    """Sign-ups without a click, and clicks without a purchase, within two days, as a stream."""
+    rows = event_stream(spark, sf_dir).select(
+        F.concat(F.lit("user-"), "user_id").alias("user"),
+        F.col("ms").alias("event_ms"),
+        F.col("event_id").alias("offset"),
+        "event_type",
+        millis_iso(F.col("ms")).alias("event_time"),
+        F.lit("{}").alias("event_json"),
+    )
+    pairs = [("signup", "click", 2 * D.DAY_MS), ("click", "purchase", 2 * D.DAY_MS)]
+    return drained(spark, stream_step_deadlines(rows, "user", pairs)).select("user", "event_time", "step", "missing_step")

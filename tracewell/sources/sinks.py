@@ -47,11 +47,6 @@ def stream_messages(messages: DataFrame, options: dict[str, str], checkpoint: st
     )
 
 
-def append_episodes(episodes: DataFrame, path: str) -> None:
-    """Append to the episode table; it is stored by group, so a search reads only its machine."""
-    gathered(episodes, "group_id").write.partitionBy("group_id").mode("append").parquet(path)
-
-
 def append_training_records(records: DataFrame, path: str) -> None:
     """JSON lines in one folder per UTC day of ``alerted_at``.
 

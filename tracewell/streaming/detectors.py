@@ -9,7 +9,7 @@ from tracewell import schemas as S
 from tracewell.operators import matches as M
 from tracewell.plans.detection import CASCADE_STEPS, flagged_readings
 from tracewell.sources.ingest import accepted, parse_heartbeats, parse_order_events
-from tracewell.streaming.processors import OUTPUT, ArrivalFlowProcessor, GapProcessor, OrderFlowProcessor, SequenceProcessor
+from tracewell.streaming.processors import OUTPUT, ArrivalFlowProcessor, DeadlineProcessor, GapProcessor, OrderFlowProcessor, SequenceProcessor
 
 OUT_OF_ORDER = f"{S.OUT_OF_ORDER_MS // 1000} seconds"
 
@@ -83,6 +83,23 @@ def stream_order_violations(
     return _matches(found, S.ORDER_FLOW, F.lit(S.ORDER_FLOW_MACHINE))
 
 
+def stream_step_deadlines(rows: DataFrame, key: str, deadlines: list[tuple[str, str, int]], delay: str = OUT_OF_ORDER) -> DataFrame:
+    """Missed steps of ``rows`` (key, event_ms, offset, event_type, event_time, event_json): key, event_time, event_json, step
+    and missing_step. Limits are in milliseconds."""
+    wanted = sorted({name for step, following, _ in deadlines for name in (step, following)})
+    kind = F.when(F.col("event_type").isin(wanted), F.col("event_type")).otherwise("")
+    shaped = _machine_rows(rows, key, kind, F.col("event_json"), delay)
+    found = _detect(shaped, key, DeadlineProcessor([key], deadlines), "EventTime")
+    names = F.split("violation_type", ":")
+    return found.select(
+        key,
+        F.col("detected_at").alias("event_time"),
+        F.col("source_json")[0].alias("event_json"),
+        names[0].alias("step"),
+        names[1].alias("missing_step"),
+    )
+
+
 def _matches(found: DataFrame, pattern: str, machine: Column) -> DataFrame:
     return found.select(
         F.lit(S.SCHEMA_VERSION).alias("schema_version"),

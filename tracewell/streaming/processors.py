@@ -263,6 +263,40 @@ class ArrivalFlowProcessor(OrderFlowProcessor):
             yield _frame(self.key_names, key, found)
 
 
+class DeadlineProcessor(EventTimeProcessor):
+    """Steps that their next step does not follow in time, for each (step, next, limit); a repeated step restarts its clock."""
+
+    def __init__(self, key_names: list[str], deadlines: list[tuple[str, str, int]]):
+        super().__init__(key_names)
+        self.deadlines = deadlines
+
+    def start(self) -> dict:
+        return {"waiting": [None] * len(self.deadlines)}
+
+    def advance(self, state, row):
+        ms, _, kind, event_time, event_json = row
+        found = []
+        for i, (step, following, _) in enumerate(self.deadlines):
+            if kind in (step, following):
+                found += self._overdue(state, i, ms - 1)
+                state["waiting"][i] = [ms, event_time, event_json] if kind == step else None
+        return found
+
+    def _overdue(self, state, i: int, now: int) -> list[tuple]:
+        waiting, (step, following, limit) = state["waiting"][i], self.deadlines[i]
+        if waiting is None or now < waiting[0] + limit:
+            return []
+        state["waiting"][i] = None
+        return [(waiting[1], f"{step}:{following}", [waiting[2]])]
+
+    def expire(self, state, watermark):
+        return [m for i in range(len(self.deadlines)) for m in self._overdue(state, i, watermark)]
+
+    def deadline(self, state):
+        due = [w[0] + limit for w, (_, _, limit) in zip(state["waiting"], self.deadlines) if w is not None]
+        return min(due, default=None)
+
+
 class GapProcessor(StatefulProcessor):
     """Gaps between successive signals in arrival order; needs no watermark."""
 
