@@ -199,9 +199,9 @@ class LexicalStore:
             table.merge(slots, batch)
         rows = found.filter(F.col("term") != DOCUMENT)
         columns = ["doc_id", "group_id", "valid_at", "term", "tf", "length"]
-        postings.append(rows.select(*columns, _slot("group_id").alias("slot")), batch)
+        postings.append(rows.select(*columns, slot_of("group_id").alias("slot")), batch)
         counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        frequencies.append(counts.select("term", "df", _slot("term").alias("slot")), batch)
+        frequencies.append(counts.select("term", "df", slot_of("term").alias("slot")), batch)
         totals.append(sums.select("n_docs", "n_words", F.lit("0").alias("slot")), batch)
 
     def read(self, groups: list[str] | None = None, before: int | None = None) -> Index:
@@ -211,7 +211,7 @@ class LexicalStore:
         slots = every
         if groups is not None:
             wanted = self.spark.createDataFrame([(g,) for g in groups], "group_id string")
-            slots = [r[0] for r in wanted.select(_slot("group_id")).distinct().collect()]
+            slots = [r[0] for r in wanted.select(slot_of("group_id")).distinct().collect()]
         rows = postings.read(slots, before)
         if groups is not None:
             rows = rows.filter(F.col("group_id").isin(groups))
@@ -219,7 +219,8 @@ class LexicalStore:
         return Index(None, rows.drop("slot"), frequencies.read(every, before).drop("slot"), *size)
 
 
-def _slot(column: str) -> Column:
+def slot_of(column: str) -> Column:
+    """The folder of a stored table that a value lies in."""
     return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("string")
 
 

@@ -18,7 +18,7 @@ from tracewell.operators import entities as G
 from tracewell.operators import episodes as E
 from tracewell.operators import matches as M
 from tracewell.operators import retrieval as R
-from tracewell.operators.lexical import Index, LexicalStore, joined
+from tracewell.operators.lexical import Index, LexicalStore, joined, slot_of
 from tracewell.plans import memory
 from tracewell.sources.ingest import accepted
 from tracewell.sources.runs import RunTable
@@ -64,12 +64,25 @@ def messages_to(messages: DataFrame, path: str, checkpoint: str) -> DataStreamWr
 
 
 def _remembered(episodes: DataFrame, facts: DataFrame, path: str, batch: int) -> None:
-    """Episodes and facts of a batch by group, and the facts in the stored index."""
-    _replace(episodes, f"{path}/episodes", batch, "group_id")
-    _replace(facts, f"{path}/facts", batch, "group_id")
+    """Episodes and facts of a batch by a slot of their group, and the facts in the stored index.
+
+    A bounded number of slots, as there may be many thousand machines.
+    """
+    for name, rows in (("episodes", episodes), ("facts", facts)):
+        _replace(rows.withColumn("slot", slot_of("group_id")), f"{path}/{name}", batch, "slot")
     LexicalStore(facts.sparkSession, f"{path}/index").append(indexed(facts), batch)
 
 
+def of_groups(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """The rows of these groups, from their slots alone where rows lie by slot."""
+    mine = rows.filter(F.col("group_id").isin(groups))
+    if "slot" not in rows.columns:
+        return mine
+    named = rows.sparkSession.createDataFrame([(g,) for g in groups], "group_id string")
+    slots = [r[0] for r in named.select(slot_of("group_id")).distinct().collect()]
+    return mine.filter(F.col("slot").cast("string").isin(slots)).drop("slot")
+
+
 def indexed(facts: DataFrame) -> DataFrame:
     """Facts as documents of the lexical index."""
     return facts.select(F.col("fact_id").alias("doc_id"), "group_id", "valid_at", F.col("fact").alias("text"))
@@ -108,7 +121,7 @@ def alert(
     """Match records to ``alerts``, ``episodes`` and ``training`` below ``path``.
 
     ``facts``, ``episodes`` and ``index`` (see ``stored_index``) are asked anew for every batch, and only for the
-    machines of its matches: facts by a filter on ``group_id``, which prunes folders where they lie by it.
+    machines of its matches (see ``of_groups``).
     Without ``index`` the facts are indexed for each batch. Wall-clock columns are fixed by one checkpoint per
     batch, so the three outputs agree.
     """
@@ -116,12 +129,12 @@ def alert(
     def write(batch: DataFrame, number: int) -> None:
         matches = checkpointed(_unseen(memory.known_matches(batch), path, number))
         groups = [r[0] for r in matches.select("machine_id").distinct().collect()]
-        mine = facts().filter(F.col("group_id").isin(groups)) if index else facts()
+        mine = of_groups(facts(), groups) if index else facts()
         found = memory.retrieve(matches, mine, episodes(), scorer, index(groups) if index else None)
         raised = memory.raise_alerts(found, score)
         done = checkpointed(raised.withColumn("alerted_at", F.current_timestamp()))
         alerts = A.alert_records(done, F.col("alerted_at"))
-        _replace(alert_messages(alerts, prefix), f"{path}/alerts", number, "topic", "json")
+        _replace(alert_messages(alerts, prefix), f"{path}/alerts", number, form="json")
         told = accepted(E.check_alerts(done))
         _remembered(E.alert_episodes(told), G.alert_facts(told), path, number)
         training = A.training_records(done, M.raw_events(), model, F.col("alerted_at"))
