@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracewell.operators import ordered
 from tracewell.operators.ordered import SLICE, Look, by_rank, neighbours
 
 SHAPES = {
@@ -42,3 +43,22 @@ def test_slices_have_bounded_sizes(spark, shape):
     hot = df.filter("k = 'hot'")
     sizes = [r["count"] for r in by_rank(hot, ["k"], ["ms", "seq"], 15).groupBy(SLICE).count().collect()]
     assert sum(sizes) == 3000 and len(sizes) >= 12 and max(sizes) <= 3 * 200
+
+
+def test_tasks_follow_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 100)
+    df = spark.range(4000).select((F.col("id") % 1000).alias("k"), F.col("id").alias("ms"))
+    found = neighbours(df, ["k"], ["ms"], [Look("after", "next", ["ms"])])
+    sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 30 and max(sizes) <= 2 * 100
+    assert found.filter("after.ms = ms + 1000").count() == 3000
+
+
+def test_full_buckets_are_counted_by_key(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKETS", 2)
+    df = spark.range(300).select(F.when(F.col("id") < 200, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("ms"))
+    hot = ordered.hot_keys(df, ["k"], "ms", 100)
+    assert [r.k for r in hot.collect()] == [-1]
+    assert ordered.hot_keys(df, ["k"], "ms", 200) is None
+    found = neighbours(df, ["k"], ["ms"], [Look("before", "prev", ["ms"])], max_rows=100)
+    assert found.count() == 300 and found.filter("before is not null").count() == 199

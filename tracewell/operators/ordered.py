@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from tracewell.storage import written
 
 MAX_ROWS = 1_000_000
+#: Rows that one task sorts for its windows; the number of tasks follows from the number of rows.
+TASK_ROWS = 500_000
+#: Rows are counted by a hash of their key first, so that this count holds a bounded number of groups.
+BUCKETS = 65_536
 
 SLICE = "_slice"
 LO = "_slice_lo"
@@ -25,6 +29,26 @@ CARRY = "_carry_row"
 ANY = "_any"
 
 
+def crowded(df: DataFrame, key: list[str], max_rows: int) -> tuple[int, DataFrame | None]:
+    """The number of rows, and those rows whose key may hold more than ``max_rows``; ``None`` when there are none.
+
+    Exact: a key with that many rows makes its bucket as full. Only the keys of full buckets, at most (all rows /
+    ``max_rows``) of these, are then counted one by one.
+    """
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS))
+    sizes = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    full = F.collect_list(F.when(F.col("_n") > max_rows, F.col("_bucket")))
+    rows, found = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), full).head()
+    return rows, df.filter(bucket.isin(found)) if found else None
+
+
+def dealt(df: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """``df`` of ``rows`` rows with the rows of a key together, about ``TASK_ROWS`` or fewer of them to a task."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = -(-rows // TASK_ROWS)
+    return df.repartition(tasks, *key) if tasks > least else df.repartition(*key)
+
+
 def hot_keys(
     df: DataFrame, key: list[str], pos: str, max_rows: int, min_width: int = 1
 ) -> DataFrame | None:
@@ -35,8 +59,11 @@ def hot_keys(
     """
     slices = F.ceil(F.col("_n") / F.lit(max_rows))
     span = F.col("_hi") - F.col(LO) + 1
+    _, some = crowded(df, key, max_rows)
+    if some is None:
+        return None
     hot = (
-        df.groupBy(*key)
+        some.groupBy(*key)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias(LO), F.max(pos).alias("_hi"))
         .filter(F.col("_n") > max_rows)
         .select(
@@ -96,20 +123,23 @@ def neighbours(
     tie-breakers. Rows without a key or position belong to no order and are left out.
     """
     df = df.dropna(subset=[*key, order[0]])
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
-    crowded = counts.agg(F.sum("_n")).head()[0]
-    if crowded is None:
-        return _plain(df, key, order, looks)
+    n, some = crowded(df, key, max_rows)
+    if some is None:
+        return _plain(df, key, order, looks, n)
+    counts = some.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    hot = counts.agg(F.sum("_n")).head()[0]
+    if hot is None:
+        return _plain(df, key, order, looks, n)
     few = F.broadcast(counts.select(*key))  # at most all rows / max_rows
-    cold = _plain(df.join(few, key, "left_anti"), key, order, looks)
-    rows = by_rank(df.join(few, key, "left_semi"), key, order, -(-crowded // max_rows))
+    cold = _plain(df.join(few, key, "left_anti"), key, order, looks, n - hot)
+    rows = by_rank(df.join(few, key, "left_semi"), key, order, -(-hot // max_rows))
     return cold.unionByName(_in_slices(rows, key, [*order, ANY], looks).select(*cold.columns))
 
 
-def _plain(df: DataFrame, key: list[str], order: list[str], looks: list[Look]) -> DataFrame:
+def _plain(df: DataFrame, key: list[str], order: list[str], looks: list[Look], rows: int) -> DataFrame:
     # Partitioned before the payload structs are built, so that these are not shuffled.
     frames = _frames(key, order, [])
-    found = df.repartition(*key).withColumns({k.name: F.last(k.value(), True).over(frames[k.direction]) for k in looks})
+    found = dealt(df, key, rows).withColumns({k.name: F.last(k.value(), True).over(frames[k.direction]) for k in looks})
     return found.select(*df.columns, *[k.name for k in looks])
 
 
