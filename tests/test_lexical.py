@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import lexical as L
 from tracewell.sources import runs
 from tracewell.sources.runs import RunTable
+from tracewell.streaming import jobs
 
 
 def by_force(docs, queries, k):
@@ -141,3 +142,20 @@ def test_run_table(spark, tmp_path, monkeypatch):
         assert len(table.runs("a")) <= 5
     assert {r.id for r in table.read(["a"]).collect()} == {f"i{n}" for n in range(12)} and table.read(["a"]).count() == 12
     assert {r.id for r in table.read(["c"], 4).collect()} == {"j0", "j3"}
+
+
+def test_many_groups_are_joined(spark, tmp_path):
+    """Groups come as a table: their names are neither collected nor literals of a plan."""
+    docs, queries = corpus(5, 80)
+    scoped = [q for q in queries if q[1] == "x"]
+    ddf, qdf = frames(spark, docs, scoped)
+    store = L.LexicalStore(spark, f"file://{tmp_path}/index")
+    store.append(ddf, 0)
+    groups = spark.range(3000).select(F.concat(F.lit("nobody-"), "id").alias("group_id")).union(spark.sql("SELECT 'x'"))
+    index = store.read(groups)
+    assert rows(L.search(index, qdf, 5, by_group=True)) == by_force(docs, scoped, 5)
+    ddf.withColumn("slot", L.slot_of("group_id")).write.partitionBy("slot").parquet(f"{tmp_path}/facts")
+    mine = jobs.of_groups(spark.read.parquet(f"{tmp_path}/facts"), groups)
+    assert {r.doc_id for r in mine.collect()} == {d[0] for d in docs if d[1] == "x"}
+    for found in (index.postings, mine):
+        assert "nobody-17" not in found._jdf.queryExecution().toString()

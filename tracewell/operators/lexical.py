@@ -204,17 +204,20 @@ class LexicalStore:
         frequencies.append(counts.select("term", "df", slot_of("term").alias("slot")), batch)
         totals.append(sums.select("n_docs", "n_words", F.lit("0").alias("slot")), batch)
 
-    def read(self, groups: list[str] | None = None, before: int | None = None) -> Index:
-        """The index over the given groups (all without), whose folders alone are listed; totals are of the whole corpus."""
+    def read(self, groups: list[str] | DataFrame | None = None, before: int | None = None) -> Index:
+        """The index over the given groups (all without), whose folders alone are listed; totals are of the whole corpus.
+
+        Many groups come as a table of ``group_id``.
+        """
         postings, frequencies, totals = self._tables()
         every = [str(s) for s in range(SLOTS)]
-        slots = every
-        if groups is not None:
+        if groups is None:
+            rows = postings.read(every, before)
+        elif isinstance(groups, DataFrame):
+            rows = postings.read(slots_of(groups), before).join(groups, "group_id", "left_semi")
+        else:
             wanted = self.spark.createDataFrame([(g,) for g in groups], "group_id string")
-            slots = [r[0] for r in wanted.select(slot_of("group_id")).distinct().collect()]
-        rows = postings.read(slots, before)
-        if groups is not None:
-            rows = rows.filter(F.col("group_id").isin(groups))
+            rows = postings.read(slots_of(wanted), before).filter(F.col("group_id").isin(groups))
         size = totals.read(["0"], before).agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).head()
         return Index(None, rows.drop("slot"), frequencies.read(every, before).drop("slot"), *size)
 
@@ -224,6 +227,11 @@ def slot_of(column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(SLOTS)).cast("string")
 
 
+def slots_of(groups: DataFrame) -> list[str]:
+    """The folders that the rows of these groups lie in, at most ``SLOTS``."""
+    return [r[0] for r in groups.select(slot_of("group_id")).distinct().collect()]
+
+
 def joined(indexes: list[Index]) -> Index:
     """Several stored indexes of different documents as one."""
     first = indexes[0]

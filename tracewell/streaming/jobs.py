@@ -18,12 +18,12 @@ from tracewell.operators import entities as G
 from tracewell.operators import episodes as E
 from tracewell.operators import matches as M
 from tracewell.operators import retrieval as R
-from tracewell.operators.lexical import Index, LexicalStore, joined, slot_of
+from tracewell.operators.lexical import Index, LexicalStore, joined, slot_of, slots_of
 from tracewell.plans import memory
 from tracewell.sources.ingest import accepted
 from tracewell.sources.runs import RunTable
 from tracewell.sources.sinks import alert_messages, gathered
-from tracewell.storage import checkpointed
+from tracewell.storage import checkpointed, written
 
 
 def _replace(df: DataFrame, path: str, batch: int, partition: str | None = None, form: str = "parquet") -> None:
@@ -73,14 +73,14 @@ def _remembered(episodes: DataFrame, facts: DataFrame, path: str, batch: int) ->
     LexicalStore(facts.sparkSession, f"{path}/index").append(indexed(facts), batch)
 
 
-def of_groups(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """The rows of these groups, from their slots alone where rows lie by slot."""
-    mine = rows.filter(F.col("group_id").isin(groups))
-    if "slot" not in rows.columns:
-        return mine
-    named = rows.sparkSession.createDataFrame([(g,) for g in groups], "group_id string")
-    slots = [r[0] for r in named.select(slot_of("group_id")).distinct().collect()]
-    return mine.filter(F.col("slot").cast("string").isin(slots)).drop("slot")
+def of_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of these groups (a table of ``group_id``), from their slots alone where rows lie by slot.
+
+    Joined, as there may be many thousand: their names never go through the driver or into a plan.
+    """
+    if "slot" in rows.columns:
+        rows = rows.filter(F.col("slot").cast("string").isin(slots_of(groups))).drop("slot")
+    return rows.join(groups, "group_id", "left_semi")
 
 
 def indexed(facts: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def indexed(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("fact_id").alias("doc_id"), "group_id", "valid_at", F.col("fact").alias("text"))
 
 
-def stored_index(spark: SparkSession, *paths: str) -> Callable[[list[str]], Index]:
+def stored_index(spark: SparkSession, *paths: str) -> Callable[[DataFrame], Index]:
     """The indexes that jobs keep below these paths, as one, over the groups that are asked for."""
     return lambda groups: joined([LexicalStore(spark, f"{p}/index").read(groups) for p in paths])
 
@@ -116,7 +116,7 @@ def alert(
     score: Callable[[DataFrame], DataFrame] = A.score_by_rubric,
     scorer: R.Scorer = R.term_overlap,
     model: str = "offline-rubric",
-    index: Callable[[list[str]], Index] | None = None,
+    index: Callable[[DataFrame], Index] | None = None,
 ) -> DataStreamWriter:
     """Match records to ``alerts``, ``episodes`` and ``training`` below ``path``.
 
@@ -128,7 +128,7 @@ def alert(
 
     def write(batch: DataFrame, number: int) -> None:
         matches = checkpointed(_unseen(memory.known_matches(batch), path, number))
-        groups = [r[0] for r in matches.select("machine_id").distinct().collect()]
+        groups = written(matches.select(F.col("machine_id").alias("group_id")).distinct(), "groups")
         mine = of_groups(facts(), groups) if index else facts()
         found = memory.retrieve(matches, mine, episodes(), scorer, index(groups) if index else None)
         raised = memory.raise_alerts(found, score)
