@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,16 @@ def test_many_groups_are_joined(spark, tmp_path):
     assert {r.doc_id for r in mine.collect()} == {d[0] for d in docs if d[1] == "x"}
     for found in (index.postings, mine):
         assert "nobody-17" not in found._jdf.queryExecution().toString()
+
+
+def test_batches_are_taken_in_pieces(spark):
+    """A task makes arrays of a bounded number of documents, whatever number of rows a batch has."""
+    words = [["a", "b"], [], ["c"], ["a"], ["b", "b", "c"]]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(5)), "w": words})
+    parts = list(L.pieces(iter([batch, batch.slice(0, 0)]), 2))
+    assert [p.num_rows for p in parts] == [2, 2, 1]
+    assert [len(p.column("w").flatten()) for p in parts] == [2, 2, 3]
+    docs, queries = corpus(3, L.SCANNED + 500)  # more than one piece of either size, in one batch
+    docs, queries = docs[: L.SCANNED + 300], queries[:6]
+    ddf, qdf = frames(spark, docs, queries)
+    assert rows(L.bm25_topk(ddf.coalesce(1), qdf, 5, by_group=True)) == by_force(docs, queries, 5)

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tracewell.functions.text import terms
 from tracewell.sources.runs import RunTable
@@ -37,6 +38,7 @@ K1, B = 1.2, 0.75
 SCORE_DIGITS = 6
 SLACK = 1e-5  # more than what rounding and the order of sums can change
 BLOCK = 128  # documents of a block
+PIECE, SCANNED = 256, 4096  # documents that a task holds at once, as arrays of all words and of asked ones
 SEEDS = 4  # times k: how many postings of rare terms are read for a first bound
 SLOTS = 32  # folders of a stored index
 #: Query terms (rows of query and term) that are sent to every task: some 100 bytes each.
@@ -148,7 +150,7 @@ def built(docs: DataFrame, keep: list[str], vocabulary: list[str] | None = None)
     wanted = None if vocabulary is None else pa.array(vocabulary, pa.string())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, PIECE):
             held = batch.column(batch.num_columns - 1)
             lengths = np.diff(held.offsets.to_numpy())
             words = held.flatten()
@@ -167,6 +169,13 @@ def built(docs: DataFrame, keep: list[str], vocabulary: list[str] | None = None)
     return Index(found, None, frequencies, n_docs, n_words)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches in views of ``size`` rows: Spark cuts batches by rows, and arrays over the words of long texts are large."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, size):
+            yield batch.slice(first, size)
+
+
 @dataclass(frozen=True)
 class LexicalStore:
     """A stored index of documents by group, appended to by batch.
@@ -375,24 +384,27 @@ def _scanned(documents, weights, k, by_group, by_time, constants, query_field) -
     schema = T.StructType([query_field, documents.schema["doc_id"], T.StructField("score", T.DoubleType())])
     keep = [*(["group_id"] if by_group else []), *(["valid_at"] if by_time else [])]
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    arrow = to_arrow_schema(schema)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(len(asked.ids), k)
-        for docs in frames:
-            sizes = docs.terms.map(len).to_numpy()
-            if not len(asked.ids) or not sizes.sum():
+        for batch in pieces(batches, SCANNED) if len(asked.ids) else ():
+            words, tf = batch.column("terms"), batch.column("counts").flatten().to_numpy()
+            at = pc.fill_null(pc.index_in(words.flatten(), value_set=asked.names), -1).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(words.offsets.to_numpy()))[at >= 0]
+            held = np.unique(row)
+            if not len(held):
                 continue
-            words = pa.array(np.concatenate(docs.terms.to_list()), pa.string())
-            at = pc.fill_null(pc.index_in(words, value_set=asked.names), -1).to_numpy()
-            tf = np.concatenate(docs.counts.to_list())
-            row = np.repeat(np.arange(len(docs)), sizes)[at >= 0]
-            cut = np.searchsorted(row, np.arange(1, len(docs)))
+            cut = np.searchsorted(row, held[1:])
+            docs = batch.select(["doc_id", "length", *keep]).take(pa.array(held)).to_pandas()
             docs = docs.assign(at=np.split(at[at >= 0], cut), tf=np.split(tf[at >= 0], cut))
-            some = docs[docs["at"].map(len) > 0]
-            if len(some):
-                score_blocks(asked, some, best, constants)
-        yield from best.rows(asked.ids)
+            if by_time:
+                docs["valid_at"] = docs.valid_at.dt.tz_localize(None)
+            score_blocks(asked, docs, best, constants)
+        for found in best.rows(asked.ids):
+            yield pa.RecordBatch.from_pandas(found, arrow, preserve_index=False)
 
-    return documents.select("doc_id", "length", "terms", "counts", *keep).mapInPandas(scan, schema)
+    return documents.select("doc_id", "length", "terms", "counts", *keep).mapInArrow(scan, schema)
 
 
 def _met(held: DataFrame, weights: DataFrame, by_group: bool) -> DataFrame:
