@@ -1,7 +1,9 @@
 import json
 import os
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from tracewell.streaming.detectors import (
     stream_missing_heartbeats,
     stream_order_violations,
 )
+from tracewell.streaming.processors import CHUNK, DeadlineProcessor
 
 
 def write_files(folder, batches, first=0):
@@ -238,3 +241,81 @@ def test_redelivery_in_a_later_batch(spark, tmp_path):
     assert training.count() == 3
     # The source events keep every field they came with.
     assert "machine_type" in training.select("pattern_match.source_events").schema.simpleString()
+
+
+class Calls:
+    """A state handle in memory that counts calls and the entries that are written."""
+
+    def __init__(self):
+        self.held, self.calls, self.entries, self.timers = {}, 0, 0, []
+
+    def getListState(self, name, schema):
+        return Entry(self, name)
+
+    getValueState = getMapState = getListState
+
+    def listTimers(self):
+        self.calls += 1
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers = sorted({*self.timers, at})
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers = [t for t in self.timers if t != at]
+
+
+class Entry:
+    def __init__(self, handle, name, *_):
+        self.handle, self.name = handle, name
+
+    def _count(self, entries=0):
+        self.handle.calls += 1
+        self.handle.entries += entries
+
+    def get(self):
+        self._count()
+        held = self.handle.held.get(self.name)
+        return iter(held or []) if self.name == "buffer" else held
+
+    def exists(self):
+        self._count()
+        return self.name in self.handle.held
+
+    def appendList(self, rows):
+        self._count(len(rows))
+        self.handle.held.setdefault(self.name, []).extend(rows)
+
+    def put(self, rows):
+        self._count(len(rows))
+        self.handle.held[self.name] = list(rows)
+
+    def update(self, value):
+        self._count(1)
+        self.handle.held[self.name] = value
+
+    def clear(self):
+        self._count()
+        self.handle.held.pop(self.name, None)
+
+
+def test_held_rows_take_few_entries_and_calls():
+    """A batch of a key is one entry for every ``CHUNK`` rows, and a wake-up a few calls, however many rows wait."""
+    handle, processor = Calls(), DeadlineProcessor(["user"], [("signup", "click", 50)])
+    processor.init(handle)
+    n, size = 2 * CHUNK + 3, 7
+    table = [(i * size, i, "signup" if i % 2 else "view", f"t{i}", None if i % 3 else "é\"}") for i in range(n)]
+    frame = pd.DataFrame(table[::-1], columns=["ms", "seq", "kind", "event_time", "event_json"])
+    assert list(processor.handleInputRows(("u",), iter([frame]), None)) == []
+    assert handle.entries == 3
+    half = table[n // 2][0]
+    info, values = SimpleNamespace(getExpiryTimeInMs=lambda: 0), SimpleNamespace(getCurrentWatermarkInMs=lambda: half)
+    before = handle.calls
+    assert list(processor.handleExpiredTimer(("u",), values, info)) == []
+    assert handle.calls - before <= 6 and [tuple(r) for e in handle.held["buffer"] for r in json.loads(e[0])] == table[n // 2 + 1 :]
+    values = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**6)
+    (found,) = processor.handleExpiredTimer(("u",), values, info)
+    last = max(r for r in table if r[2] == "signup")
+    assert found.detected_at.tolist() == [last[3]] and "buffer" not in handle.held

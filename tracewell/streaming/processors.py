@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 INPUT = ["ms", "seq", "kind", "event_time", "event_json"]
+#: Held rows are kept as JSON lists of so many: a state entry costs far more than its bytes.
+CHUNK = 500
 ROW = "ms long, seq long, kind string, event_time string, event_json string"
 OUTPUT = "detected_at string, violation_type string, source_json array<string>"
 
@@ -30,45 +32,59 @@ def _rows(frames: Iterator[pd.DataFrame]) -> list[tuple]:
     return [row for frame in frames for row in zip(*[frame[c].tolist() for c in INPUT])]
 
 
+def _packed(rows: list[tuple]) -> list[tuple[str]]:
+    return [(json.dumps(rows[at : at + CHUNK]),) for at in range(0, len(rows), CHUNK)]
+
+
+def _unpacked(entries: Iterator[tuple[str]]) -> list[tuple]:
+    return [tuple(row) for entry in entries for row in json.loads(entry[0])]
+
+
 class EventTimeProcessor(StatefulProcessor):
-    """Base: buffers rows and hands them to ``advance`` in event-time order."""
+    """Base: buffers rows and hands them to ``advance`` in event-time order.
+
+    Every call to the state store is a round trip, and every entry is pickled with its schema, so both are few per key.
+    """
 
     def __init__(self, key_names: list[str]):
         self.key_names = key_names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", ROW)
+        self.buffer = handle.getListState("buffer", "body string")
         self.progress = handle.getValueState("progress", "body string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = _rows(rows)
         if arrived:
-            self.buffer.appendList(arrived)
+            self.buffer.appendList(_packed(arrived))
             self._wake_at(min(r[0] for r in arrived))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(tuple(r) for r in self.buffer.get())
+        held = sorted(_unpacked(self.buffer.get()))
         ready = [r for r in held if r[0] <= watermark]
         rest = held[len(ready) :]
-        state = json.loads(self.progress.get()[0]) if self.progress.exists() else self.start()
+        before = self.progress.get()
+        state = self.start() if before is None else json.loads(before[0])
         found = [m for row in ready for m in self.advance(state, row)]
         found += self.expire(state, watermark)
-        if state == self.start():
+        after = None if state == self.start() else (json.dumps(state),)
+        if after is not None:
+            self.progress.update(after)
+        elif before is not None:
             self.progress.clear()
-        else:
-            self.progress.update((json.dumps(state),))
-        if rest:
-            self.buffer.put(rest)
-        else:
+        if ready and rest:
+            self.buffer.put(_packed(rest))
+        elif ready:
             self.buffer.clear()
         due = [r[0] for r in rest]
         if self.deadline(state) is not None:
             due.append(self.deadline(state))
         for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
+            if timer != expiredTimerInfo.getExpiryTimeInMs():  # Spark removes this one itself
+                self.handle.deleteTimer(timer)
         if due:
             self.handle.registerTimer(min(due))
         if found:
