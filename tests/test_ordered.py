@@ -62,3 +62,11 @@ def test_full_buckets_are_counted_by_key(spark, monkeypatch):
     assert ordered.hot_keys(df, ["k"], "ms", 200) is None
     found = neighbours(df, ["k"], ["ms"], [Look("before", "prev", ["ms"])], max_rows=100)
     assert found.count() == 300 and found.filter("before is not null").count() == 199
+
+
+def test_rows_of_a_task_are_bounded(spark, monkeypatch):
+    """Adaptive execution does not merge the tasks of a large table, however few bytes its rows take."""
+    monkeypatch.setattr(ordered, "TASK_ROWS", 1000)
+    rows = spark.range(7500).select((F.col("id") % 500).alias("k"), "id")
+    found = ordered.dealt(rows, ["k"], 7500).groupBy(F.spark_partition_id()).count()
+    assert found.agg(F.max("count")).head()[0] <= 2 * 1000

@@ -18,7 +18,7 @@ from tracewell.storage import written
 
 MAX_ROWS = 1_000_000
 #: Rows that one task sorts for its windows; the number of tasks follows from the number of rows.
-TASK_ROWS = 500_000
+TASK_ROWS = 100_000
 #: Rows are counted by a hash of their key first, so that this count holds a bounded number of groups.
 BUCKETS = 65_536
 
@@ -43,10 +43,12 @@ def crowded(df: DataFrame, key: list[str], max_rows: int) -> tuple[int, DataFram
 
 
 def dealt(df: DataFrame, key: list[str], rows: int) -> DataFrame:
-    """``df`` of ``rows`` rows with the rows of a key together, about ``TASK_ROWS`` or fewer of them to a task."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``df`` of ``rows`` rows with the rows of a key together, about ``TASK_ROWS`` or fewer of them to a task.
+
+    The number is given, as adaptive execution would merge tasks by their compressed bytes, whatever the rows take in memory.
+    """
     tasks = -(-rows // TASK_ROWS)
-    return df.repartition(tasks, *key) if tasks > least else df.repartition(*key)
+    return df.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism), *key) if tasks > 1 else df.repartition(*key)
 
 
 def hot_keys(
