@@ -45,3 +45,54 @@ def test_spans_cover_shared_passages(spark):
         assert len(covered[doc]) <= b - a + 2
     # A passage is one span, or one on either side of an edited word.
     assert {r.n_words for r in got if r.doc_id == 12} == {700, 350, 349}
+
+
+def covered(got):
+    out = {}
+    for r in got:
+        if r.kind == "block" and not r.kept:
+            out.setdefault(r.doc_id, []).append((r.start, r.stop))
+    return out
+
+
+def test_later_places_are_covered_whole(spark, monkeypatch):
+    """Every 51 words that stood earlier are in spans kept elsewhere, with crowded seeds or without; copies are not compared word by word."""
+    rng = random.Random(21)
+    base, line = fresh(rng, 260), fresh(rng, 60)
+    texts = [" ".join(base)] * 30
+    for _ in range(14):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = fresh(rng, rng.randrange(1, 3))
+        cut = rng.randrange(60)
+        texts.append(" ".join(fresh(rng, rng.randrange(40)) + words[cut : cut + rng.randrange(70, 200)] + fresh(rng, 30)))
+    texts += [" ".join(fresh(rng, rng.randrange(50)) + line + fresh(rng, 40)) for _ in range(6)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    sizes, plain = {}, passages.written
+
+    def written(df, name):
+        out = plain(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(passages, "written", written)
+    found = []
+    for many in (passages.MANY, 0):
+        monkeypatch.setattr(passages, "MANY", many)
+        spans = covered(passages.repeated(frame).collect())
+        seen = set()
+        for doc, text in enumerate(texts):
+            words = text.split()
+            starts = [0]
+            for w in words:
+                starts.append(starts[-1] + len(w) + 1)
+            inside = {i for i in range(len(words)) for a, b in spans.get(doc, []) if a <= starts[i] and starts[i + 1] - 1 <= b}
+            runs = [tuple(words[i : i + 51]) for i in range(len(words) - 50)]
+            for i, run in enumerate(runs):
+                assert run not in seen or inside >= set(range(i, i + 51)), (doc, i)
+            seen.update(runs)
+        found.append(spans.keys())
+        if many:
+            assert max(sizes[n] for n in ("places", "contexts")) < sum(len(t.split()) for t in texts) / 4
+    assert found[0] == found[1]

@@ -7,19 +7,23 @@ from each whole text:
   the exact Jaccard similarity of shingle sets verifies them (``SIMILAR`` or more), components are classes.
 * passages that stand inside different paragraphs, where no paragraph is alike. Blocks of ``BLOCK`` words are the
   seeds: one begins at the least shingle hash of each window of ``REACH`` places, so wherever two texts share
-  BLOCK + REACH words (51) or more, they have a block in common within REACH places of each place. Around the
-  seeds that occur twice all runs of BLOCK words are compared; runs that follow each other in a text and in the
-  first place of each are one span, so the spans cover every word of a shared passage.
+  BLOCK + REACH words (51) or more, they have a block in common within REACH places of each place. A seed knows the
+  words up to REACH places before and after it by hashes. Places of a seed with the same words there are one class;
+  only the first place of each class is compared with the others word by word, as far as they agree. Pieces that
+  follow each other in a text and in the kept one are one span, so the spans cover every word of a shared passage.
 
-Equal units are one node before anything is compared, paragraphs by 64 and blocks by 128 bits of a hash of
-their words. A bucket of a band does not make all its pairs: each member is verified with the bucket's leader,
+Equal units are one node before anything is compared, paragraphs by 64 bits of a hash of their words, pieces of
+passages by 128. A bucket of a band does not make all its pairs: each member is verified with the bucket's leader,
 and the members that are then of another class than the leader with the whole bucket, block by block inside
 tasks. Pairs inside a class need no check, so no class is lost.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -33,7 +37,7 @@ from tracewell.llm.common import SLICE, documents, query, whole, written
 from tracewell.llm.components import components
 from tracewell.llm.fuse import mix
 from tracewell.llm.verify import SHINGLE, SIMILAR, similar_pairs
-from tracewell.llm.words import shingle_hashes, single_spaced
+from tracewell.llm.words import LOWER, shingle_hashes, single_spaced
 
 LEAST_WORDS = 20
 BLOCK, REACH = 16, 35
@@ -42,10 +46,16 @@ HASHES = 48
 CROWD, CROWD_BYTES = 1024, 8 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_ROWS = 1 << 16  # of a batch of runs
-_UNITS = "doc_id long, text_hash long, kind string, word int, start int, stop int, n_words int, u1 long, u2 long, bands array<long>"
-_RUNS = "doc_id long, text_hash long, word int, start int, stop int, u1 long, u2 long"
-_RUN_NAMES = ["doc_id", "text_hash", "word", "start", "stop", "u1", "u2"]
+MANY = 1 << 14  # first places of one seed that one task compares
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_UNITS = """doc_id long, text_hash long, kind string, word int, start int, stop int, n_words int, u1 long,
+    bands array<long>, before long, after long, block_stop int, before_start int"""
+_UNIT_NAMES = [c.split()[0] for c in _UNITS.split(",")]
+_UNIT_TYPES = [pa.int64(), pa.int64(), pa.string(), *[pa.int32()] * 4, pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+_CONTEXTS = "u1 long, right boolean, doc_id long, text_hash long, word int, at int, crowded boolean, body string"
+_PIECE = "doc_id long, text_hash long, word int, n_words int, start int, stop int"
+_PIECES = f"{_PIECE}, keep_doc_id long, keep_hash long, keep_word int, keep_start int, keep_stop int"
+_PIECE_COLUMNS = [c.split()[0] for c in _PIECES.split(", ")]
 
 
 def tuned(similar: float = SIMILAR, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -64,12 +74,16 @@ BANDS, ROWS = tuned()
 def signatures(hashes: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
     """The band keys (one row per unit) of units whose shingle hashes follow each other, from ``starts`` on."""
     out = np.empty((len(starts), bands), np.uint64)
-    for band in range(bands):
-        key = np.full(len(starts), band + 1, np.uint64)
-        for row in range(rows):
-            least = np.minimum.reduceat(mix(hashes, 1000 + band * rows + row), starts)
-            key = mix(key ^ least, 7)
-        out[:, band] = key
+    # Some units at a time, so that their hashes stay in the processor's cache.
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(hashes), 1 << 14)), len(starts)))
+    for a, b in zip(cuts, cuts[1:]):
+        part = hashes[starts[a] : starts[b] if b < len(starts) else None]
+        for band in range(bands):
+            key = np.full(b - a, band + 1, np.uint64)
+            for row in range(rows):
+                least = np.minimum.reduceat(mix(part, 1000 + band * rows + row), starts[a:b] - starts[a])
+                key = mix(key ^ least, 7)
+            out[a:b, band] = key
     return out
 
 
@@ -101,11 +115,36 @@ def block_starts(hashes: np.ndarray, n_words: int) -> np.ndarray:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """The paragraphs and blocks of each text of ``keyed`` documents, with band keys for paragraphs."""
+    """The paragraphs and blocks of each text of ``keyed`` documents.
 
-    def of(some: list[tuple]) -> pa.RecordBatch:
-        rows: list[tuple] = []
-        gathered, sizes = [], []
+    Paragraphs have band keys. A block has hashes of the words up to REACH places before and after it, itself
+    included; ``n_words`` and ``stop`` are those of the block with the words after it.
+    """
+
+    def batch(kind: str, own: list[tuple[int, int, int]], columns: dict[str, list]) -> pa.RecordBatch:
+        """``own``: doc_id, text_hash and number of rows of each text."""
+        at = pa.array(np.repeat(np.arange(len(own)), [n for _, _, n in own]))
+        made = {"doc_id": pa.array([d for d, _, _ in own], pa.int64()).take(at), "text_hash": pa.array([t for _, t, _ in own], pa.int64()).take(at)}
+        made["kind"] = pa.repeat(pa.scalar(kind), len(at))
+        arrays = []
+        for name, to in zip(_UNIT_NAMES, _UNIT_TYPES):
+            if name in made:
+                arrays.append(made[name])
+            elif name in columns:
+                arrays.append(pa.array(np.concatenate(columns[name]) if columns[name] else [], to))
+            else:
+                arrays.append(pa.nulls(len(at), to))
+        if kind == "paragraph":
+            hashes, sizes = np.concatenate(columns["hashes"]), np.concatenate(columns["sizes"])
+            keys = signatures(hashes, np.cumsum(np.append(0, sizes[:-1]))).view(np.int64)
+            arrays[_UNIT_NAMES.index("bands")] = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, keys.ravel())
+        return pa.RecordBatch.from_arrays(arrays, names=_UNIT_NAMES)
+
+    def of(some: list[tuple]) -> Iterator[pa.RecordBatch]:
+        lines, blocks = [], []
+        by_line: dict[str, list] = {n: [] for n in ("word", "start", "stop", "n_words", "u1", "hashes", "sizes")}
+        by_block: dict[str, list] = {n: [] for n in ("word", "start", "stop", "n_words", "u1", "before", "after", "block_stop", "before_start")}
+        wide, short = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_digest
         for doc_id, text, text_hash in some:
             hashes = shingle_hashes(text, SHINGLE)
             body, starts, ends = single_spaced(text)
@@ -113,25 +152,31 @@ def units(docs: DataFrame) -> DataFrame:
             if n < BLOCK:
                 continue
             first, last, line = _word_points(text.encode())
+
+            def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                digests = [short(body[x:y]) for x, y in zip(starts[a].tolist(), ends[b - 1].tolist())]
+                return np.frombuffer(b"".join(digests), "<i8")
+
             edges = np.append(np.append(0, np.flatnonzero(line[1:] != line[:-1]) + 1), n)
-            spans = [("paragraph", a, b) for a, b in zip(edges, edges[1:]) if b - a >= LEAST_WORDS]
-            for _, a, b in spans:
-                gathered.append(hashes[a : b - SHINGLE + 1])
-                sizes.append(b - a - SHINGLE + 1)
-            spans += [("block", a, a + BLOCK) for a in block_starts(hashes, n)]
-            for kind, a, b in spans:
-                u = xxhash.xxh3_128_intdigest(body[starts[a] : ends[b - 1]])
-                rows.append((doc_id, text_hash, kind, int(a), int(first[a]), int(last[b - 1]), int(b - a), (u >> 64) - (1 << 63), (u & (2**64 - 1)) - (1 << 63)))
-        bands: list = [None] * len(rows)
-        if gathered:
-            keys = signatures(np.concatenate(gathered), np.cumsum([0, *sizes[:-1]])).view(np.int64)
-            at = [i for i, r in enumerate(rows) if r[2] == "paragraph"]
-            for i, k in zip(at, keys):
-                bands[i] = k
-        columns = list(zip(*rows)) if rows else [[]] * 9
-        types = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-        arrays = [pa.array(c, t) for c, t in zip(columns, types)] + [pa.array(bands, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "kind", "word", "start", "stop", "n_words", "u1", "u2", "bands"])
+            long = np.flatnonzero(np.diff(edges) >= LEAST_WORDS)
+            if len(long):
+                a, b = edges[long], edges[long + 1]
+                lines.append((doc_id, text_hash, len(a)))
+                u = [(wide(body[x:y]) >> 64) - (1 << 63) for x, y in zip(starts[a].tolist(), ends[b - 1].tolist())]
+                sizes = b - a - SHINGLE + 1
+                parts = np.concatenate([hashes[x : x + m] for x, m in zip(a.tolist(), sizes.tolist())])
+                for name, values in zip(by_line, (a, first[a], last[b - 1], b - a, np.array(u, np.int64), parts, sizes)):
+                    by_line[name].append(values)
+            at = block_starts(hashes, n)
+            blocks.append((doc_id, text_hash, len(at)))
+            back, to = np.maximum(at - REACH, 0), np.minimum(at + BLOCK + REACH, n)
+            hashes_of = hashed(at, at + BLOCK), hashed(back, at + BLOCK), hashed(at, to)
+            for name, values in zip(by_block, (at, first[at], last[to - 1], to - at, *hashes_of, last[at + BLOCK - 1], first[back])):
+                by_block[name].append(values)
+        if lines:
+            yield batch("paragraph", lines, by_line)
+        if blocks:
+            yield batch("block", blocks, by_block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, room = [], SLICE
@@ -140,81 +185,200 @@ def units(docs: DataFrame) -> DataFrame:
                 some.append(tuple(x.as_py() for x in row))
                 room -= len(some[-1][1])
                 if room <= 0:
-                    yield of(some)
+                    yield from of(some)
                     some, room = [], SLICE
         if some:
-            yield of(some)
+            yield from of(some)
 
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, _UNITS)
 
 
-def runs(docs: DataFrame) -> DataFrame:
-    """Every run of BLOCK words that begins less than REACH places from one of ``words``, from ``keyed`` documents with
-    that array; of rows alike in doc_id and text one per task."""
+def _holding(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` without most of those whose text is not in ``wanted`` (own_id, own_hash), before anything is shuffled.
 
-    def of(text: str, seeds: np.ndarray) -> tuple[np.ndarray, ...]:
-        body, starts, ends = single_spaced(text)
-        n = len(starts) - BLOCK + 1
-        edge = np.zeros(n + 1, np.int64)
-        np.add.at(edge, np.maximum(seeds - REACH + 1, 0), 1)
-        np.add.at(edge, np.minimum(seeds + REACH, n), -1)
-        at = np.flatnonzero(np.cumsum(edge[:-1]))
-        first, last, _ = _word_points(text.encode())
-        hashed = xxhash.xxh3_128_digest
-        digest = b"".join([hashed(body[b:e]) for b, e in zip(starts[at].tolist(), ends[at + BLOCK - 1].tolist())])
-        u = np.frombuffer(digest, "<i8").reshape(-1, 2)
-        return at.astype(np.int32), first[at].astype(np.int32), last[at + BLOCK - 1].astype(np.int32), u[:, 0], u[:, 1]
+    Bits of a hash, some 16 for each wanted text, go to every task: two bytes a text.
+    """
+    bits = 1 << max(15, 4 + wanted.count().bit_length())
+    of = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(bits)) + 1
+    place = of("own_id", "own_hash")
+    maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map"))
+    own = of("doc_id", "text_hash")
+    bit = F.bitmap_bit_position(own)
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = docs.withColumn("_bucket", F.bitmap_bucket_number(own)).withColumn("_bit", bit).join(F.broadcast(maps), "_bucket")
+    return met.filter(F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*docs.columns)
+
+
+def contexts(docs: DataFrame) -> DataFrame:
+    """The words before or after seeds, from ``keyed`` documents with an array ``asked`` (u1, word, right, crowded);
+    of rows alike in doc_id and text one per task."""
+    names = [c.split()[0] for c in _CONTEXTS.split(", ")]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_id, text_hash = batch.column(0)[row], batch.column(2)[row]
-                if (own := (doc_id.as_py(), text_hash.as_py())) in seen:
+                doc_id, text, text_hash, asked = (c[row].as_py() for c in batch.columns)
+                if (doc_id, text_hash) in seen:
+                    continue
+                seen.add((doc_id, text_hash))
+                first, last, _ = _word_points(text.encode())
+                made = []
+                for x in asked:
+                    word, right = x["word"], x["right"]
+                    a, b = (word, min(word + BLOCK + REACH, len(first))) if right else (max(word - REACH, 0), word + BLOCK)
+                    made.append((x["u1"], right, doc_id, text_hash, word, first[a], x["crowded"], text[first[a] : last[b - 1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
+
+    return docs.select("doc_id", "text", "text_hash", "asked").mapInArrow(run, _CONTEXTS)
+
+
+def _ladder(right: bool, word: int, at: int, text: str) -> list[tuple[bytes, int, int, int, int]]:
+    """(hash, word, n_words, start, stop) of the block of a context, then with one more word each."""
+    body, starts, ends = single_spaced(text)
+    first, last, _ = _word_points(text.encode())
+    n, out = len(starts), []
+    for more in range(n - BLOCK + 1):
+        a, b = (0, BLOCK + more) if right else (n - BLOCK - more, n)
+        h = xxhash.xxh3_64_digest(body[starts[a] : ends[b - 1]])
+        out.append((h, word if right else word - more, BLOCK + more, at + int(first[a]), at + int(last[b - 1])))
+    return out
+
+
+def _edge(text: str, right: bool, n: int) -> int:
+    """Where the first ``n`` words of a text end, or its last ``n`` begin, in code points."""
+    if right:
+        return next(islice(_WORD.finditer(text), n - 1, None)).end()
+    return [m.start() for m in _WORD.finditer(text)][-n]
+
+
+def agreeing(found: DataFrame) -> DataFrame:
+    """Of the ``contexts`` of each seed, sorted by place, the longest piece that an earlier one has, too.
+
+    The words from the seed on are a tree whose nodes belong to the first context that came there; a node's own context
+    goes on below it only when another one arrives.
+    """
+
+    def piece(own: tuple, right: bool, more: int) -> tuple[int, int, int]:
+        """word, start and stop of the seed of a context with so many words more"""
+        _, _, word, at, text, _ = own
+        edge = at + _edge(text, right, BLOCK + more)
+        return (word, at, edge) if right else (word - more, edge, at + len(text))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            out = []
+            for u1, right, doc_id, text_hash, word, at, _, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (u1, right) != now:
+                    now, known = (u1, right), {}
+                words = text.encode().translate(LOWER).split()
+                seed, beyond = (words[:BLOCK], words[BLOCK:]) if right else (words[-BLOCK:], words[-BLOCK - 1 :: -1])
+                own = (doc_id, text_hash, word, at, text, beyond)
+                node = known.setdefault(b" ".join(seed), (own, {}))
+                if node[0] is own:
                     continue
-                seen.add(own)
-                made = of(batch.column(1)[row].as_py(), batch.column(3)[row].values.to_numpy())
-                for at in range(0, len(made[0]), _ROWS):
-                    part = [np.ascontiguousarray(c[at : at + _ROWS]) for c in made]
-                    ids = [pa.repeat(x, len(part[0])) for x in (doc_id, text_hash)]
-                    yield pa.RecordBatch.from_arrays(ids + [pa.array(c) for c in part], names=_RUN_NAMES)
+                more = 0
+                while more < len(beyond):
+                    first, below = node
+                    if not below and more < len(first[5]):
+                        below[first[5][more]] = (first, {})
+                    if (child := below.setdefault(beyond[more], (own, {})))[0] is own:
+                        break
+                    node, more = child, more + 1
+                keep = node[0]
+                (a, start, stop), (b, keep_start, keep_stop) = piece(own, right, more), piece(keep, right, more)
+                if (doc_id, text_hash, a) != (*keep[:2], b):
+                    out.append((doc_id, text_hash, a, BLOCK + more, start, stop, *keep[:2], b, keep_start, keep_stop))
+            columns = list(zip(*out)) if out else [[]] * len(_PIECE_COLUMNS)
+            types = [pa.int64() if n.endswith(("id", "hash")) else pa.int32() for n in _PIECE_COLUMNS]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=_PIECE_COLUMNS)
+
+    keys = ["u1", "right"]
+    return found.repartition(*keys).sortWithinPartitions(*keys, "doc_id", "text_hash", "word").mapInArrow(run, _PIECES)
+
+
+def agreeing_crowds(found: DataFrame) -> DataFrame:
+    """The pieces that ``contexts`` of crowded seeds share with an earlier one, of every length, by shuffles alone."""
+    names = ["u1", "right", "hash", *[c.split()[0] for c in _PIECE.split(", ")]]
+    types = [pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for u1, right, doc_id, text_hash, word, at, _, text in zip(*(c.to_pylist() for c in batch.columns)):
+                made = [(u1, right, h, doc_id, text_hash, *step) for h, *step in _ladder(right, word, at, text)]
+                columns = list(zip(*made)) if made else [[]] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    pieces = written(found.mapInArrow(run, f"u1 long, right boolean, hash binary, {_PIECE}"), "ladders")
+    first = pieces.groupBy("u1", "right", "hash").agg(F.min(F.struct(*_PLACE, "word", "stop")).alias("keep"), F.count("*").alias("n"))
+    first = written(first.filter("n > 1").drop("n"), "first")
+    return _kept_by(pieces.join(first, ["u1", "right", "hash"]))
 
-    return docs.select("doc_id", "text", "text_hash", "words").mapInArrow(run, _RUNS)
+
+def _kept_by(pieces: DataFrame) -> DataFrame:
+    """Pieces with a place to ``keep`` that is not their own."""
+    own = F.struct(*_PLACE, "word", "stop") == F.col("keep")
+    keep = [F.col(f"keep.{c}").alias(n) for c, n in zip(["doc_id", "text_hash", "word", "start", "stop"], _PIECE_COLUMNS[6:])]
+    return pieces.filter(~own).select(*_PIECE_COLUMNS[:6], *keep)
 
 
 def shared_passages(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """The result columns of passages that occur in more than one place; ``docs`` as ``keyed``, ``blocks`` of ``units``.
 
-    Each run of BLOCK words belongs to its first place. Runs of a text whose first places lie in one text at the same
-    distance, and which overlap or touch, are one span, equal word for word to the kept one.
+    Places of a seed with the same words after it (or before it) are a class, which belongs to its first place. Where
+    a seed has several classes, their first places are compared with each other. So of two texts that share a
+    passage the later one has every word of it in pieces of an earlier place. Words before a seed need no piece of their own
+    where all its places have the same: an earlier seed stands there. Pieces of a text that lie in one other text at
+    the same distance, and which overlap or touch, are one span, equal word for word to the kept one.
     """
-    place = F.struct(*_PLACE)
-    twice = written(blocks.groupBy("u1").count().filter("count > 1").select("u1"), "twice")
-    blocks = written(blocks.join(twice, "u1").select("u1", "u2", "word", *_PLACE), "blocks")
-    seeds = blocks.groupBy("u1", "u2").agg(F.min(place).alias("least"), F.max(place).alias("most"))
-    seeds = written(seeds.filter("least != most").select("u1", "u2"), "seeds")
-    around = blocks.join(seeds, ["u1", "u2"]).groupBy("doc_id", "text_hash").agg(F.collect_set("word").alias("words"))
-    around = written(around.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "words"), "around")
-    met = docs.join(around, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
-    found = written(runs(met), "runs")
-
-    # A place with its word and stop; these follow from the place, so the least one is the first.
-    full = F.struct(*_PLACE, "word", "stop")
-    first = found.groupBy("u1", "u2").agg(F.min(full).alias("keep"), F.max(full).alias("most"))
-    first = written(first.filter("keep != most").drop("most"), "first")
-    met = found.join(first, ["u1", "u2"]).filter(full != F.col("keep"))
-    met = met.select("doc_id", "text_hash", "word", "start", "stop", "keep", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.text_hash").alias("keep_hash"))
-    met = met.withColumn("apart", F.col("word") - F.col("keep.word"))
+    seed = W.partitionBy("u1")
+    places = blocks.select("u1", "before", "after", "doc_id", "text_hash", "word", "n_words", "start", "stop", "block_stop", "before_start")
+    places = places.withColumn("n", F.count("*").over(seed))
+    places = places.withColumns({f"{least.__name__}_{c}": least(c).over(seed) for c in ("before", "after") for least in (F.min, F.max)}).filter("n > 1")
+    left, right = F.col("min_before") != F.col("max_before"), F.col("min_after") != F.col("max_after")
+    places = places.withColumns({"left": left, "right": right}).drop("n", "min_before", "max_before", "min_after", "max_after")
+    after, before = W.partitionBy("u1", "after"), W.partitionBy("u1", "before")
+    places = places.withColumn("after_keep", F.min(F.struct(*_PLACE, "word", "stop")).over(after))
+    before_place = F.struct("doc_id", "text_hash", F.col("before_start").alias("start"), F.greatest(F.col("word") - REACH, F.lit(0)).alias("word"), F.col("block_stop").alias("stop"))
+    places = places.withColumn("before_place", before_place).withColumn("before_keep", F.min("before_place").over(before))
+    own = F.struct(*_PLACE, "word", "stop")
+    places = places.withColumns({"after_first": F.col("after_keep") == own, "before_first": F.col("before_keep") == F.col("before_place")})
+    asks = {"ask_right": F.col("right") & F.col("after_first"), "ask_left": F.col("left") & F.col("before_first")}
+    places = places.withColumns(asks)
+    places = places.withColumns({f"many_{s}": F.sum(F.col(f"ask_{s}").cast("int")).over(seed) > MANY for s in ("right", "left")})
+    before_kept = ~F.col("before_first") & (F.col("left") | (F.col("word") < REACH))
+    places = places.filter(~F.col("after_first") | before_kept | F.col("ask_right") | F.col("ask_left"))
+    # A keep is null where its piece is not needed, so that it takes no room.
+    keeps = {"after_keep": F.when(~F.col("after_first"), F.col("after_keep")), "before_keep": F.when(before_kept, F.col("before_keep"))}
+    places = written(places.withColumns(keeps).drop("before_place", "before", "after", "left", "right", "after_first", "before_first"), "places")
+
+    same = _kept_by(places.filter("after_keep is not null").withColumnRenamed("after_keep", "keep"))
+    head = F.greatest(F.col("word") - REACH, F.lit(0))
+    ahead = places.filter("before_keep is not null").select(
+        "doc_id", "text_hash", head.alias("word"), (F.col("word") - head + BLOCK).alias("n_words"), F.col("before_start").alias("start"), F.col("block_stop").alias("stop"), F.col("before_keep").alias("keep")
+    )
+    ask = F.array(*[F.when(F.col(f"ask_{s}"), F.struct("u1", "word", F.lit(s == "right").alias("right"), F.col(f"many_{s}").alias("crowded"))) for s in ("right", "left")])
+    asked = places.filter("ask_right or ask_left").select("doc_id", "text_hash", F.explode(F.array_compact(ask)).alias("a"))
+    asked = asked.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(F.collect_list("a").alias("asked"))
+    asked = written(asked, "asked")
+    met = _holding(docs, asked.select("own_id", "own_hash"))
+    met = met.join(asked, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    found = written(contexts(met), "contexts")
+    met = same.union(_kept_by(ahead)).union(agreeing(found.filter("not crowded"))).union(agreeing_crowds(found.filter("crowded")))
+
+    met = met.withColumn("apart", F.col("word") - F.col("keep_word")).withColumn("end", F.col("word") + F.col("n_words"))
     one = ["doc_id", "text_hash", "keep_doc_id", "keep_hash", "apart"]
     in_text = W.partitionBy(*one).orderBy("word")
-    begins = F.coalesce(F.col("word") - F.lag("word").over(in_text) > BLOCK, F.lit(True))
+    begins = F.coalesce(F.col("word") > F.max("end").over(in_text.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
     spans = met.withColumn("begins", begins.cast("int")).withColumn("span", F.sum("begins").over(in_text.rowsBetween(W.unboundedPreceding, 0)))
     spans = spans.groupBy(*one, "span").agg(
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
-        (F.max("word") - F.min("word") + BLOCK).alias("n_words"),
-        F.min("keep.start").alias("keep_start"),
-        F.max("keep.stop").alias("keep_stop"),
+        (F.max("end") - F.min("word")).alias("n_words"),
+        F.min("keep_start").alias("keep_start"),
+        F.max("keep_stop").alias("keep_stop"),
     )
     spans = spans.withColumn("class_id", F.xxhash64("keep_doc_id", "keep_hash", "keep_start", "keep_stop"))
     spans = written(spans.withColumn("kind", F.lit("block")), "spans")
@@ -238,44 +402,68 @@ def _texts(docs: DataFrame, distinct: DataFrame, wanted: DataFrame) -> DataFrame
     return written(texts.dropDuplicates(["id"]), "paragraphs")
 
 
+def _linked(left: list[tuple], right: list[tuple]) -> Iterator[tuple]:
+    """Similar (a, b) of two lists of (u1, class, body), only such that connect classes which the earlier do not."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def shingles(body: str) -> frozenset:
+        return frozenset(shingle_hashes(body, SHINGLE).tolist())
+
+    sets = [(u, c, shingles(t)) for u, c, t in right]
+    of = {u: s for u, _, s in sets}
+    for u, c, t in left:
+        own = of[u] if u in of else shingles(t)
+        for v, d, other in sets:
+            small, large = sorted((len(own), len(other)))
+            if small >= SIMILAR * large and root(c) != root(d):
+                shared = len(own & other)
+                if shared >= SIMILAR * (small + large - shared):
+                    parent[root(c)] = root(d)
+                    yield min(u, v), max(u, v)
+
+
 def _links_between(members: DataFrame) -> DataFrame:
     """(a, b): similar members of different classes of a bucket; ``members`` has key, u1, class, odd and body.
 
-    Every odd member meets every member of its bucket. A bucket is cut into blocks of at most about ``CROWD``
-    members and ``CROWD_BYTES`` of text; a task compares two blocks and returns only links that connect
-    classes which its earlier links do not connect already, so no pairs are made as rows.
+    Every odd member meets every member of its bucket. Nearly all buckets are small and are compared one after the other
+    in sorted partitions. A larger one is cut into blocks of at most about ``CROWD`` members and ``CROWD_BYTES`` of
+    text, and a task compares two blocks. Only links that connect classes which its earlier links do not connect already
+    are returned, so no pairs are made as rows.
     """
     size = F.greatest(F.count("*") / CROWD, F.sum(F.octet_length("body")) / CROWD_BYTES)
     blocks = members.groupBy("key").agg(F.ceil(size).cast("int").alias("n"))
-    blocks = members.join(written(blocks, "blocks"), "key").withColumn("block", F.pmod(F.xxhash64("u1"), F.col("n")).cast("int"))
+    members = members.join(written(blocks, "blocks"), "key")
+    links = f"a {dict(members.dtypes)['u1']}, b {dict(members.dtypes)['u1']}"
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, bucket in groupby(rows, key=itemgetter(0)):
+            bucket = list(bucket)
+            every = [(u, c, t) for _, u, c, _, t in bucket]
+            found = list(_linked([x for x, row in zip(every, bucket) if row[3]], every))
+            if found:
+                yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found])
+
+    small = members.filter("n = 1").select("key", "u1", "class", "odd", "body")
+    small = small.repartition("key").sortWithinPartitions("key").mapInArrow(one_by_one, links)
+
+    blocks = members.filter("n > 1").withColumn("block", F.pmod(F.xxhash64("u1"), F.col("n")).cast("int"))
     blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     odd = blocks.filter("odd").select("key", F.col("block").alias("i"), F.col("other").alias("j"), "u1", "class", "body")
     fresh = [F.col(c).alias(c) for c in ("key", "u1", "class", "body")]  # both sides come from one table
     rest = blocks.select(F.col("other").alias("i"), F.col("block").alias("j"), *fresh)
 
     def compared(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up]
-            return x
-
-        sets = [(u, c, frozenset(shingle_hashes(t, SHINGLE).tolist())) for u, c, t in zip(right["u1"], right["class"], right["body"])]
-        out = []
-        for u, c, t in zip(left["u1"], left["class"], left["body"]):
-            own = frozenset(shingle_hashes(t, SHINGLE).tolist())
-            for v, d, other in sets:
-                small, large = sorted((len(own), len(other)))
-                if small >= SIMILAR * large and root(c) != root(d):
-                    shared = len(own & other)
-                    if shared >= SIMILAR * (small + large - shared):
-                        parent[root(c)] = root(d)
-                        out.append((min(u, v), max(u, v)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=left["u1"].dtype)
-
-    kind = dict(members.dtypes)["u1"]
-    return odd.groupBy("key", "i", "j").cogroup(rest.groupBy("key", "i", "j")).applyInPandas(compared, f"a {kind}, b {kind}").distinct()
+        of = [list(zip(x["u1"], x["class"], x["body"])) for x in (left, right)]
+        return pd.DataFrame(_linked(*of), columns=["a", "b"], dtype=left["u1"].dtype)
+
+    large = odd.groupBy("key", "i", "j").cogroup(rest.groupBy("key", "i", "j")).applyInPandas(compared, links)
+    return small.union(large).distinct()
 
 
 def similar_classes(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -340,7 +528,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     place = F.struct(*_PLACE)
 
     passages = shared_passages(docs, found.filter("kind = 'block'"))
-    paragraphs = found.filter("kind = 'paragraph'").drop("u2")
+    paragraphs = found.filter("kind = 'paragraph'")
     distinct = paragraphs.groupBy("u1").agg(
         F.first("bands").alias("bands"), F.min(F.struct(*_PLACE, "stop")).alias("owner"), F.max(place).alias("most")
     )
