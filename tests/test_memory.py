@@ -14,6 +14,7 @@ from tracewell.operators import episodes as E
 from tracewell.operators import matches as M
 from tracewell.operators import retrieval as R
 from tracewell.plans import memory
+from tracewell.plans.retrieval_queries import remembered
 from tracewell.schemas import INTERVENTION
 from tracewell.storage import checkpointed
 
@@ -362,3 +363,10 @@ def test_the_chain_reaches_the_top_tier(spark, history):
     assert kinds == {"pattern_occurrence", "intervention", "outcome"}
     raised = memory.raise_alerts(R.attach_history(matches, found)).collect()
     assert all(r.confidence_raw == 0.9 and r.confidence_final == 0.9 for r in raised)
+
+
+def test_remembered_tables_are_read_by_column(spark):
+    """Matches and facts are read many times for few columns, so they are written in columns."""
+    matches, facts, _ = remembered(spark, "/root/testdata/sf0.001")
+    assert matches.inputFiles() and facts.inputFiles()
+    assert facts.select("fact_id").distinct().count() == facts.count()

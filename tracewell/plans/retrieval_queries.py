@@ -15,7 +15,7 @@ from tracewell.plans import memory
 from tracewell.plans.catalog import query, spread, table
 from tracewell.plans.memory_queries import CASCADE_ROWS_SQL, cascade_table
 from tracewell.sources.ingest import accepted
-from tracewell.storage import checkpointed
+from tracewell.storage import checkpointed, written
 
 TERMS = r"regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')"
 BM25_SQL = rf"""
@@ -270,9 +270,9 @@ HISTORY_SQL = rf"""
 
 def remembered(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Matches with the facts and episodes made of them."""
-    matches = checkpointed(cascade_table(spark, sf_dir))
-    narrated = checkpointed(accepted(E.narrate_matches(matches)))
-    return matches, checkpointed(G.match_facts(narrated)), E.match_episodes(narrated)
+    matches = written(cascade_table(spark, sf_dir), "matches")
+    narrated = written(accepted(E.narrate_matches(matches)), "narrated")
+    return matches, written(G.match_facts(narrated), "facts"), E.match_episodes(narrated)
 
 
 def raised(spark, sf_dir) -> DataFrame:
