@@ -320,7 +320,7 @@ RESULTS_SQL = "CASE WHEN retrieved = '' THEN 0 ELSE len(string_split(retrieved,
 )
 def alert_run_report(spark, sf_dir):
     """A run in one row: alerts, their episodes and records, caps, confidence and grounding."""
-    alerts = checkpointed(raised(spark, sf_dir).withColumn("alerted_at", F.col("detected_ts")))
+    alerts = written(raised(spark, sf_dir).withColumn("alerted_at", F.col("detected_ts")), "alerts")
     episodes = E.alert_episodes(accepted(E.check_alerts(alerts)))
     records = A.training_records(alerts, M.raw_events(), "offline-rubric")
     report = A.alert_report(alerts, episodes, records)
