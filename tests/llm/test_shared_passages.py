@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from tracewell.llm import passages
 
 
@@ -96,3 +99,51 @@ def test_later_places_are_covered_whole(spark, monkeypatch):
         if many:
             assert max(sizes[n] for n in ("places", "contexts")) < sum(len(t.split()) for t in texts) / 4
     assert found[0] == found[1]
+
+
+def test_hashes_and_blocks_of_joined_texts():
+    """Runs of words hash alike wherever they stand; blocks of texts taken together are those of each text alone."""
+    rng = random.Random(8)
+    texts = [fresh(rng, n) for n in (3, 16, 17, 49, 50, 51, 400)] + [["same"] * 90, fresh(rng, 30000)]
+
+    def laid(texts):
+        words = [w.encode() for t in texts for w in t]
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = ends - [len(w) for w in words]
+        return passages.run_hashes(np.frombuffer(b" ".join(words) + b" ", np.uint8), starts, ends)
+
+    together = laid(texts)
+    sizes = np.array([len(t) for t in texts])
+    firsts = np.cumsum(sizes) - sizes
+    expected = []
+    for first, text in zip(firsts, texts):
+        own = laid([text])
+        assert (together[first : first + len(own)] == own).all()
+        places = own[: max(0, len(text) - passages.BLOCK + 1)].tolist()
+        windows = [range(i, i + passages.REACH) for i in range(len(places) - passages.REACH + 1)] or ([range(len(places))] if places else [])
+        expected += sorted({int(first) + min(w, key=lambda i: (places[i], i)) for w in windows})
+    enough = sizes >= passages.BLOCK
+    assert passages.block_starts(together, firsts[enough], sizes[enough]).tolist() == expected
+
+
+def test_contexts_of_many_texts_share_a_batch():
+    """Texts are not answered in a batch each; places are in code points of their own text."""
+    rows = [(i, f"é{i}\n" + " ".join(fresh(random.Random(i), 80)), i) for i in range(300)]
+    asked = [[{"u1": i, "word": 20, "right": right, "crowded": False} for right in (True, False)] for i in range(300)]
+    kind = pa.list_(pa.struct([("u1", pa.int64()), ("word", pa.int32()), ("right", pa.bool_()), ("crowded", pa.bool_())]))
+    batch = pa.RecordBatch.from_arrays([*(pa.array(c) for c in zip(*rows)), pa.array(asked, kind)], names=["doc_id", "text", "text_hash", "asked"])
+
+    class Docs:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([batch, batch])))
+
+    got = passages.contexts(Docs())
+    assert len(got) == 1 and got[0].num_rows == 600
+    for r in got[0].to_pylist():
+        text = rows[r["doc_id"]][1]
+        words = text.split()
+        assert r["body"].split() == (words[20:71] if r["right"] else words[:36])
+        assert text[r["at"] :].startswith(r["body"])

@@ -47,6 +47,10 @@ CROWD, CROWD_BYTES = 1024, 8 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 MANY = 1 << 14  # first places of one seed that one task compares
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
+_VALUES = mix(np.arange(256, dtype=np.uint64), 3)  # of each byte
+_SPACED = bytes(0x20 if b in b" \t\n\x0b\x0c\r" else b for b in LOWER)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _UNITS = """doc_id long, text_hash long, kind string, word int, start int, stop int, n_words int, u1 long,
     bands array<long>, before long, after long, block_stop int, before_start int"""
@@ -87,31 +91,75 @@ def signatures(hashes: np.ndarray, starts: np.ndarray, bands: int = BANDS, rows:
     return out
 
 
-def _word_points(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last code point (end exclusive) of each word, and the number of the line it is in."""
-    data = np.frombuffer(text, np.uint8)
+class _Joined:
+    """Some texts as one, with a line feed after each; places are those of the whole."""
+
+    def __init__(self, texts: list[str]):
+        parts = [text.encode() for text in texts]
+        self.raw = b"\n".join([*parts, b""])
+        self.data = np.frombuffer(self.raw, np.uint8)
+        #: First and last byte (end exclusive) of each word.
+        self.first, self.last = _edges(self.data)
+        begin = np.cumsum([0, *[len(part) + 1 for part in parts]])
+        #: The first word of each text, and the number of words at the end.
+        self.words = np.searchsorted(self.first, begin)
+        new = (self.data & 0xC0) != 0x80
+        #: The code point of each byte, and the first of each text.
+        self.point = np.cumsum(new) - new
+        self.origin = self.point[begin[:-1]] if len(parts) else begin[:0]
+
+
+def _edges(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last byte (end exclusive) of each word."""
     space = np.ones(len(data) + 2, bool)
     space[1:-1] = _SPACE[data]
     edge = np.flatnonzero(space[1:] != space[:-1])
-    first, last = edge[::2], edge[1::2]
-    point = np.append(0, np.cumsum((data & 0xC0) != 0x80))
-    line = np.searchsorted(np.flatnonzero(data == 0x0A), first)
-    return point[first], point[last], line
-
-
-def block_starts(hashes: np.ndarray, n_words: int) -> np.ndarray:
-    """The words at which the blocks of a text begin."""
-    n = n_words - BLOCK + 1
-    if n < 1:
-        return np.empty(0, np.int64)
-    fit = hashes[:n]
-    if n <= REACH:
-        return np.array([fit.argmin()])
-    out = []
-    for at in range(0, n - REACH + 1, 1 << 16):
-        windows = np.lib.stride_tricks.sliding_window_view(fit[at : at + (1 << 16) + REACH - 1], REACH)
-        out.append(np.unique(windows.argmin(axis=1) + np.arange(at, at + len(windows))))
-    return np.unique(np.concatenate(out))
+    return edge[::2], edge[1::2]
+
+
+def run_hashes(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """A hash of each run of ``size`` words by their bytes ``starts`` to ``ends``; none for the last ones, which have too few after them.
+
+    A word is a sum of its bytes' values times powers of an odd number, mixed; a run is a weighted sum of words, mixed.
+    """
+    out = np.empty(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        # Some words at a time, so that what they need stays in the processor's cache.
+        cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(body), 1 << 16)), len(starts)))
+        for a, b in zip(cuts, cuts[1:]):
+            base = starts[a]
+            first, last = starts[a:b] - base, ends[a:b] - base
+            up = np.cumprod(np.full(last[-1], _ODD))
+            sums = np.append(np.uint64(0), np.cumsum(_VALUES[body[base : ends[b - 1]]] * up))
+            down = np.cumprod(np.full(first[-1] + 1, _INVERSE))
+            out[a:b] = (sums[last] - sums[first]) * down[first]
+        out = mix(out, 5)
+        n = max(0, len(out) - size + 1)
+        runs = out[:n].copy()
+        for place in range(1, size):
+            runs = runs * _ODD + out[place : place + n]
+    return mix(runs, 6)
+
+
+def block_starts(hashes: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The words at which the blocks of texts begin; a text has ``counts`` words (BLOCK or more) from ``firsts`` on.
+
+    A block begins at the first least hash of each window of REACH places; a text of fewer places is one window.
+    """
+    places = counts - BLOCK + 1
+    single = [f + hashes[f : f + n].argmin() for f, n in zip(firsts.tolist(), places.tolist()) if n < REACH]
+    # The place of the least hash of 2, 4 ... 32 places from each on, then of REACH; the earlier one of equals.
+    least, values, reach = np.arange(len(hashes)), hashes, 1
+    while reach < REACH:
+        step = min(reach, REACH - reach)
+        later = values[step:] < values[:-step]
+        least = np.where(later, least[step:], least[:-step])
+        values = np.where(later, values[step:], values[:-step])
+        reach += step
+    # Windows that cross the end of a text are left out.
+    text = np.searchsorted(firsts, np.arange(len(least)), "right") - 1
+    inside = (text >= 0) & (np.arange(len(least)) + REACH <= (firsts + places)[text])
+    return np.unique(np.append(least[inside], np.array(single, np.int64)))
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -121,7 +169,7 @@ def units(docs: DataFrame) -> DataFrame:
     included; ``n_words`` and ``stop`` are those of the block with the words after it.
     """
 
-    def batch(kind: str, own: list[tuple[int, int, int]], columns: dict[str, list]) -> pa.RecordBatch:
+    def batch(kind: str, own: list[tuple[int, int, int]], columns: dict[str, np.ndarray]) -> pa.RecordBatch:
         """``own``: doc_id, text_hash and number of rows of each text."""
         at = pa.array(np.repeat(np.arange(len(own)), [n for _, _, n in own]))
         made = {"doc_id": pa.array([d for d, _, _ in own], pa.int64()).take(at), "text_hash": pa.array([t for _, t, _ in own], pa.int64()).take(at)}
@@ -131,52 +179,63 @@ def units(docs: DataFrame) -> DataFrame:
             if name in made:
                 arrays.append(made[name])
             elif name in columns:
-                arrays.append(pa.array(np.concatenate(columns[name]) if columns[name] else [], to))
+                arrays.append(pa.array(columns[name], to))
             else:
                 arrays.append(pa.nulls(len(at), to))
         if kind == "paragraph":
-            hashes, sizes = np.concatenate(columns["hashes"]), np.concatenate(columns["sizes"])
+            hashes, sizes = columns["hashes"], columns["sizes"]
             keys = signatures(hashes, np.cumsum(np.append(0, sizes[:-1]))).view(np.int64)
             arrays[_UNIT_NAMES.index("bands")] = pa.ListArray.from_arrays(np.arange(len(keys) + 1, dtype=np.int32) * BANDS, keys.ravel())
         return pa.RecordBatch.from_arrays(arrays, names=_UNIT_NAMES)
 
     def of(some: list[tuple]) -> Iterator[pa.RecordBatch]:
-        lines, blocks = [], []
-        by_line: dict[str, list] = {n: [] for n in ("word", "start", "stop", "n_words", "u1", "hashes", "sizes")}
-        by_block: dict[str, list] = {n: [] for n in ("word", "start", "stop", "n_words", "u1", "before", "after", "block_stop", "before_start")}
         wide, short = xxhash.xxh3_128_intdigest, xxhash.xxh3_64_digest
-        for doc_id, text, text_hash in some:
-            hashes = shingle_hashes(text, SHINGLE)
-            body, starts, ends = single_spaced(text)
-            n = len(starts)
-            if n < BLOCK:
-                continue
-            first, last, line = _word_points(text.encode())
-
-            def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                digests = [short(body[x:y]) for x, y in zip(starts[a].tolist(), ends[b - 1].tolist())]
-                return np.frombuffer(b"".join(digests), "<i8")
-
-            edges = np.append(np.append(0, np.flatnonzero(line[1:] != line[:-1]) + 1), n)
-            long = np.flatnonzero(np.diff(edges) >= LEAST_WORDS)
-            if len(long):
-                a, b = edges[long], edges[long + 1]
-                lines.append((doc_id, text_hash, len(a)))
-                u = [(wide(body[x:y]) >> 64) - (1 << 63) for x, y in zip(starts[a].tolist(), ends[b - 1].tolist())]
-                sizes = b - a - SHINGLE + 1
-                parts = np.concatenate([hashes[x : x + m] for x, m in zip(a.tolist(), sizes.tolist())])
-                for name, values in zip(by_line, (a, first[a], last[b - 1], b - a, np.array(u, np.int64), parts, sizes)):
-                    by_line[name].append(values)
-            at = block_starts(hashes, n)
-            blocks.append((doc_id, text_hash, len(at)))
-            back, to = np.maximum(at - REACH, 0), np.minimum(at + BLOCK + REACH, n)
-            hashes_of = hashed(at, at + BLOCK), hashed(back, at + BLOCK), hashed(at, to)
-            for name, values in zip(by_block, (at, first[at], last[to - 1], to - at, *hashes_of, last[at + BLOCK - 1], first[back])):
-                by_block[name].append(values)
-        if lines:
-            yield batch("paragraph", lines, by_line)
-        if blocks:
-            yield batch("block", blocks, by_block)
+        all_ = _Joined([text for _, text, _ in some])
+        data, first, last, point = all_.data, all_.first, all_.last, all_.point
+        enough = np.flatnonzero(np.diff(all_.words) >= BLOCK)
+        if not len(enough):
+            return
+        counts, firsts = np.diff(all_.words)[enough], all_.words[enough]
+        line = np.searchsorted(np.flatnonzero(data == 0x0A), first)
+        # The lower-cased words with one space after each.
+        kept = ~_SPACE[data]
+        kept[last] = True
+        body = np.frombuffer(all_.raw.translate(_SPACED), np.uint8)[kept]
+        ends = np.cumsum(last - first + 1) - 1
+        starts = ends - (last - first)
+        hashes = run_hashes(body, starts, ends)
+        body = body.tobytes()
+
+        def hashed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            digests = [short(body[x:y]) for x, y in zip(starts[a].tolist(), ends[b - 1].tolist())]
+            return np.frombuffer(b"".join(digests), "<i8")
+
+        def rows(a: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+            """(doc_id, text_hash, rows) of each text; the first word of the text of each place, its first code point"""
+            of = np.searchsorted(firsts, a, "right") - 1
+            sizes = np.bincount(of, minlength=len(enough)).tolist()
+            own = [(some[t][0], some[t][2], n) for t, n in zip(enough.tolist(), sizes)]
+            return own, firsts[of], all_.origin[enough][of]
+
+        edges = np.append(np.append(0, np.flatnonzero(line[1:] != line[:-1]) + 1), len(first))
+        long = np.flatnonzero(np.diff(edges) >= LEAST_WORDS)
+        if len(long):
+            a, b = edges[long], edges[long + 1]
+            own, base, origin = rows(a)
+            u = [(wide(body[x:y]) >> 64) - (1 << 63) for x, y in zip(starts[a].tolist(), ends[b - 1].tolist())]
+            sizes = b - a - SHINGLE + 1
+            inside = np.repeat(a - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            names = ("word", "start", "stop", "n_words", "u1", "hashes", "sizes")
+            values = (a - base, point[first[a]] - origin, point[last[b - 1]] - origin, b - a, np.array(u, np.int64), hashes[inside], sizes)
+            yield batch("paragraph", own, dict(zip(names, values)))
+        at = block_starts(hashes, firsts, counts)
+        own, base, origin = rows(at)
+        to = np.minimum(at + BLOCK + REACH, base + np.repeat(counts, [n for _, _, n in own]))
+        back = np.maximum(at - REACH, base)
+        hashes_of = hashed(at, at + BLOCK), hashed(back, at + BLOCK), hashed(at, to)
+        names = ("word", "start", "stop", "n_words", "u1", "before", "after", "block_stop", "before_start")
+        values = (at - base, point[first[at]] - origin, point[last[to - 1]] - origin, to - at, *hashes_of, point[last[at + BLOCK - 1]] - origin, point[first[back]] - origin)
+        yield batch("block", own, dict(zip(names, values)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, room = [], SLICE
@@ -193,20 +252,20 @@ def units(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, _UNITS)
 
 
-def _holding(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` without most of those whose text is not in ``wanted`` (own_id, own_hash), before anything is shuffled.
+def _holding(rows: DataFrame, wanted: DataFrame, *by: str) -> DataFrame:
+    """``rows`` without most of those whose columns ``by`` are not in ``wanted`` (its columns in that order), before anything is shuffled.
 
-    Bits of a hash, some 16 for each wanted text, go to every task: two bytes a text.
+    Bits of a hash, some 16 for each wanted row, go to every task: two bytes a row.
     """
     bits = 1 << max(15, 4 + wanted.count().bit_length())
-    of = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(bits)) + 1
-    place = of("own_id", "own_hash")
+    of = lambda columns: F.pmod(F.xxhash64(*columns), F.lit(bits)) + 1
+    place = of(wanted.columns)
     maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_map"))
-    own = of("doc_id", "text_hash")
+    own = of(by)
     bit = F.bitmap_bit_position(own)
     byte = F.conv(F.hex(F.expr("substring(_map, cast(_bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    met = docs.withColumn("_bucket", F.bitmap_bucket_number(own)).withColumn("_bit", bit).join(F.broadcast(maps), "_bucket")
-    return met.filter(F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*docs.columns)
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(own)).withColumn("_bit", bit).join(F.broadcast(maps), "_bucket")
+    return met.filter(F.call_function("shiftright", byte, (F.col("_bit") % 8).cast("int")).bitwiseAND(F.lit(1)) == 1).select(*rows.columns)
 
 
 def contexts(docs: DataFrame) -> DataFrame:
@@ -215,21 +274,36 @@ def contexts(docs: DataFrame) -> DataFrame:
     names = [c.split()[0] for c in _CONTEXTS.split(", ")]
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()]
 
+    def of(some: list[tuple], asked: list[pa.StructArray]) -> pa.RecordBatch:
+        all_ = _Joined([text for _, text, _ in some])
+        text = np.repeat(np.arange(len(some)), [len(a) for a in asked])
+        u1, word, right, crowded = pa.concat_arrays(asked).flatten()
+        from_left = ~right.to_numpy(zero_copy_only=False)
+        at = all_.words[text] + word.to_numpy()
+        a = np.where(from_left, np.maximum(at - REACH, all_.words[text]), at)
+        b = np.where(from_left, at + BLOCK, np.minimum(at + BLOCK + REACH, all_.words[text + 1]))
+        starts, stops = all_.point[all_.first[a]] - all_.origin[text], all_.point[all_.last[b - 1]] - all_.origin[text]
+        bodies = [some[t][1][x:y] for t, x, y in zip(text.tolist(), starts.tolist(), stops.tolist())]
+        own = [pa.array([row[c] for row in some], pa.int64()).take(pa.array(text)) for c in (0, 2)]
+        columns = [u1, right, *own, word, pa.array(starts, pa.int32()), crowded, pa.array(bodies, pa.string())]
+        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen, some, lists, room = set(), [], [], SLICE
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc_id, text, text_hash, asked = (c[row].as_py() for c in batch.columns)
+            asked = batch.column(3)
+            for row, (doc_id, text, text_hash) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:3]))):
                 if (doc_id, text_hash) in seen:
                     continue
                 seen.add((doc_id, text_hash))
-                first, last, _ = _word_points(text.encode())
-                made = []
-                for x in asked:
-                    word, right = x["word"], x["right"]
-                    a, b = (word, min(word + BLOCK + REACH, len(first))) if right else (max(word - REACH, 0), word + BLOCK)
-                    made.append((x["u1"], right, doc_id, text_hash, word, first[a], x["crowded"], text[first[a] : last[b - 1]]))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
+                some.append((doc_id, text, text_hash))
+                lists.append(asked[row].values)
+                room -= len(text)
+                if room <= 0:
+                    yield of(some, lists)
+                    some, lists, room = [], [], SLICE
+        if some:
+            yield of(some, lists)
 
     return docs.select("doc_id", "text", "text_hash", "asked").mapInArrow(run, _CONTEXTS)
 
@@ -237,7 +311,8 @@ def contexts(docs: DataFrame) -> DataFrame:
 def _ladder(right: bool, word: int, at: int, text: str) -> list[tuple[bytes, int, int, int, int]]:
     """(hash, word, n_words, start, stop) of the block of a context, then with one more word each."""
     body, starts, ends = single_spaced(text)
-    first, last, _ = _word_points(text.encode())
+    all_ = _Joined([text])
+    first, last = all_.point[all_.first], all_.point[all_.last]
     n, out = len(starts), []
     for more in range(n - BLOCK + 1):
         a, b = (0, BLOCK + more) if right else (n - BLOCK - more, n)
@@ -262,8 +337,12 @@ def agreeing(found: DataFrame) -> DataFrame:
 
     def piece(own: tuple, right: bool, more: int) -> tuple[int, int, int]:
         """word, start and stop of the seed of a context with so many words more"""
-        _, _, word, at, text, _ = own
-        edge = at + _edge(text, right, BLOCK + more)
+        _, _, word, at, text, beyond, least = own
+        if least:  # one byte a character and one character between words
+            n = least + more + sum(map(len, beyond[:more]))
+            edge = at + (n if right else len(text) - n)
+        else:
+            edge = at + _edge(text, right, BLOCK + more)
         return (word, at, edge) if right else (word - more, edge, at + len(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,8 +354,10 @@ def agreeing(found: DataFrame) -> DataFrame:
                     now, known = (u1, right), {}
                 words = text.encode().translate(LOWER).split()
                 seed, beyond = (words[:BLOCK], words[BLOCK:]) if right else (words[-BLOCK:], words[-BLOCK - 1 :: -1])
-                own = (doc_id, text_hash, word, at, text, beyond)
-                node = known.setdefault(b" ".join(seed), (own, {}))
+                joined = b" ".join(seed)
+                plain = text.isascii() and sum(map(len, words)) + len(words) - 1 == len(text)
+                own = (doc_id, text_hash, word, at, text, beyond, len(joined) if plain else 0)
+                node = known.setdefault(joined, (own, {}))
                 if node[0] is own:
                     continue
                 more = 0
@@ -363,7 +444,7 @@ def shared_passages(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     asked = places.filter("ask_right or ask_left").select("doc_id", "text_hash", F.explode(F.array_compact(ask)).alias("a"))
     asked = asked.groupBy(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash")).agg(F.collect_list("a").alias("asked"))
     asked = written(asked, "asked")
-    met = _holding(docs, asked.select("own_id", "own_hash"))
+    met = _holding(docs, asked.select("own_id", "own_hash"), "doc_id", "text_hash")
     met = met.join(asked, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
     found = written(contexts(met), "contexts")
     met = same.union(_kept_by(ahead)).union(agreeing(found.filter("not crowded"))).union(agreeing_crowds(found.filter("crowded")))
@@ -395,8 +476,9 @@ def _texts(docs: DataFrame, distinct: DataFrame, wanted: DataFrame) -> DataFrame
     """(id, body) of the wanted u1, from the documents (as ``keyed``) that hold the first place of each."""
     place = distinct.join(wanted, "u1").select("u1", "owner.*")
     place = place.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("u1", "start", "stop")).alias("spans"))
-    place = place.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "spans")
-    met = docs.join(place, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
+    place = written(place.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "spans"), "owners")
+    met = _holding(docs, place.select("own_id", "own_hash"), "doc_id", "text_hash")
+    met = met.join(place, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")))
     met = met.select("text", F.explode("spans").alias("s"))
     texts = met.select(F.col("s.u1").alias("id"), F.expr("substring(text, s.start + 1, s.stop - s.start)").alias("body"))
     return written(texts.dropDuplicates(["id"]), "paragraphs")
@@ -466,15 +548,17 @@ def _links_between(members: DataFrame) -> DataFrame:
     return small.union(large).distinct()
 
 
-def similar_classes(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+def similar_classes(docs: DataFrame, paragraphs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(node, least) over the u1 of distinct paragraphs (or whole texts) that are similar to another one.
 
-    ``docs`` as ``keyed``; ``distinct`` has u1, the band keys and the owner: doc_id, text_hash, start and stop of one place.
+    ``docs`` as ``keyed``; ``paragraphs`` has u1 and the band keys, which are not moved otherwise, and each u1 once or more;
+    ``distinct`` has u1 and the owner: doc_id, text_hash, start and stop of one place.
     """
-    member = distinct.select(F.posexplode("bands").alias("band", "key"), "u1").select("key", "u1")
+    member = paragraphs.select(F.explode("bands").alias("key"), "u1")
     buckets = member.groupBy("key").agg(F.min("u1").alias("least"), F.max("u1").alias("most"), F.count("*").alias("n"))
     buckets = written(buckets.filter("least != most").select("key", "n"), "buckets")
-    member = written(member.join(buckets, "key"), "members")
+    member = _holding(member, buckets.select("key"), "key").join(buckets, "key")
+    member = written(member.distinct(), "members")
     popular = member.groupBy("u1").agg(F.sum("n").alias("met"))
     member = member.drop("n").join(popular, "u1").select("key", "u1", "met")
     texts = _texts(docs, distinct, member.select("u1").distinct())
@@ -529,11 +613,9 @@ def repeated(docs: DataFrame) -> DataFrame:
 
     passages = shared_passages(docs, found.filter("kind = 'block'"))
     paragraphs = found.filter("kind = 'paragraph'")
-    distinct = paragraphs.groupBy("u1").agg(
-        F.first("bands").alias("bands"), F.min(F.struct(*_PLACE, "stop")).alias("owner"), F.max(place).alias("most")
-    )
+    distinct = paragraphs.groupBy("u1").agg(F.min(F.struct(*_PLACE, "stop")).alias("owner"), F.max(place).alias("most"))
     distinct = written(distinct, "distinct")
-    classes = similar_classes(docs, distinct)
+    classes = similar_classes(docs, paragraphs, distinct)
     labelled = distinct.select("u1", F.struct(*[F.col(f"owner.{c}") for c in _PLACE]).alias("keep"), "most")
     labelled = labelled.join(classes.withColumnRenamed("node", "u1"), "u1", "left")
     labelled = written(labelled.withColumn("class_id", F.coalesce("least", "u1")), "labelled")
